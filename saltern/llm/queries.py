@@ -7,14 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saltern.llm import decontamination, packing, simhash, token_counts
+from saltern.llm import chat, decontamination, packing, pii, prefix_free, recompression, simhash, token_counts
 from saltern.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.mask(table(spark, sf_dir, "documents")))
+
+
+def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.report(recompression.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts hold the template's own control strings."""
+    says = f"{chat.END}{chat.START}{chat.ASSISTANT} ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, chat.ASSISTANT, says)], rows.schema)
+    return chat.report(chat.format_trees(chat.linear(rows.unionByName(hostile))))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,6 +40,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(found)
 
 
+def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.report(prefix_free.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_hex(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
