@@ -50,7 +50,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     ``carry`` keeps the whole row as ``_row``.
     """
-    row = [F.struct("*").alias("_row")] if carry else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     keep = ["_row"] if carry else []
     lang = F.when(F.col(lang_col).isin(*COMMON), F.col(lang_col)).otherwise(OTHER)
     t = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
@@ -97,12 +97,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
     rest = lambda c, total: F.aggregate(c, total.cast("double"), lambda s, x: s - x)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return t.select(
-        *[c for c in t.columns if c not in ("classes", "found")],
+    values = [
+        *[F.col(c) for c in t.columns if c not in ("_row", "classes", "found")],
         failed.alias("base_failed"),
         F.concat("classes", F.array(rest("classes", F.col("n_chars")))).alias("char_counts"),
         F.concat("found", F.array(rest("found", F.col("n_words")))).alias("word_counts"),
-    )
+    ]
+    # as a generator's output, so that no filter on them is pushed below and computes them once more for each use
+    return t.select(*keep, F.inline(F.array(F.struct(*values))))
 
 
 def references(found: DataFrame) -> DataFrame:
