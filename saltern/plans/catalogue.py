@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from saltern.plans import feature_queries, portfolio_queries, relational_queries, temporal_queries
+
+_PARTS = (feature_queries, temporal_queries, relational_queries, portfolio_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.REG.queries.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.REG.oracle.items()}
