@@ -135,7 +135,7 @@ def curve_metrics(curve: DataFrame, key: str, at: str, x: str, per_year: float)
         F.max_by(x, at).alias("final"),
         F.avg("ret").alias("mean"),
         F.stddev_samp("ret").alias("dev"),
-        F.sqrt(F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), 2))).alias("down"),
+        F.sqrt(F.avg(F.when(F.col("ret").isNotNull(), F.pow(F.least(F.col("ret"), F.lit(0.0)), 2)))).alias("down"),
         F.min("drawdown").alias("max_drawdown"),
         F.max("under_water").alias("longest_under_water"),
         F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"),

@@ -21,9 +21,10 @@ def guarded(agg: str, x: str, n: int, least: int) -> str:
     return f"CASE WHEN count({x}) OVER {rows(n)} >= {least} THEN {agg} OVER {rows(n)} END"
 
 
-@REG.add("panel_build", f"WITH {SUPPLIER_PANEL} SELECT id, date, session, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')}, {r('turnover', 'turnover')} FROM panel")
+@REG.add("panel_build", f"WITH {SUPPLIER_PANEL} SELECT id, date, session, {r('open', 'open', 9)}, {r('high', 'high', 9)}, {r('low', 'low', 9)}, {r('close', 'close', 9)}, {r('volume', 'volume', 9)}, {r('turnover', 'turnover', 9)} FROM panel")
 def panel_build(spark, d):
-    return rounded(supplier_panel(spark, d).select("id", "date", "session", "open", "high", "low", "close", "volume", "turnover"))
+    # prices are cents over whole quantities: nine places leave no ties to round
+    return rounded(supplier_panel(spark, d).select("id", "date", "session", "open", "high", "low", "close", "volume", "turnover"), 9)
 
 
 @REG.add("session_index", f"WITH {SUPPLIER_PANEL} SELECT date, session, count(*) AS n FROM panel GROUP BY date, session")

@@ -33,11 +33,11 @@ def _sell_cash(q: str) -> str:
     return f"({v} * {1 - C.tax_sell} - {fees} - {C.gst} * {fees} - {C.depository_sell})"
 
 
-@REG.add("transaction_costs_buy_sell", f"WITH {SUPPLIER_PANEL} SELECT id, session, {r(_BUY, 'buy_fill')}, round({_buy_cash('10')}, 4) + 0.0 AS buy_cash, {r(_SELL, 'sell_fill')}, round({_sell_cash('10')}, 4) + 0.0 AS sell_cash FROM panel")
+@REG.add("transaction_costs_buy_sell", f"WITH {SUPPLIER_PANEL} SELECT id, session, {r(_BUY, 'buy_fill', 8)}, round({_buy_cash('10')}, 4) + 0.0 AS buy_cash, {r(_SELL, 'sell_fill', 8)}, round({_sell_cash('10')}, 4) + 0.0 AS sell_cash FROM panel")
 def transaction_costs_buy_sell(spark, d):
     p = supplier_panel(spark, d)
     (bf, bc), (sf, sc) = C.buy(F.col("close"), F.lit(10)), C.sell(F.col("close"), F.lit(10))
-    return rounded(p.select("id", "session", bf.alias("buy_fill"), F.round(bc, 4).alias("buy_cash"), sf.alias("sell_fill"), F.round(sc, 4).alias("sell_cash")))
+    return rounded(p.select("id", "session", bf.alias("buy_fill"), F.round(bc, 4).alias("buy_cash"), sf.alias("sell_fill"), F.round(sc, 4).alias("sell_cash")), 8)
 
 
 @REG.add(
@@ -147,7 +147,7 @@ def persistence(spark, d):
 
 @REG.add(
     "topk_overlap",
-    f"""WITH {MOMENTUM}, t AS (SELECT session, id FROM x WHERE place <= 5), o AS (SELECT a.session, count(*) AS both_n FROM t a JOIN t b ON a.id = b.id AND b.session = a.session + 1 GROUP BY 1), n AS (SELECT session, count(*) AS n FROM t GROUP BY 1)
+    f"""WITH {MOMENTUM}, top5 AS (SELECT session, id FROM x WHERE place <= 5), o AS (SELECT a.session, count(*) AS both_n FROM top5 a JOIN top5 b ON a.id = b.id AND b.session = a.session + 1 GROUP BY 1), n AS (SELECT session, count(*) AS n FROM top5 GROUP BY 1)
     SELECT a.session, coalesce(both_n, 0) AS n_both, {r("coalesce(both_n, 0) / (a.n + b.n - coalesce(both_n, 0))", "jaccard")} FROM n a JOIN n b ON b.session = a.session + 1 LEFT JOIN o ON o.session = a.session""",
 )
 def topk_overlap(spark, d):
@@ -210,7 +210,7 @@ def drawdown_episodes(spark, d):
     "curve_metrics",
     f"""WITH {_DD}, s AS (SELECT id, count(ret) AS n, arg_min(equity, session) AS f, arg_max(equity, session) AS l, avg(ret) AS m, stddev_samp(ret) AS s, sqrt(avg(CASE WHEN ret IS NOT NULL THEN least(ret, 0) * least(ret, 0) END)) AS dn, min(drawdown) AS max_drawdown, max(under_water) AS longest_under_water,
         avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END) AS win_rate, quantile_cont(ret, 0.05) AS var_95 FROM dd GROUP BY id)
-    SELECT id, n, {r("l / f - 1", "total_return")}, {r("CASE WHEN n > 0 AND f > 0 THEN pow(l / f, 52.0 / n) - 1 END", "cagr")}, {r("s * sqrt(52)", "volatility")}, {r("CASE WHEN s > 1e-12 THEN m / s * sqrt(52) END", "sharpe")}, {r("CASE WHEN dn > 1e-12 THEN m / dn * sqrt(52) END", "sortino")},
+    SELECT id, n, {r("l / f - 1", "total_return")}, {r("CASE WHEN n > 0 AND f > 0 THEN pow(l / f, CAST(52 AS DOUBLE) / n) - 1 END", "cagr")}, {r("s * sqrt(52)", "volatility")}, {r("CASE WHEN s > 1e-12 THEN m / s * sqrt(52) END", "sharpe")}, {r("CASE WHEN dn > 1e-12 THEN m / dn * sqrt(52) END", "sortino")},
     {r("max_drawdown", "max_drawdown")}, longest_under_water, {r("win_rate", "win_rate")}, {r("var_95", "var_95")} FROM s""",
 )
 def curve_metrics(spark, d):

@@ -25,6 +25,6 @@ class Registry:
         return keep
 
 
-def r(x: str, name: str) -> str:
+def r(x: str, name: str, places: int = 6) -> str:
     """A rounded double in DuckDB, as ``panel.rounded`` rounds it."""
-    return f"round({x}, 6) + 0.0 AS {name}"
+    return f"round({x}, {places}) + 0.0 AS {name}"

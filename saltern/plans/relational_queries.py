@@ -180,7 +180,7 @@ def ratio_parse(spark, d):
     return rounded(purposes(spark, d).select("p_partkey", ac.share_multiplier("purpose").alias("multiplier")))
 
 
-@REG.add("dividend_sum", "SELECT p_partkey, round(CASE WHEN p_size % 5 = 2 THEN p_size + 1.5 ELSE 0 END, 6) + 0.0 AS dividend FROM part WHERE p_size % 5 IN (2, 3)")
+@REG.add("dividend_sum", "SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 2 THEN p_size + 1.5 ELSE 0 END AS DOUBLE) AS dividend FROM part WHERE p_size % 5 IN (2, 3)")
 def dividend_sum(spark, d):
     p = table(spark, d, "part").where("p_size % 5 in (2, 3)").selectExpr("p_partkey", PURPOSE_SQL + " as purpose")
     return rounded(p.select("p_partkey", ac.dividend_total("purpose").alias("dividend")))

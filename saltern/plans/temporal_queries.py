@@ -96,12 +96,12 @@ def session_lookup(spark, d):
 @REG.add(
     "adjustment_factor",
     f"""WITH {SUPPLIER_PANEL}, {ACTIONS}, f AS (SELECT p.id, p.session, close, coalesce((SELECT exp(sum(ln(multiplier))) FROM actions a WHERE a.id = p.id AND a.ex_date > p.date), 1.0) AS factor FROM panel p)
-    SELECT id, session, {r("factor", "factor")}, {r("close / factor", "adjusted_close")} FROM f""",
+    SELECT id, session, {r("factor", "factor", 9)}, {r("close / factor", "adjusted_close", 9)} FROM f""",
 )
 def adjustment_factor(spark, d):
     p = supplier_panel(spark, d)
     out = tp.adjustment_factor(p.select("id", "session", "date", "close"), actions(p).select("id", "ex_date", "multiplier"))
-    return rounded(out.select("id", "session", "factor", (F.col("close") / F.col("factor")).alias("adjusted_close")))
+    return rounded(out.select("id", "session", "factor", (F.col("close") / F.col("factor")).alias("adjusted_close")), 9)
 
 
 @REG.add(
@@ -183,11 +183,11 @@ def ohlc_resample_month(spark, d):
     return rounded(bars(o, ["o_custkey", "label"], "o_totalprice", ["o_orderdate", "o_orderkey"]).withColumnRenamed("o_custkey", "id"))
 
 
-@REG.add("candles_lookback", f"WITH {SUPPLIER_PANEL} SELECT id, session, {r('close', 'close')}, {r('close / first_value(close) OVER (PARTITION BY id ORDER BY session) - 1', 'change')} FROM panel WHERE session > (SELECT max(session) FROM panel) - 30")
+@REG.add("candles_lookback", f"WITH {SUPPLIER_PANEL} SELECT id, session, {r('close', 'close', 9)}, {r('close / first_value(close) OVER (PARTITION BY id ORDER BY session) - 1', 'change', 9)} FROM panel WHERE session > (SELECT max(session) FROM panel) - 30")
 def candles_lookback(spark, d):
     p = supplier_panel(spark, d)
     top = p.agg((F.max("session") - 30).alias("_from"))  # one row
     recent = p.join(F.broadcast(top), F.col("session") > F.col("_from"))
-    return rounded(recent.select("id", "session", "close", (F.col("close") / F.first("close").over(ft.own_rows()) - 1).alias("change")))
+    return rounded(recent.select("id", "session", "close", (F.col("close") / F.first("close").over(ft.own_rows()) - 1).alias("change")), 9)
 
 

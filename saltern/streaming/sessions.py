@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def bars(stream: DataFrame, ts: str, key: str, value: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Open, high, low, close and count by key and window of event time; rows later than ``late`` are left out."""
     place = F.struct(ts, value)
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))  # event time has a zone
     w = stream.withWatermark(ts, late).groupBy(key, F.window(ts, size).alias("w"))
     out = w.agg(F.min_by(value, place).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, place).alias("close"), F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("start"), "open", "high", "low", "close", "n")
