@@ -162,7 +162,7 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def report(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("char_distance", "word_distance")])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saltern.llm import chat, decontamination, html, packing, pii, prefix_free, quality, recompression, simhash, token_counts
+from saltern.llm import chat, decontamination, html, oracle, packing, pii, prefix_free, quality, recompression, simhash, token_counts
 from saltern.llm.common import table
 
 
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
