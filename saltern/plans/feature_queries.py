@@ -104,14 +104,14 @@ def forward_targets(spark, d):
 
 
 UNIVERSE = f"""{SUPPLIER_PANEL}, u0 AS (SELECT id, session, close, {guarded("median(turnover)", "turnover", 20, 10)} AS tm,
-    count(*) OVER (PARTITION BY id ORDER BY session RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) = 10 AS complete,
+    count(*) OVER (PARTITION BY id ORDER BY session RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS complete,
     count(*) OVER (PARTITION BY id ORDER BY session RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) / least(20, session + 1) AS seen, row_number() OVER w AS history FROM panel {W}),
 universe AS (SELECT id, session, coalesce(history >= 30, false) AS enough_history, coalesce(close >= 10, false) AS enough_price, coalesce(tm >= 30000, false) AS enough_turnover,
-    coalesce(seen >= 0.8, false) AS enough_active, coalesce(complete, false) AS enough_sessions FROM u0)"""
+    coalesce(seen >= 0.7, false) AS enough_active, coalesce(complete, false) AS enough_sessions FROM u0)"""
 
 
 def universe_panel(spark, d):
-    return ft.universe(supplier_panel(spark, d), 30, 10, 30000, 0.8, 10, 20)
+    return ft.universe(supplier_panel(spark, d), 30, 10, 30000, 0.7, 5, 20)
 
 
 @REG.add("universe_flags", f"WITH {UNIVERSE} SELECT *, enough_history AND enough_price AND enough_turnover AND enough_active AND enough_sessions AS eligible FROM universe")

@@ -76,29 +76,33 @@ def topk_strategies(spark, d):
     return long.where("score is not null").withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("strategy", "session", "id", "place")
 
 
-_MOMENTUM = f"""{SCORED}, t AS (SELECT id, session, CASE WHEN lead(session, 1) OVER w = session + 1 AND lead(open, 1) OVER w > 0 AND lead(session, 5) OVER w = session + 5 THEN lead(close, 5) OVER w / lead(open, 1) OVER w - 1 END AS target FROM panel WINDOW w AS (PARTITION BY id ORDER BY session)),
-ranked AS (SELECT s.id, s.session, s.turnover, s.return_20 AS score, t.target FROM scores s JOIN t USING (id, session) WHERE eligible AND return_20 IS NOT NULL AND target IS NOT NULL),
+_MOMENTUM = f"""{SCORED}, t AS (SELECT id, session, CASE WHEN lead(session, 1) OVER w = session + 1 AND lead(open, 1) OVER w > 0 AND lead(session, 3) OVER w = session + 3 THEN lead(close, 3) OVER w / lead(open, 1) OVER w - 1 END AS target FROM panel WINDOW w AS (PARTITION BY id ORDER BY session)),
+ranked AS (SELECT s.id, s.session, s.turnover, s.return_5 AS score, t.target FROM scores s JOIN t USING (id, session) WHERE eligible AND return_5 IS NOT NULL AND target IS NOT NULL),
 x AS (SELECT *, {{score_rank}} AS sr, {{target_rank}} AS tr, row_number() OVER (PARTITION BY session ORDER BY score DESC, turnover DESC, id) AS place FROM ranked)"""
 _MR = lambda c: f"rank() OVER (PARTITION BY session ORDER BY {c}) + (count(*) OVER (PARTITION BY session, {c}) - 1) / 2.0"
 MOMENTUM = _MOMENTUM.format(score_rank=_MR("score"), target_rank=_MR("target"))
 
 
 def momentum_rows(spark, d):
-    p = ft.forward_target(scored(spark, d), 5).where("eligible and return_20 is not null and target_5 is not null")
-    p = p.select("id", "session", "turnover", F.col("return_20").alias("score"), F.col("target_5").alias("target"))
+    p = ft.forward_target(scored(spark, d), 3).where("eligible and return_5 is not null and target_3 is not null")
+    p = p.select("id", "session", "turnover", F.col("return_5").alias("score"), F.col("target_3").alias("target"))
     place = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), F.desc("turnover"), "id"))
     return p.select("*", mean_rank("score", "session").alias("sr"), mean_rank("target", "session").alias("tr"), place.cast("long").alias("place"))
 
 
+def momentum_by_session(spark, d, names: int):
+    """Lines to panel, sessions, returns, universe, scores, top five, targets, and each session's rank correlation."""
+    g = momentum_rows(spark, d).groupBy("session").agg(F.count("*").alias("n"), F.corr("sr", "tr").alias("ic"), F.avg(F.when(F.col("place") <= 5, F.col("target"))).alias("top_5"), F.avg("target").alias("every")).where(F.col("n") >= names)
+    return rounded(g.select("session", "n", "ic", "top_5", (F.col("top_5") - F.col("every")).alias("excess")))
+
+
 @REG.add(
     "momentum_pipeline",
     f"""WITH {MOMENTUM}, g AS (SELECT session, count(*) AS n, corr(sr, tr) AS ic, avg(target) FILTER (place <= 5) AS top, avg(target) AS every FROM x GROUP BY session HAVING count(*) >= 10)
     SELECT session, n, {r("CASE WHEN isfinite(ic) THEN ic END", "ic")}, {r("top", "top_5")}, {r("top - every", "excess")} FROM g""",
 )
 def momentum_pipeline(spark, d):
-    """Lines to panel, sessions, returns, universe, scores, top five, targets, and each session's rank correlation."""
-    g = momentum_rows(spark, d).groupBy("session").agg(F.count("*").alias("n"), F.corr("sr", "tr").alias("ic"), F.avg(F.when(F.col("place") <= 5, F.col("target"))).alias("top_5"), F.avg("target").alias("every")).where("n >= 10")
-    return rounded(g.select("session", "n", "ic", "top_5", (F.col("top_5") - F.col("every")).alias("excess")))
+    return momentum_by_session(spark, d, 10)
 
 
 @REG.add(
