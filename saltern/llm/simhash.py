@@ -172,7 +172,7 @@ def links(distinct: DataFrame, max_bits: int = 4, tile: int = TILE) -> DataFrame
     large = met.where("key is not null").select(F.col("a").alias("fp"), "key")
     tiles = large.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / F.lit(tile // 4))).cast("long").alias("tiles"))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles"))
-    dealt = large.join(F.broadcast(tiles), "key").select("fp", "key", "tiles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    dealt = large.join(tiles, "key").select("fp", "key", "tiles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     pairs = dealt.where("own <> other").select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
     more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: bucket_links(it, max_bits, 1 << 30), "a long, b long, key long")
     return met.where("key is null").select("a", "b").union(more.select("a", "b"))
