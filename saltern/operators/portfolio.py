@@ -188,3 +188,77 @@ def block_bootstrap(returns: DataFrame, x: str, order: str, reps: int, block: in
             yield pd.DataFrame(out, columns=["rep", "mean", "sharpe"])
 
     return returns.sparkSession.range(reps).mapInPandas(draw, "rep long, mean double, sharpe double")
+
+
+def persistent_backtest(panel: DataFrame, configs: DataFrame, score: str, widest: int = 20) -> DataFrame:
+    """Rank-buffer portfolios, one curve for each configuration (config, capital, k, hold_rank, every, min_gap, cost_factor).
+
+    Every ``every`` sessions the eligible names are ranked. A holding stays while its rank is within ``hold_rank``, or
+    while no candidate leads it by ``min_gap`` of percentile; the others are sold, and free slots filled in order of
+    rank. Orders trade at the next session's open, sales before purchases; what has no price then stays pending one
+    session and expires. The last session sells everything at its close. Runs spread over tasks; each gets the
+    candidates that any configuration can hold and their rows, not the whole panel.
+    """
+    ranks = panel.where("eligible").select("id", "session", mean_share(score).alias("pct"), place_of(score).alias("place"))
+    near = ranks.where(F.col("place") <= widest)
+    rows = panel.join(near.select("id").distinct(), "id", "left_semi").select("id", "session", "open", "close")
+    rows = rows.join(ranks, ["id", "session"], "left")
+    grouped = rows.crossJoin(F.broadcast(configs))
+
+    def fold(df: pd.DataFrame) -> pd.DataFrame:
+        run = df.iloc[0]
+        k, buffer, every, gap = int(run["k"]), int(run["hold_rank"]), int(run["every"]), float(run["min_gap"])
+        costs = Costs().scaled(float(run["cost_factor"]))
+        by = {s: g for s, g in df.sort_values(["session", "id"]).groupby("session")}
+        first, last = int(min(by)), int(max(by))
+        cash, held, sells, buys, out = float(run["capital"]), {}, [], [], []
+        for s in range(first, last + 1):
+            today = by.get(s)
+            prices = {} if today is None else {r.id: (r.open, r.close) for r in today.itertuples()}
+            traded = 0.0
+            for name in sells:
+                if name in held and name in prices:
+                    got = costs.sell(prices[name][0], held[name][0])[1]
+                    cash, traded = cash + got, traded + got
+                    del held[name]
+            for name, budget in buys:
+                if name in prices and prices[name][0] > 0 and name not in held and len(held) < k:
+                    q = costs.affordable(prices[name][0], min(budget, cash))
+                    if q:
+                        paid = costs.buy(prices[name][0], q)[1]
+                        cash, traded = cash - paid, traded + paid
+                        held[name] = [q, prices[name][1]]
+            sells, buys = [], []
+            for name in held:
+                if name in prices:
+                    held[name][1] = prices[name][1]
+            equity = cash + sum(q * px for q, px in held.values())
+            if s == last:
+                for name, (q, px) in held.items():
+                    cash += costs.sell(px, q)[1]
+                equity, held = cash, {}
+            elif today is not None and (s - first) % every == 0:
+                ranked = today[today["place"].notna()].sort_values("place")
+                pct, place = dict(zip(ranked["id"], ranked["pct"], strict=True)), dict(zip(ranked["id"], ranked["place"], strict=True))
+                fresh = [n for n in ranked["id"] if n not in held][:k]
+                for name in sorted(held, key=lambda n: place.get(n, 1e9), reverse=True):
+                    rival = fresh[len(sells)] if len(sells) < len(fresh) else None
+                    if place.get(name, 1e9) > buffer and (name not in pct or (rival and pct[rival] - pct[name] >= gap)):
+                        sells.append(name)
+                free = k - len(held) + len(sells)
+                buys = [(n, equity / k) for n in fresh[:free]]
+            out.append((run["config"], s, equity, cash, len(held), traded))
+        return pd.DataFrame(out, columns=["config", "session", "equity", "cash", "n_held", "traded"])
+
+    return grouped.groupBy("config").applyInPandas(fold, "config long, session long, equity double, cash double, n_held long, traded double")
+
+
+def mean_share(score: str) -> Column:
+    from saltern.functions.frames import percentile_rank
+
+    return percentile_rank(score, "session")
+
+
+def place_of(score: str) -> Column:
+    w = Window.partitionBy("session").orderBy(F.desc_nulls_last(score), F.desc("turnover"), F.asc("id"))
+    return F.when(F.col(score).isNotNull(), F.row_number().over(w))

@@ -364,3 +364,22 @@ def ridge_walkforward(spark, d):
 
     p = ft.forward_target(scored(spark, d), 5).withColumn("year", F.year("date"))
     return rounded(walk_forward(p, ["return_1", "return_5", "return_20", "volatility_20"], "target_5", purge=20))
+
+
+@REG.add("persistent_backtest")
+def persistent_backtest(spark, d):
+    p = scored(spark, d).select("id", "session", "open", "close", "turnover", "eligible", "return_5")
+    runs = [(k, 50_000.0, 5, buffer, 5, gap, f) for k, (buffer, gap, f) in enumerate((b, g, f) for b in (5, 10) for g in (0.0, 0.1) for f in (0.0, 1.0))]
+    cfg = spark.createDataFrame(runs, "config long, capital double, k int, hold_rank int, every int, min_gap double, cost_factor double")
+    return rounded(pf.persistent_backtest(p, cfg, "return_5"))
+
+
+@REG.add("portfolio_metrics")
+def portfolio_metrics(spark, d):
+    """Performance of each simulated curve."""
+    return rounded(pf.curve_metrics(pf.persistent_backtest(*_persistent(spark, d)), "config", "session", "equity", 52))
+
+
+def _persistent(spark, d):
+    p = scored(spark, d).select("id", "session", "open", "close", "turnover", "eligible", "return_5")
+    return p, spark.createDataFrame([(1, 50_000.0, 5, 10, 5, 0.1, 1.0)], "config long, capital double, k int, hold_rank int, every int, min_gap double, cost_factor double"), "return_5"

@@ -109,3 +109,17 @@ def test_streamed_bars_equal_the_batch(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.sql("select * from streamed").collect()}
     assert got == {tuple(r) for r in sessions.bars(ev, "ts", "user_id", "value").collect()}
+
+
+def test_persistent_portfolio_conserves_cash_without_costs(spark):
+    p = panel(spark).withColumns({"eligible": F.lit(True), "score": F.col("close")})
+    cfg = spark.createDataFrame([(1, 5000.0, 1, 1, 5, 0.0, 0.0), (2, 5000.0, 2, 2, 5, 0.5, 1.0)], "config long, capital double, k int, hold_rank int, every int, min_gap double, cost_factor double")
+    out = pf.persistent_backtest(p, cfg, "score").orderBy("config", "session").collect()
+    assert {r.config for r in out} == {1, 2} and all(r.cash >= -1e-6 for r in out)
+    for c in (1, 2):
+        run = [r for r in out if r.config == c]
+        assert run[-1].n_held == 0 and run[-1].equity == pytest.approx(run[-1].cash)
+        assert max(r.n_held for r in run) <= c and any(r.traded > 0 for r in run)
+        for a, b in zip(run, run[1:]):  # without trades, cash stays; without holdings, equity is cash
+            assert b.traded > 0 or b.n_held == 0 or a.cash == b.cash
+            assert b.n_held or b.equity == pytest.approx(b.cash)
