@@ -144,21 +144,20 @@ def judge(found: DataFrame, refs: DataFrame, limit_chars: float = LIMIT_CHARS, l
     return t.withColumn("kept", ~F.col("base_failed") & ~far).drop("_lang", "char_ref", "word_ref")
 
 
-def final_references(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The staged features of all documents, and the references that decide.
+def final_references(found: DataFrame) -> DataFrame:
+    """The references that decide, from the staged features of all documents.
 
     A first reference, of all documents that pass the base rules, leaves out those far from it; the second is of the
     rest. So junk doesn't shape what it is compared with.
     """
-    found = stage(features(docs), "quality")
     near = judge(found, references(found), WIDE_CHARS, WIDE_WORDS).where("kept").select(*found.columns)
-    return found, references(near)
+    return references(near)
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """One row per document with its counts, distances and verdict; the features are staged, so texts are read once."""
-    found, refs = final_references(docs)
-    return judge(found, refs)
+    found = stage(features(docs), "quality")
+    return judge(found, final_references(found))
 
 
 def report(judged: DataFrame) -> DataFrame:
@@ -168,7 +167,9 @@ def report(judged: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected documents, all columns as they are.
 
-    Each row is judged in place by the references, so texts never shuffle; that costs a second pass over them.
+    The features are staged beside the rows they judge: a copy of the table on disk costs far less than computing them
+    again, texts never shuffle, and the references read the feature columns alone.
     """
-    _, refs = final_references(docs)
-    return judge(features(docs, carry=True), stage(refs, "references")).where("kept").select("_row.*")
+    rows = stage(features(docs, carry=True), "quality")
+    refs = stage(final_references(rows.drop("_row")), "references")
+    return judge(rows, refs).where("kept").select("_row.*")
