@@ -18,10 +18,16 @@ HORIZON, SLOTS = 5, 3
 
 @REG.add("plan_fitness")
 def plan_fitness(spark, d):
-    """From each fifth session on: the best names of each session at equal weights, held for ``HORIZON`` sessions."""
+    """From each fifth session on: the best names of each session at equal weights, held for ``HORIZON`` sessions.
+
+    Plans look ahead by nature, so they choose among names that have a price in each of their sessions.
+    """
     p = scored(spark, d).select("id", "session", "open", "close", "turnover", "eligible", "return_5")
-    best = pf.top_k(p.where("eligible"), "return_5", SLOTS).select("id", "session")
     first = (F.floor(F.col("session") / HORIZON) * HORIZON).cast("long")
+    touched = p.select("id", F.explode(F.array_compact(F.array(first, F.when(F.col("session") == first, first - HORIZON)))).alias("plan"))
+    whole = touched.groupBy("id", "plan").agg(F.count("*").alias("n")).where(F.col("n") == HORIZON + 1)
+    able = p.where("eligible").withColumn("plan", first).join(whole, ["id", "plan"], "left_semi")
+    best = pf.top_k(able, "return_5", SLOTS).select("id", "session")
     targets = best.select(first.alias("plan"), first.alias("first"), "session", "id", F.lit(1.0 / SLOTS).alias("weight"))
     return rounded(simulate_plans(p, targets, HORIZON))
 
