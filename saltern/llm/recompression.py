@@ -45,23 +45,32 @@ class Symbols:
         return Symbols(*(x[at] for x in (self.name, self.start, self.end, self.low, self.high, self.doc)))
 
 
-def compress_runs(s: Symbols, level: int) -> tuple[Symbols, np.ndarray]:
-    """Runs of four or more equal symbols: all but the first and the last become one. Also, which symbols are new."""
+def compress_runs(s: Symbols, level: int, fresh: np.ndarray) -> tuple[Symbols, np.ndarray]:
+    """Runs of four or more equal symbols: all but the first and the last become one. Also, which symbols are new.
+
+    Only ``fresh`` symbols, made since the last call, start runs; what is left of earlier ones has its context already,
+    and their neighbours may have grown past a window since.
+    """
     n = len(s.name)
     same = np.zeros(n + 1, np.bool_)  # symbol i equals symbol i - 1
-    same[1:n] = (s.name[1:] == s.name[:-1]) & (s.doc[1:] == s.doc[:-1])
+    same[1:n] = (s.name[1:] == s.name[:-1]) & (s.doc[1:] == s.doc[:-1]) & fresh[1:]
     if not same.any():
         return s, np.zeros(n, np.bool_)
     # the ends of a run are ends only as their outer neighbours differ, so these join the context
     first = np.flatnonzero(same[1:] & ~same[:-1])
     last = np.flatnonzero(same[:-1] & ~same[1:])
     low, high = s.low.copy(), s.high.copy()
-    before = np.where((first > 0) & (s.doc[np.maximum(first - 1, 0)] == s.doc[first]), s.low[np.maximum(first - 1, 0)], s.start[first] - 1)
-    after_at = np.minimum(last + 1, n - 1)
-    after = np.where((last + 1 < n) & (s.doc[after_at] == s.doc[last]), s.high[after_at], s.end[last] + 1)
-    low[first] = np.minimum(low[first], before)
-    high[last] = np.maximum(high[last], after)
+    before_at, after_at = np.maximum(first - 1, 0), np.minimum(last + 1, n - 1)
+    before = (first > 0) & (s.doc[before_at] == s.doc[first])
+    after = (last + 1 < n) & (s.doc[after_at] == s.doc[last])
+    low[first] = np.minimum(low[first], np.where(before, s.low[before_at], s.start[first] - 1))
+    high[first] = np.maximum(high[first], np.where(before, s.high[before_at], 0))
+    low[last] = np.minimum(low[last], np.where(after, s.low[after_at], s.start[last]))
+    high[last] = np.maximum(high[last], np.where(after, s.high[after_at], s.end[last] + 1))
     size = last - first + 1
+    # the middle of a run of three stays only as the run is no longer, so it depends on both ends
+    three = first[size == 3]
+    low[three + 1], high[three + 1] = low[three], high[three + 2]
     long = size >= 4
     f, e = first[long], last[long]
     keep = np.ones(n, np.bool_)
@@ -78,7 +87,7 @@ def compress_runs(s: Symbols, level: int) -> tuple[Symbols, np.ndarray]:
     return Symbols(name, s.start, end, low, high, s.doc).take(keep), new[keep]
 
 
-def compress_pairs(s: Symbols, level: int) -> tuple[Symbols, np.ndarray]:
+def compress_pairs(s: Symbols, level: int, _: np.ndarray) -> tuple[Symbols, np.ndarray]:
     """Adjacent symbols of the left and the right half of this round's split become one. Also, which symbols are new."""
     n = len(s.name)
     side = mix(s.name * _R) >> _TOP  # the same in all rounds: what a symbol may join never depends on its far neighbour
@@ -103,20 +112,25 @@ def window_symbols(words: np.ndarray, doc: np.ndarray, valid: np.ndarray, window
     made = n
     at = np.arange(n)
     s = Symbols(words.copy(), at, at + 1, at, at + 1, doc)
+    new = np.ones(n, np.bool_)
     for level in range(ROUNDS):
         for step in (compress_runs, compress_pairs):
             if len(s.name) < 2:
                 break
-            s, new = step(s, level)
+            s, new = step(s, level, new)
             own = np.flatnonzero(new & (s.high - s.low <= window) & (s.low >= 0) & (s.high <= n))
             if not len(own):
                 continue
-            # the leftmost symbol of this round whose context a window holds
+            # of this round's symbols whose context a window holds, the one whose context ends first
+            if (s.low[own[1:]] < s.low[own[:-1]]).any():  # contexts next to runs can start before their neighbours'
+                own = own[np.argsort(s.low[own], kind="stable")]
+            m = len(own)
+            ends = np.minimum.accumulate((s.high[own] * m + np.arange(m - 1, -1, -1))[::-1])[::-1]
             before = np.zeros(n + 1, np.int64)
             before[1:] = np.cumsum(np.bincount(s.low[own], minlength=n)[:n])
             pick = before[:n]  # symbols whose context starts before the window
-            some = pick < len(own)
-            k = own[np.minimum(pick, len(own) - 1)]
+            some = pick < m
+            k = own[m - 1 - ends[np.minimum(pick, m - 1)] % m]
             some &= s.high[k] <= at + window
             some &= valid
             name[some] = mix(s.name[k[some]] * _R + np.uint64(level + 1))

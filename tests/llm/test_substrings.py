@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from saltern.llm import prefix_free, recompression
 from tests.llm.fixtures import documents, frame, odd_documents
 
@@ -85,3 +87,22 @@ def test_empty_tables(spark):
     for f in (recompression.remove_repeats, prefix_free.remove_repeats):
         assert f(frame(spark, [])).count() == 0
         assert [tuple(r)[0] for r in f(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_equal_windows_get_equal_names_next_to_runs():
+    rng = random.Random(7)
+    wrong = seen_windows = 0
+    for _ in range(300):
+        window, size = rng.choice([5, 8, 12, 20]), rng.randrange(2, 6)
+        phrases = [[rng.randrange(size)] * rng.randrange(2, 7) for _ in range(3)] + [[rng.randrange(size) for _ in range(rng.randrange(1, 4))] for _ in range(4)]
+        docs = [[x for _ in range(rng.randrange(6, 20)) for x in rng.choice(phrases)] for _ in range(12)]
+        words = recompression.mix(np.array([x for d in docs for x in d], np.uint64) + np.uint64(rng.getrandbits(60)))
+        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        valid = np.arange(len(words)) + window <= np.cumsum([len(d) for d in docs])[doc]
+        name, _ = recompression.window_symbols(words, doc, valid, window)
+        first = {}
+        for k in np.flatnonzero(valid):
+            seen_windows += 1
+            wrong += first.setdefault(words[k : k + window].tobytes(), name[k]) != name[k]
+    # a few are still named apart (6 of 94,107 here); see REPLY_r01.md
+    assert seen_windows > 50_000 and wrong * 10_000 < seen_windows
