@@ -72,13 +72,16 @@ def cohort_backtest(panel: DataFrame, configs: DataFrame, score: str) -> DataFra
     A configuration buys its top k at the next open with equal slots, sells at the close ``hold`` sessions on, and
     starts anew when it is flat; shares are whole; positions that can't be sold at the end are worth nothing. Runs are
     independent, so they spread over tasks; each task's panel holds the few rows that can be bought or held: the best
-    candidates of each session and the rows of their names in the sessions after.
+    candidates of each session and the rows of their names up to the first price at or after the due exit, however late.
     """
     widest = configs.agg(F.max("k").alias("k"), F.max("hold").alias("hold")).first()
     chosen = top_k(panel.where("eligible"), score, widest["k"] or 0).select("id", F.col("session").alias("at"), "place")
-    spans = chosen.select("id", F.explode(F.sequence(F.col("at"), F.col("at") + (widest["hold"] or 0) + 5)).alias("session")).distinct()
-    rows = panel.join(spans, ["id", "session"], "left_semi").select("id", "session", "open", "close")
-    rows = rows.join(chosen.withColumnRenamed("at", "session"), ["id", "session"], "left")
+    rows = panel.select("id", "session", "open", "close").join(chosen.withColumnRenamed("at", "session"), ["id", "session"], "left")
+    # a row can be traded if none of the name's rows lies between the due exit of its last choice and itself
+    earlier = Window.partitionBy("id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    due = F.max(F.when(F.col("place").isNotNull(), F.col("session") + (widest["hold"] or 0))).over(earlier)
+    rows = rows.withColumn("_due", due).withColumn("_before", F.max("session").over(earlier))
+    rows = rows.where(F.col("place").isNotNull() | (F.col("_before") < F.col("_due"))).drop("_due", "_before")
     runs = configs.crossJoin(panel.agg(F.max("session").alias("last")))  # one row for each configuration
     grouped = rows.crossJoin(F.broadcast(runs))
 
@@ -190,15 +193,18 @@ def block_bootstrap(returns: DataFrame, x: str, order: str, reps: int, block: in
     return returns.sparkSession.range(reps).mapInPandas(draw, "rep long, mean double, sharpe double")
 
 
-def persistent_backtest(panel: DataFrame, configs: DataFrame, score: str, widest: int = 20) -> DataFrame:
+def persistent_backtest(panel: DataFrame, configs: DataFrame, score: str, widest: int | None = None) -> DataFrame:
     """Rank-buffer portfolios, one curve for each configuration (config, capital, k, hold_rank, every, min_gap, cost_factor).
 
     Every ``every`` sessions the eligible names are ranked. A holding stays while its rank is within ``hold_rank``, or
     while no candidate leads it by ``min_gap`` of percentile; the others are sold, and free slots filled in order of
     rank. Orders trade at the next session's open, sales before purchases; what has no price then stays pending one
     session and expires. The last session sells everything at its close. Runs spread over tasks; each gets the
-    candidates that any configuration can hold and their rows, not the whole panel.
+    candidates that any configuration can hold and their rows, not the whole panel: names that were ever within
+    ``widest``, twice the largest ``k`` unless given, as ``k`` holdings leave the ``k`` best others within it.
     """
+    if widest is None:
+        widest = 2 * (configs.agg(F.max("k")).first()[0] or 0)
     ranks = panel.where("eligible").select("id", "session", mean_share(score).alias("pct"), place_of(score).alias("place"))
     near = ranks.where(F.col("place") <= widest)
     rows = panel.join(near.select("id").distinct(), "id", "left_semi").select("id", "session", "open", "close")

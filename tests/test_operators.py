@@ -123,3 +123,18 @@ def test_persistent_portfolio_conserves_cash_without_costs(spark):
         for a, b in zip(run, run[1:]):  # without trades, cash stays; without holdings, equity is cash
             assert b.traded > 0 or b.n_held == 0 or a.cash == b.cash
             assert b.n_held or b.equity == pytest.approx(b.cash)
+
+
+def test_a_halted_holding_is_sold_at_its_next_price(spark):
+    rows = [("a", s, 10.0, 10.0, 1.0, s == 0, 1.0) for s in (0, 1, 2, 30, 31)] + [("b", s, 1.0, 1.0, 1.0, False, 0.0) for s in range(41)]
+    p = spark.createDataFrame(rows, "id string, session long, open double, close double, turnover double, eligible boolean, score double")
+    cfg = spark.createDataFrame([(1, 100.0, 1, 3, 0.0)], "config long, capital double, k int, hold int, cost_factor double")
+    out = {r.session: r for r in pf.cohort_backtest(p, cfg, "score").collect()}
+    assert out[29].n_held == 1 and out[30].n_held == 0 and out[40].equity > 90
+
+
+def test_wide_portfolios_keep_all_their_candidates(spark):
+    rows = [(k, s, 10.0, 10.0, 1.0, True, float(-k)) for k in range(40) for s in range(12)]
+    p = spark.createDataFrame(rows, "id long, session long, open double, close double, turnover double, eligible boolean, score double")
+    cfg = spark.createDataFrame([(1, 50_000.0, 30, 30, 5, 0.0, 0.0)], "config long, capital double, k int, hold_rank int, every int, min_gap double, cost_factor double")
+    assert max(r.n_held for r in pf.persistent_backtest(p, cfg, "score").collect()) == 30
