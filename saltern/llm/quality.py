@@ -57,7 +57,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     t = t.withColumn("words", F.array_remove(F.split("text", SPACE_PATTERN, -1), ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     plain = F.when(F.rlike("text", F.lit(NUMERIC)), F.filter("words", lambda w: ~F.rlike(w, F.lit(NUMERIC)))).otherwise(F.col("words"))
-    joined = F.array_join("words", "  ")  # two spaces, so that each word has its own on either side
+    every = sorted({w for words in COMMON.values() for w in words})
+    known = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*every))
     n = F.size("words")
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
     t = t.select(
@@ -65,13 +66,17 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         "doc_id",
         "lang",
         n.alias("n_words"),
-        (F.length(joined) - 2 * F.greatest(n - 1, F.lit(0))).alias("word_chars"),
+        F.length(F.array_join("words", "")).alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).alias("n_symbols"),
-        lines.alias("lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         grams.alias("grams"),
         F.array_join(plain, "").alias("plain"),
-        F.concat(F.lit(" "), F.lower(joined), F.lit(" ")).alias("padded"),
+        # two spaces, so that each word has its own on either side
+        F.concat(F.lit(" "), F.array_join(known, "  "), F.lit(" ")).alias("padded"),
     )
+    # most letters are small ones: what remains without them is short, and the other classes are counted there
+    small = next(iter(CLASSES.values()))
+    t = t.withColumn("n_chars", F.length("plain")).withColumn("plain", F.regexp_replace("plain", f"(?:{small})+", ""))
     # only texts with an equal pair of windows need their places
     pairs = F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     t = t.withColumn("sorted", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.sort_array(pairs)))
@@ -80,17 +85,18 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     # neighbours in the order of hashes tell which windows occur twice
     twice = F.transform("sorted", lambda x, j: F.when((x["h"] == F.get("sorted", j - 1)["h"]) | (x["h"] == F.get("sorted", j + 1)["h"]), x["i"]))
     t = t.withColumn("marks", F.sort_array(F.array_compact(twice)))
-    classes = F.array(*[F.regexp_count("plain", F.lit(p)).cast("double") for p in CLASSES.values()])
+    others = [F.regexp_count("plain", F.lit(p)) for p in list(CLASSES.values())[1:]]
+    classes = F.array((F.col("n_chars") - F.length("plain")).cast("double"), *[c.cast("double") for c in others])
     found = F.transform("common", lambda w: ((F.octet_length("padded") - F.octet_length(F.replace("padded", F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2)).cast("double"))
     t = t.select(
         *keep,
         "doc_id",
         "lang",
-        F.length("plain").alias("n_chars"),
+        "n_chars",
         F.col("n_words").cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         F.when(F.col("marks").isNull(), 0).otherwise(_covered(F.col("marks"))).cast("long").alias("n_repeat_words"),
         classes.alias("classes"),
         found.alias("found"),
