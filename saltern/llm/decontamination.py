@@ -1,24 +1,27 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word n-grams meets every document's windows.
 
 The benchmark is read in blocks of a checked size (``BLOCK_BYTES`` of text each); each block's windows are broadcast as
-sorted hashes and one scan of the documents meets one block, so a benchmark of any size works. A hash hit counts only
-after the words themselves compare equal.
+sorted hashes beside the text they lie in, and one scan of the documents meets one block, so a benchmark of any size
+works. A hash hit counts only after the words themselves compare equal.
 
 Edge cases: a null text or item has no words; an item of fewer than ``n`` words is one shorter window; items that say the
-same are all reported; repeated rows give a row each while ids are unique, and are merged by id when the benchmark needs
-several blocks; empty tables give zero hits or no rows; other columns are ignored, whatever their names.
+same are all reported; repeated rows and repeated or null ids give a row each; empty tables give zero hits or no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import hash_words, mix, padded, text_rows, word_spans
+from saltern.llm.common import hash_words, mix, padded, stage, text_rows, word_spans
 
-#: Benchmark text that one broadcast table is built from.
+#: Benchmark text that one broadcast table is built from; the table takes less than four times as many bytes.
 BLOCK_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,44 +53,71 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def item_windows(items: list[tuple[str, str]], n: int) -> dict[int, dict[tuple[bytes, ...], list[str]]]:
-    """Window length -> the window's words -> the items that have it."""
-    out: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
+class Windows:
+    """The windows of ``n`` words of a block of items, as sorted hashes and places in one buffer of the items' words.
+
+    Nothing is held for each window but its hash and place (12 bytes), and for each word its place (4): the windows'
+    words are read from the buffer, which is the items' text once, words parted by one space.
+    """
+
+    def __init__(self, words: list[list[bytes]], names: list[str], n: int):
+        self.n, self.names = n, names
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.text = b" ".join(x for w in words for x in w)
+        buf = padded([self.text])
+        starts, ends = word_spans(buf, len(self.text), _WORD)
+        h = windows(hash_words(buf, starts, ends), n)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        # windows that end in the item they start in
+        left = np.repeat(self.first[1:], sizes) - np.arange(self.first[-1])
+        at = np.flatnonzero(left >= n)
+        order = at[np.argsort(h[at], kind="stable")]
+        self.hashes, self.places = h[order], order.astype(np.int32)
+        self.starts = np.append(starts, len(self.text) + 1).astype(np.int32)
+        self.leading = np.zeros(1 << 20, np.bool_)
+        self.leading[self.hashes >> np.uint64(44)] = True
+
+    def possible(self, w: np.ndarray) -> np.ndarray:
+        """Which window hashes occur here."""
+        at = np.flatnonzero(self.leading[w >> np.uint64(44)])
+        return at[self.hashes[np.minimum(np.searchsorted(self.hashes, w[at]), len(self.hashes) - 1)] == w[at]]
+
+    def items(self, h: np.uint64, said: bytes) -> frozenset[str]:
+        """The items with the window of hash ``h`` whose words, parted by spaces, are ``said``."""
+        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        places = self.places[lo:hi]
+        a, b = self.starts[places].tolist(), (self.starts[places + self.n] - 1).tolist()
+        equal = [self.text[x:y] == said for x, y in zip(a, b, strict=True)]
+        own = np.searchsorted(self.first, places[equal], "right") - 1
+        return frozenset(self.names[i] for i in own.tolist())
+
+
+def item_windows(items: list[tuple[str, str]], n: int) -> list[Windows]:
+    """The windows of a block of items: one table of ``n`` words, and one for each length of shorter items."""
+    by_size: dict[int, tuple[list[list[bytes]], list[str]]] = {}
     for item, text in items:
         buf, starts, ends, _, _ = words_of([text or ""])
         words = [buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        size = min(n, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            held = out.setdefault(size, {}).setdefault(tuple(words[k : k + size]), [])
-            if item not in held:
-                held.append(item)
-    return out
-
-
-def _hash_table(grams: dict[tuple[bytes, ...], list[str]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows' sorted hashes, and a bit for each leading 20 bits that occur."""
-    words = b"\n".join(b" ".join(g) for g in grams)
-    buf = padded([words])
-    starts, ends = word_spans(buf, len(words), _WORD)
-    h = windows(hash_words(buf, starts, ends), n)[::n]
-    first = np.zeros(1 << 20, np.bool_)
-    first[h >> np.uint64(44)] = True
-    return np.sort(h), first
-
-
-def scan(docs: DataFrame, items: list[tuple[str, str]], n: int = 10) -> DataFrame:
-    """Each document's hit words (runs as word numbers, and as byte spans) against one block of items."""
-    grams = item_windows(items, n)
-    held = docs.sparkSession.sparkContext.broadcast({size: (*_hash_table(g, size), g) for size, g in grams.items()})
+        if words:
+            held = by_size.setdefault(min(n, len(words)), ([], []))
+            held[0].append(words)
+            held[1].append(item)
+    return [Windows(words, names, size) for size, (words, names) in by_size.items()]
+
+
+def scan(rows: DataFrame, items: list[tuple[str, str]], n: int = 10, only_hits: bool = False) -> DataFrame:
+    """The hit words of rows (id, text) against one block of items, as word numbers and as byte spans."""
+    held = rows.sparkSession.sparkContext.broadcast(item_windows(items, n))
 
     def scanned(batches):
         for b in batches:
-            yield from _scan(b, held.value)
+            for out in _scan(b, held.value):
+                yield out.filter(pc.greater(pc.list_value_length(out["hits"]), 0)) if only_hits else out
 
-    return text_rows(docs).mapInArrow(scanned, SPANS)
+    return rows.mapInArrow(scanned, SPANS)
 
 
-def _scan(b: pa.RecordBatch, tables: dict, chunk: int = 1 << 22):
+def _scan(b: pa.RecordBatch, tables: list[Windows], chunk: int = 1 << 22):
     """In parts of about ``chunk`` bytes, so that memory doesn't depend on how a batch was cut."""
     ids, texts = b.column(0), b.column(1).to_pylist()
     sizes = np.cumsum([len(t) for t in texts]) // chunk
@@ -97,14 +127,15 @@ def _scan(b: pa.RecordBatch, tables: dict, chunk: int = 1 << 22):
         buf, starts, ends, h, first = words_of([texts[i] for i in part])
         doc_of = np.repeat(np.arange(len(part)), np.diff(first))
         hit, found = np.zeros(len(h) + 1, np.int64), [set() for _ in part]
-        for size, (sorted_h, leading, grams) in tables.items():
-            w = windows(h, size)
-            at = np.flatnonzero(leading[w >> np.uint64(44)])
+        for table in tables:
+            size, w, seen = table.n, windows(h, table.n), {}
+            at = table.possible(w)
             at = at[doc_of[at] == doc_of[at + size - 1]] if len(at) else at
-            at = at[sorted_h[np.minimum(np.searchsorted(sorted_h, w[at]), len(sorted_h) - 1)] == w[at]] if len(at) else at
             for k in at.tolist():
-                key = tuple(buf[starts[j] : ends[j]].tobytes() for j in range(k, k + size))
-                if items := grams.get(key):
+                said = b" ".join([buf[starts[j] : ends[j]].tobytes() for j in range(k, k + size)])
+                if said not in seen:
+                    seen[said] = table.items(w[k], said)
+                if items := seen[said]:
                     hit[k] += 1
                     hit[k + size] -= 1
                     found[doc_of[k]].update(items)
@@ -139,15 +170,23 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (numbers of the hit words), starts and ends (their UTF-8 byte spans), items (sorted ids)."""
-    parts = [scan(docs, block, n) for block in item_blocks(benchmark, block_bytes=block_bytes)] or [scan(docs, [], n)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0].unionByName(parts[1])
-    for p in parts[2:]:
-        whole = whole.unionByName(p)
+    """doc_id, n_words, hits (numbers of the hit words), starts and ends (their UTF-8 byte spans), items (sorted ids).
+
+    One row for each row of ``docs``, however many blocks the benchmark needs. With several, rows are numbered in a
+    staged copy, and what the blocks hit is added up by that number; rows without a hit don't shuffle but once.
+    """
+    blocks = item_blocks(benchmark, block_bytes=block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return scan(text_rows(docs), first, n)
+    rows = stage(text_rows(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), "text")
+    whole = scan(numbered, first, n)
+    for block in chain([second], blocks):
+        whole = whole.unionByName(scan(numbered, block, n, only_hits=True))
     merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[merge(c) for c in ("hits", "starts", "ends", "items")])
+    merged = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *[merge(c) for c in ("hits", "starts", "ends", "items")])
+    return rows.select("doc_id", "row").join(merged.withColumnRenamed("doc_id", "found"), F.col("row") == F.col("found")).drop("row", "found")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -166,8 +205,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col
     """``docs`` without the contaminated documents: one map-side filter for each block of the benchmark, no shuffle."""
     at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, block_bytes=block_bytes):
-        grams = item_windows(block, n)
-        held = docs.sparkSession.sparkContext.broadcast({size: (*_hash_table(g, size), g) for size, g in grams.items()})
+        held = docs.sparkSession.sparkContext.broadcast(item_windows(block, n))
 
         def kept(batches, held=held):
             for b in batches:

@@ -70,3 +70,26 @@ def test_empty_tables(spark):
     assert decontamination.decontaminate(frame(spark, []), bench).count() == 0
     got = decontamination.report(decontamination.decontaminate(frame(spark, [(1, "a b")]), bench)).collect()
     assert [(r.n_hit, r.contaminated) for r in got] == [(0, False)]
+
+
+def test_repeated_and_null_ids_give_a_row_each_for_any_number_of_blocks(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "delta eps zeta"), (1, "delta eps zeta"), (None, "alpha beta gamma"), (None, None), (2, "nothing")]
+    items = [("a", "alpha beta gamma"), ("b", "eps zeta"), ("c", "Eps, zeta!"), ("d", "beta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    for block in (decontamination.BLOCK_BYTES, 20, 1):
+        got = decontamination.report(decontamination.decontaminate(docs, bench, block_bytes=block)).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(brute_rows(rows, items), key=key)
+
+
+def brute_rows(rows, items):
+    return [x for r in rows for x in brute([r], items)]
+
+
+def test_table_takes_less_than_four_times_its_text():
+    rng = random.Random(1)
+    items = [(str(k), " ".join(f"w{rng.randrange(10**rng.randrange(1, 9))}" for _ in range(400))) for k in range(1000)]
+    (table,) = decontamination.item_windows(items, 10)
+    held = sum(x.nbytes for x in (table.hashes, table.places, table.starts, table.first)) + len(table.text)
+    assert held < 4 * sum(len(t) for _, t in items)
