@@ -6,14 +6,17 @@ every pseudonym is valid in turn, and equal values get equal pseudonyms in all d
 
 | kind | validated by | kept |
 | --- | --- | --- |
-| card | 13 to 19 digits, Luhn sum | separators, length, a valid check digit |
-| phone | country code and ten digits, or ten digits in groups | code, separators |
+| card | 13 to 19 digits, unbroken or in groups of four or 4-6-5 or 4-6-4, Luhn sum | separators, length, a valid check digit |
+| phone | + with a country code and 8 to 15 digits in any groups of two to four, or ten digits in groups | code, separators |
 | ssn | no excluded area, group or serial | hyphens |
 | ip | four numbers up to 255 | a valid address |
-| date | exists, from 1900-01-01 on for 73,000 days (to 2099) | order of day, month, year and separators |
+| date | exists, from 1900-01-01 on for 73,000 days (to 2099); the day first unless only the month can be | order of day, month, year and separators |
 | email | address form | address form |
 | secret | 32 to 64 hexadecimal digits with a digit and a letter | length and case |
 
+In a run of groups of digits the longest part of whole groups with a Luhn sum is the card, from the left, so digits beside
+a card don't hide it.
+
 Edge cases: a null text stays null; texts without personal data stay as they are; repeated rows give equal rows; null ids
 stay; an empty table gives no rows. ``mask`` keeps all columns but the text as they are, whatever their names.
 """
@@ -33,12 +36,14 @@ FIRST_DAY, DAY_LEFT, DAY_RIGHT = "1900-01-01", 250, 292
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
-    "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9])",
+    "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:[0-9]{2}[./](?:0[1-9]|1[0-2])|(?:0[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01]))[./](?:19|20)[0-9]{2})(?![0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}|[ .-]\([0-9]{2,4}\)|[ .-][0-9](?=[ .-][0-9]{2})){2,5}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){3,99}(?:[ -][0-9]{1,3})?)(?![0-9])",
 }
+#: Country codes of one and of two digits; all others have three.
+CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -83,6 +88,37 @@ def _refill(m: Column, digits: Column) -> Column:
     return F.array_join(F.zip_with(parts, F.split(F.concat(digits, F.lit(" ")), ""), lambda p, d: F.concat(F.coalesce(p, F.lit("")), F.when(d == " ", "").otherwise(F.coalesce(d, F.lit(""))))), "")
 
 
+def _groups(m: Column) -> Column:
+    """The groups of digits, each with the separator before it."""
+    return F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+
+
+def _card_ends(groups: Column, i: Column) -> Column:
+    """The lengths, in groups, of the cards that start with group ``i``, ascending."""
+    part = lambda n: _only_digits(F.array_join(F.slice(groups, i + 1, n), ""))
+    good = lambda n: F.length(part(n)).between(13, 19) & (luhn_sum(part(n)) % 10 == 0)
+    return F.filter(F.sequence(F.lit(1), F.least(F.lit(5), F.size(groups) - i)), good)
+
+
+def _has_card(m: Column) -> Column:
+    groups = _groups(m)
+    return F.exists(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.size(_card_ends(groups, i)) > 0)
+
+
+def _cards(m: Column, key: str) -> Column:
+    """``m`` with its cards permuted: from the left, the longest card that starts at each group."""
+    groups = _groups(m)
+
+    def step(acc: Column, i: Column) -> Column:
+        n = F.coalesce(F.try_element_at(_card_ends(groups, i), F.lit(-1)), F.lit(0))
+        new = F.when(n > 0, _card(F.array_join(F.slice(groups, i + 1, n), ""), key)).otherwise(F.get(groups, i))
+        skip = i < acc["next"]
+        return F.struct(F.when(skip, acc["next"]).otherwise(i + F.greatest(n, F.lit(1))).alias("next"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("next"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda acc: acc["out"])
+
+
 def _card(m: Column, key: str) -> Column:
     digits = _only_digits(m)
     body = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
@@ -92,8 +128,8 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     digits = _only_digits(m)
-    n = F.length(digits)
-    return _refill(m, F.concat(F.substr(digits, F.lit(1), n - 10), permute_digits(F.substr(digits, n - 9), key, "phone")))
+    code = F.when(F.substring(m, 1, 1) == "+", F.regexp_extract(digits, f"^(?:{CODES}|[0-9]{{3}})", 0)).otherwise("")
+    return _refill(m, F.concat(code, permute_digits(F.substr(digits, F.length(code) + 1), key, "phone")))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -115,7 +151,10 @@ def _ip(m: Column, key: str) -> Column:
 
 def _as_date(m: Column) -> Column:
     """Null if the date does not exist or lies outside the permuted range."""
-    iso = F.when(F.substring(m, 5, 1) == "-", m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
+    first, second = F.substring(m, 1, 2), F.substring(m, 4, 2)
+    day_first = F.concat_ws("-", F.substring(m, 7, 4), second, first)
+    month_first = F.concat_ws("-", F.substring(m, 7, 4), first, second)
+    iso = F.when(F.substring(m, 5, 1) == "-", m).when(second > "12", month_first).otherwise(day_first)
     day = F.try_to_date(iso, "yyyy-MM-dd")
     at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     return F.when((at >= 0) & (at < DAY_LEFT * DAY_RIGHT), day)
@@ -125,8 +164,9 @@ def _date(m: Column, key: str) -> Column:
     at = F.datediff(_as_date(m), F.lit(FIRST_DAY).cast("date"))
     out = feistel(F.floor(at / DAY_RIGHT), at % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT), key, "date")
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["u"] * DAY_RIGHT + out["v"]).cast("int"))
-    mark = F.substring(m, 3, 1)
-    return F.when(F.substring(m, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(day, "dd"), mark, F.date_format(day, "MM"), F.substring(m, 6, 1), F.date_format(day, "yyyy")))
+    month_first = F.substring(m, 4, 2) > "12"
+    first, second = F.when(month_first, F.date_format(day, "MM")).otherwise(F.date_format(day, "dd")), F.when(month_first, F.date_format(day, "dd")).otherwise(F.date_format(day, "MM"))
+    return F.when(F.substring(m, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(first, F.substring(m, 3, 1), second, F.substring(m, 6, 1), F.date_format(day, "yyyy")))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -152,15 +192,15 @@ def kind(m: Column) -> Column:
         .when(whole("secret") & F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Fa-f]")), "secret")
         .when(whole("date"), F.when(_as_date(m).isNotNull(), "date"))
         .when(whole("ip"), F.when(octets, "ip"))
-        .when(whole("phone"), "phone")
+        .when(whole("phone"), F.when(F.length(digits).between(8, 15), "phone"))
         .when(whole("ssn"), F.when(ssn, "ssn"))
-        .when(whole("card") & (luhn_sum(digits) % 10 == 0), "card")
+        .when(whole("card") & _has_card(m), "card")
     )
 
 
 def pseudonym(m: Column, what: Column, key: str) -> Column:
     out = F.when(what == "email", _email(m, key))
-    for name, f in (("secret", _secret), ("date", _date), ("ip", _ip), ("phone", _phone), ("ssn", _ssn), ("card", _card)):
+    for name, f in (("secret", _secret), ("date", _date), ("ip", _ip), ("phone", _phone), ("ssn", _ssn), ("card", _cards)):
         out = out.when(what == name, f(m, key))
     return out.otherwise(m)
 
@@ -188,8 +228,10 @@ def report(masked: DataFrame) -> DataFrame:
 
 
 def masked_documents(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with masked texts; ``n_chars`` follows the text where the table has it."""
-    out = mask(docs, key=key).drop("_pii")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+    """``docs`` with masked texts; ``n_chars`` follows the text where the table has it. All other columns, whatever their
+    names, stay as they are: they travel beside the text as one struct."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = mask(docs.select(F.col("text").alias("text"), row.alias("row")), key=key)
+    length = lambda c: F.length("text").cast(docs.schema[c].dataType)
+    new = {"text": F.col("text"), "n_chars": length("n_chars") if "n_chars" in docs.columns else None}
+    return out.select(*[(F.col("row").getField(c) if new.get(c) is None else new[c]).alias(c) for c in docs.columns])

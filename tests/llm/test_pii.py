@@ -1,3 +1,4 @@
+import hashlib
 import re
 from datetime import date
 
@@ -76,3 +77,53 @@ def test_plan_is_native_and_columns_stay(spark):
     assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     assert "Python" not in out._jdf.queryExecution().toString()
     assert pii.masked_documents(df.where("false")).count() == 0
+
+
+def permuted(digits, tweak, key=pii.DEFAULT_KEY):
+    """The Feistel network in plain Python."""
+    n = len(digits)
+    a = n // 2
+    u, v = int(digits[:a]), int(digits[a:])
+    for i in range(8):
+        size = 10 ** (a if i % 2 == 0 else n - a)
+        u, v = v, (u + int(hashlib.md5(f"{key}|digits-{tweak}|{i}|{v}".encode()).hexdigest()[:15], 16) % size) % size
+    return f"{u:0{a}d}{v:0{n - a}d}"
+
+
+def card(digits):
+    body = permuted(digits[:-1], "card")
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def test_cards_and_phones_equal_plain_python(spark):
+    c, d = "4539578763621486", "378282246310005"
+    new, amex = card(c), card(d)
+    four = lambda x, s: s.join(x[k : k + 4] for k in range(0, 16, 4))
+    de, es = permuted("612345678", "phone"), permuted("5215552373", "phone")
+    cases = {
+        f"{c} 12/27": f"{new} 12/27",
+        f"at {c} 123 Main St": f"at {new} 123 Main St",
+        f"2 {c}": f"2 {new}",
+        f"{four(c, ' ')} 12/27": f"{four(new, ' ')} 12/27",
+        f"1234 {four(c, ' ')} {four(c, '-')}-2024": f"1234 {four(new, ' ')} {four(new, '-')}-2024",
+        f"{d[:4]} {d[4:10]} {d[10:]} {d}": f"{amex[:4]} {amex[4:10]} {amex[10:]} {amex}",
+        "+34 612 345 678, +34612345678": f"+34 {de[:3]} {de[3:6]} {de[6:]}, +34{de}",
+        "+33 6 12 34 56 78.": f"+33 {de[0]} {de[1:3]} {de[3:5]} {de[5:7]} {de[7:]}.",
+        "+1 (521) 555-2373": f"+1 ({es[:3]}) {es[3:6]}-{es[6:]}",
+        "2024 2023 2022 2021 2020 2019": "2024 2023 2022 2021 2020 2019",
+    }
+    got = masked(spark, list(cases))
+    assert [got[k].text for k in range(len(cases))] == list(cases.values())
+
+
+def test_month_first_dates(spark):
+    got = masked(spark, ["05/22/1990", "22/05/1990", "13/13/1990"])
+    m, d = got[0].text.split("/"), got[1].text.split("/")
+    assert m == [d[1], d[0], d[2]] and date(int(d[2]), int(d[1]), int(d[0])) and got[2].text == "13/13/1990"
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "ip 1.2.3.4", "mine", "r", None), (None, None, None, None, 3)], "doc_id long, text string, _pii string, row string, n_chars long")
+    rows = sorted(pii.masked_documents(df).collect(), key=lambda r: r.doc_id is None)
+    assert rows[0]._pii == "mine" and rows[0].row == "r" and rows[0].n_chars == len(rows[0].text) and rows[0].text != "ip 1.2.3.4"
+    assert rows[1]._pii is None and rows[1].text is None and rows[1].n_chars is None
