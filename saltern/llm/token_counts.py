@@ -23,6 +23,8 @@ from saltern.llm.tokens import ByteCounter
 TABLE_ENTRIES = 16_384
 #: Pieces that each task reports, and how many it counts at a time before it drops the rare half.
 REPORTED, COUNTED = 8_192, 300_000
+#: Longer pieces stay out of the table, so its bytes are bounded too.
+TABLE_CHARS = 64
 
 
 def frequent_pieces(docs: DataFrame, table_entries: int = TABLE_ENTRIES) -> list[str]:
@@ -33,10 +35,10 @@ def frequent_pieces(docs: DataFrame, table_entries: int = TABLE_ENTRIES) -> list
         seen: Counter[str] = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                seen.update(text.split(" ")[1:])
+                seen.update(p for p in text.split(" ")[1:] if len(p) <= TABLE_CHARS)
                 if len(seen) > COUNTED:
                     seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        top = [(p, n) for p, n in seen.most_common(REPORTED) if len(p) <= 64 and n > 1]
+        top = [(p, n) for p, n in seen.most_common(REPORTED) if n > 1]
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     counted = text_rows(docs).select("text").mapInArrow(local, "piece string, n long")

@@ -17,8 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries a worker's cache holds before it starts anew.
-CACHE_ENTRIES = 600_000
+#: Entries and bytes a worker's cache holds before it starts anew; pieces of more characters are encoded each time.
+CACHE_ENTRIES, CACHE_BYTES, CACHED_CHARS = 600_000, 64 << 20, 256
 #: Code points below this go through the fast path; their classes and cases are alike in all Unicode versions in use.
 PLAIN_BELOW = 0x250
 _NOT_PLAIN = re.compile(f"[^\\x01-{chr(PLAIN_BELOW - 1)}]")
@@ -44,13 +44,18 @@ class _Cache(dict):
 
     def __init__(self, encode, seed=()):
         super().__init__(seed)
-        self.encode, self.seed = encode, seed
+        self.encode, self.seed, self.bytes = encode, seed, 0
 
     def __missing__(self, piece):
-        if len(self) >= CACHE_ENTRIES + len(self.seed):
+        out = self.encode(piece)
+        if len(piece) > CACHED_CHARS:
+            return out
+        if len(self) >= CACHE_ENTRIES + len(self.seed) or self.bytes >= CACHE_BYTES:
             self.clear()
             self.update(self.seed)
-        self[piece] = out = self.encode(piece)
+            self.bytes = 0
+        self.bytes += len(piece) + (len(out) if isinstance(out, bytes) else 8)
+        self[piece] = out
         return out
 
 
