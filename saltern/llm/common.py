@@ -13,6 +13,10 @@ ASCII_SPACE = bytes([9, 10, 11, 12, 13, 32])
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 DEFAULT_SHARED = "file:///tmp/saltern-shared"
+#: Uncompressed bytes of a row group of staged tables: writers and readers hold about one for each core.
+GROUP_BYTES = 32 << 20
+#: Bytes of an Arrow batch; a worker and its JVM task hold a few copies of one.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local default only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local default only on a local master."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or DEFAULT_SHARED).rstrip("/")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to ``BATCH_BYTES``, so that runs of long texts make small batches too."""
+    if int(spark.conf.get(BATCH_KEY).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in files that survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

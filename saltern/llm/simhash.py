@@ -11,7 +11,7 @@ Buckets are met in a stream of sorted rows. One of more than ``TILE`` fingerprin
 a bucket of its own, so no group is held whole. A bucket emits links that span its groups instead of all pairs.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other; texts of fewer words than a shingle are
-one shingle; repeated rows give a row each with one component; an empty table gives no rows; null ids keep a fingerprint
+one shingle; repeated rows give a row each with one component, and ``one_of_each`` keeps all rows of a kept id; an empty table gives no rows; null ids keep a fingerprint
 and take part in no component but their own (null); other columns are ignored, whatever their names.
 """
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import stage, text_rows
+from saltern.llm.common import bound_batches, stage, text_rows
 from saltern.llm.components import components
 
 BLOCKS = 7
@@ -50,10 +50,11 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long)."""
+    bound_batches(docs.sparkSession)
 
     def mapped(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return text_rows(docs).mapInArrow(mapped, "doc_id long, fp long")
@@ -199,5 +200,7 @@ def one_of_each(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame
     Rows that repeat a kept id all stay: they are one document.
     """
     found = near_duplicates(docs, width, max_bits)
-    out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_out"), "left_anti")
+    out = found.where("doc_id <> component_id").select("doc_id").distinct()
+    # the columns travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(out, F.col("row.doc_id") == out["doc_id"], "left_anti").select("row.*")

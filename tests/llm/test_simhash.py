@@ -83,3 +83,9 @@ def test_pivots_never_discard_a_close_pair():
     y = np.concatenate([x, x ^ np.uint64(5), x ^ np.uint64(0x8000000000000007)])
     near = simhash.close(y, 4)
     assert (near == (np.bitwise_count(y[:, None] ^ y[None, :]) <= 4)).all()
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e", "x", 5), (2, "a b c d e", "y", 6), (None, "a b c d e", None, None)], "doc_id long, text string, _out string, row long")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r._out or "") for r in got.collect()) == [(0, ""), (1, "x")]
