@@ -23,10 +23,28 @@ def valid_isin(x: Column) -> Column:
     return F.when(up.rlike("^[A-Z]{2}[A-Z0-9]{10}$"), up)
 
 
+#: Words of a purpose and the kind they name, the first that occurs deciding; and whole texts that do.
+KINDS = (
+    ("bonus", ("bonus",)),
+    ("split_or_consolidation", ("split", "sub-division", "subdivision", "consolidation")),
+    ("rights", ("right",)),
+    ("demerger", ("demerger",)),
+    ("merger_or_scheme", ("merger", "amalgamation", "scheme of arrangement")),
+    ("dividend", ("dividend",)),
+    ("buyback", ("buyback", "buy back")),
+    ("interest", ("interest",)),
+    ("general_meeting", ("annual general meeting", "extra ordinary general meeting", "extraordinary general meeting")),
+)
+MEETINGS = ("agm", "egm")
+
+
 def action_kind(text: str) -> Column:
+    """The kind of an action's purpose; a null or unknown purpose is ``other``."""
     low = F.lower(F.col(text))
-    has = lambda *w: F.greatest(*[F.contains(low, F.lit(x)) for x in w]) if len(w) > 1 else F.contains(low, F.lit(w[0]))
-    return F.when(has("bonus"), "bonus").when(has("split", "sub-division", "subdivision"), "split").when(has("consolidation"), "consolidation").when(has("rights"), "rights").when(has("dividend"), "dividend").otherwise("other")
+    out = F.when(F.trim(low).isin(*MEETINGS), "general_meeting")
+    for kind, words in KINDS:
+        out = out.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), kind)
+    return out.otherwise("other")
 
 
 def share_multiplier(text: str) -> Column:
@@ -34,7 +52,7 @@ def share_multiplier(text: str) -> Column:
     a, b = (F.expr(f"try_cast(nullif(regexp_extract(lower({text}), '([0-9]+) ?: ?([0-9]+)', {k}), '') as double)") for k in (1, 2))
     x, y = (F.expr(f"try_cast(nullif(regexp_extract(lower({text}), 'from (?:rs|re)?[ .]*([0-9.]+).*? to (?:rs|re)?[ .]*([0-9.]+)', {k}), '') as double)") for k in (1, 2))
     kind = action_kind(text)
-    return F.when((kind == "bonus") & (b > 0), (a + b) / b).when(kind.isin("split", "consolidation") & (y > 0), x / y)
+    return F.when((kind == "bonus") & (b > 0), (a + b) / b).when((kind == "split_or_consolidation") & (y > 0), x / y)
 
 
 def dividend_total(text: str) -> Column:
@@ -48,4 +66,6 @@ def any_date(x: str) -> Column:
 
 
 def lineage_id(*parts: str) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256), 1, 16)
+    """A stable name for a lineage without an ISIN: sixteen digits of the SHA-1 of its parts."""
+    joined = F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+    return F.concat(F.lit("NSELINEAGE:"), F.substring(F.sha1(joined), 1, 16))

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bands of economic relevance.
+BANDS = ("A_top_80pct", "B_next_15pct", "C_tail_5pct")
+
+
 def bars(df: DataFrame, keys: list[str], x: str, order: list[str]) -> DataFrame:
     """Open, high, low, close and count of ``x`` by key, in a total order."""
     place = F.struct(*order)
     return df.groupBy(*keys).agg(F.min_by(x, place).alias("open"), F.max(x).alias("high"), F.min(x).alias("low"), F.max_by(x, place).alias("close"), F.count("*").alias("n"))
 
 
-def pareto(df: DataFrame, key: str, x: str, cuts: tuple[float, float] = (0.5, 0.8), ranges: int = 64) -> DataFrame:
-    """Cumulative share of the total by descending size, and its band.
+def pareto(df: DataFrame, key: str, x: str, cuts: tuple[float, float] = (0.8, 0.95), ranges: int = 64) -> DataFrame:
+    """Cumulative share of the total by descending size, and its band: by the share of the rows before it.
 
     The running sum over all rows is done in two steps, so no task orders the whole table: value ranges, cut at
     approximate quantiles, are summed, and each range starts from the sum of those above it.
@@ -25,8 +29,9 @@ def pareto(df: DataFrame, key: str, x: str, cuts: tuple[float, float] = (0.5, 0.
     before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))
     own = F.sum(x).over(Window.partitionBy("_range").orderBy(F.desc(x), F.asc(key)).rowsBetween(Window.unboundedPreceding, 0))
     share = (F.col("_before") + own) / F.col("_all")
-    out = ranged.join(F.broadcast(before), "_range").select(key, share.alias("share"))
-    return out.withColumn("band", F.when(F.col("share") <= cuts[0], "top").when(F.col("share") <= cuts[1], "middle").otherwise("tail"))
+    out = ranged.join(F.broadcast(before), "_range").select(key, share.alias("share"), (F.col(x) / F.col("_all")).alias("_own"))
+    earlier = F.col("share") - F.col("_own")
+    return out.withColumn("band", F.when(earlier < cuts[0], BANDS[0]).when(earlier < cuts[1], BANDS[1]).otherwise(BANDS[2])).drop("_own")
 
 
 def skewness(x: str | Column) -> Column:

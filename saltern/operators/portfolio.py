@@ -22,7 +22,7 @@ class Costs:
     exchange: float = 0.0000307
     gst: float = 0.18
     brokerage: float = 15.0
-    depository_sell: float = 15.0
+    depository_sell: float = 0.0
     slippage: float = 0.0005
 
     def scaled(self, factor: float) -> Costs:

@@ -170,11 +170,36 @@ def purposes(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey", PURPOSE_SQL + " as purpose")
 
 
-@REG.add("action_classify", f"SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'bonus' WHEN 1 THEN 'split' WHEN 2 THEN 'dividend' WHEN 3 THEN 'rights' ELSE CASE WHEN regexp_matches(lower(p_name), 'bonus') THEN 'bonus' WHEN regexp_matches(lower(p_name), 'split|sub-?division') THEN 'split' ELSE 'other' END END AS kind FROM part")
+@REG.add("action_classify", f"SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'bonus' WHEN 1 THEN 'split_or_consolidation' WHEN 2 THEN 'dividend' WHEN 3 THEN 'rights' ELSE CASE WHEN regexp_matches(lower(p_name), 'bonus') THEN 'bonus' WHEN regexp_matches(lower(p_name), 'split|sub-?division|consolidation') THEN 'split_or_consolidation' WHEN lower(p_name) LIKE '%right%' THEN 'rights' ELSE 'other' END END AS kind FROM part")
 def action_classify(spark, d):
     return purposes(spark, d).select("p_partkey", ac.action_kind("purpose").alias("kind"))
 
 
+#: Purposes of every kind, with the kind that each must get.
+PURPOSES = (
+    ("BONUS 1:1", "bonus"),
+    ("Sub-Division of shares", "split_or_consolidation"),
+    ("Consolidation of shares", "split_or_consolidation"),
+    ("Right issue 2:7", "rights"),
+    ("Demerger of a unit", "demerger"),
+    ("Scheme of Arrangement", "merger_or_scheme"),
+    ("Merger", "merger_or_scheme"),
+    ("Final Dividend Rs 3", "dividend"),
+    ("Buy Back", "buyback"),
+    ("Interest Payment", "interest"),
+    ("Extraordinary General Meeting", "general_meeting"),
+    (" AGM ", "general_meeting"),
+    ("agm notice", "other"),
+)
+
+
+@REG.add("action_kinds", f"SELECT p_partkey, CASE p_partkey % {len(PURPOSES)} {' '.join(f"WHEN {k} THEN '{kind}'" for k, (_, kind) in enumerate(PURPOSES))} END AS kind FROM part")
+def action_kinds(spark, d):
+    texts = F.array(*[F.lit(t) for t, _ in PURPOSES])
+    p = table(spark, d, "part").select("p_partkey", F.get(texts, (F.col("p_partkey") % len(PURPOSES)).cast("int")).alias("purpose"))
+    return p.select("p_partkey", ac.action_kind("purpose").alias("kind"))
+
+
 @REG.add("ratio_parse", f"SELECT p_partkey, {r('CASE p_size % 5 WHEN 0 THEN (p_size % 7 + 1 + p_size % 3 + 1) / (p_size % 3 + 1) WHEN 1 THEN (p_size % 9 + 2) / (p_size % 2 + 1) END', 'multiplier')} FROM part")
 def ratio_parse(spark, d):
     return rounded(purposes(spark, d).select("p_partkey", ac.share_multiplier("purpose").alias("multiplier")))
@@ -186,7 +211,7 @@ def dividend_sum(spark, d):
     return rounded(p.select("p_partkey", ac.dividend_total("purpose").alias("dividend")))
 
 
-@REG.add("stable_lineage_id", "SELECT o_orderkey, substr(sha256(o_custkey || '|' || o_orderstatus || '|' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR)), 1, 16) AS lineage FROM orders")
+@REG.add("stable_lineage_id", "SELECT o_orderkey, 'NSELINEAGE:' || substr(sha1(o_custkey || '|' || o_orderstatus || '|' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR)), 1, 16) AS lineage FROM orders")
 def stable_lineage_id(spark, d):
     o = table(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     return o.select("o_orderkey", ac.lineage_id("o_custkey", "o_orderstatus", "day").alias("lineage"))

@@ -150,8 +150,8 @@ def identity_fill(spark, d):
 
 @REG.add(
     "pareto_bands",
-    f"""WITH {USER_PANEL}, t AS (SELECT id, sum(turnover) AS total FROM panel GROUP BY id), s AS (SELECT id, sum(total) OVER (ORDER BY total DESC, id ROWS UNBOUNDED PRECEDING) / sum(total) OVER () AS share FROM t)
-    SELECT id, {r("share", "share")}, CASE WHEN share <= 0.5 THEN 'top' WHEN share <= 0.8 THEN 'middle' ELSE 'tail' END AS band FROM s""",
+    f"""WITH {USER_PANEL}, t AS (SELECT id, sum(turnover) AS total FROM panel GROUP BY id), s AS (SELECT id, sum(total) OVER (ORDER BY total DESC, id ROWS UNBOUNDED PRECEDING) / sum(total) OVER () AS share, total / sum(total) OVER () AS own FROM t)
+    SELECT id, {r("share", "share")}, CASE WHEN share - own < 0.8 THEN 'A_top_80pct' WHEN share - own < 0.95 THEN 'B_next_15pct' ELSE 'C_tail_5pct' END AS band FROM s""",
 )
 def pareto_bands(spark, d):
     from saltern.operators.aggregates import pareto

@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from saltern.operators import features as ft
+from saltern.operators import models
 from saltern.operators import portfolio as pf
 from saltern.operators import temporal as tp
 from saltern.sources import market
@@ -138,3 +140,19 @@ def test_wide_portfolios_keep_all_their_candidates(spark):
     p = spark.createDataFrame(rows, "id long, session long, open double, close double, turnover double, eligible boolean, score double")
     cfg = spark.createDataFrame([(1, 50_000.0, 30, 30, 5, 0.0, 0.0)], "config long, capital double, k int, hold_rank int, every int, min_gap double, cost_factor double")
     assert max(r.n_held for r in pf.persistent_backtest(p, cfg, "score").collect()) == 30
+
+
+def test_ridge_equals_the_closed_form(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2)) * [1.0, 7.0]
+    y = x @ [0.5, -0.1] + rng.normal(size=300)
+    rows = [(int(k), int(k), 2000 + k // 60, float(y[k]), float(x[k, 0]), float(x[k, 1])) for k in range(300)]
+    p = spark.createDataFrame(rows, "id long, session long, year int, y double, a double, b double")
+    got = {r.session: r.score for r in models.walk_forward(p, ["a", "b"], "y", purge=5, alpha=10.0).collect()}
+    assert sorted(got) == list(range(180, 300))
+    for year, first in ((2003, 180), (2004, 240)):
+        t = slice(0, first - 5)
+        z = (x - x[t].mean(0)) / x[t].std(0)
+        beta = np.linalg.solve(z[t].T @ z[t] + 10.0 * np.eye(2), z[t].T @ (y[t] - y[t].mean()))
+        for k in range(first, first + 60):
+            assert got[k] == pytest.approx(y[t].mean() + z[k] @ beta, abs=1e-6)
