@@ -61,16 +61,16 @@ def interval_join(spark, d):
 
 @REG.add(
     "bracket_join",
-    """WITH ev AS (SELECT o_orderkey AS event, o_custkey % 50 AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 3 = 0),
-    rw AS (SELECT l_suppkey % 50 AS symbol, CAST(l_shipdate AS DATE) AS date, l_suppkey AS id FROM lineitem WHERE l_linenumber = 1),
+    """WITH ev AS (SELECT o_orderkey AS event, o_custkey % 50 AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders),
+    rw AS (SELECT DISTINCT l_suppkey % 50 AS symbol, CAST(l_shipdate AS DATE) AS date, l_suppkey AS id FROM lineitem),
     byday AS (SELECT event, date_diff('day', ev.date, rw.date) AS off, count(DISTINCT id) AS n, min(id) AS id FROM ev JOIN rw ON ev.symbol = rw.symbol AND abs(date_diff('day', ev.date, rw.date)) <= 7 GROUP BY 1, 2),
     e AS (SELECT event, n, id FROM byday WHERE off = 0), l AS (SELECT event, max(off) AS off, arg_max(n, off) AS n, arg_max(id, off) AS id FROM byday WHERE off < 0 GROUP BY event), t AS (SELECT event, min(off) AS off, arg_min(n, off) AS n, arg_min(id, off) AS id FROM byday WHERE off > 0 GROUP BY event),
     s AS (SELECT ev.event, CASE WHEN e.n = 1 THEN 'mapped' WHEN e.n > 1 THEN 'ambiguous_exact' WHEN l.n > 1 AND (t.off IS NULL OR -l.off <= t.off OR t.n = 1) THEN 'ambiguous_left' WHEN t.n > 1 THEN 'ambiguous_right' WHEN l.off IS NULL OR t.off IS NULL THEN 'unmapped' WHEN l.id = t.id THEN 'mapped_bracket' ELSE 'conflicting_bracket' END AS status, e.id AS ei, l.id AS li FROM ev LEFT JOIN e USING (event) LEFT JOIN l USING (event) LEFT JOIN t USING (event))
     SELECT event, status, CASE status WHEN 'mapped' THEN ei WHEN 'mapped_bracket' THEN li END AS id FROM s""",
 )
 def bracket_join(spark, d):
-    ev = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("event"), (F.col("o_custkey") % 50).alias("symbol"), F.col("o_orderdate").cast("date").alias("date"))
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 50).alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("id"))
+    ev = table(spark, d, "orders").select(F.col("o_orderkey").alias("event"), (F.col("o_custkey") % 50).alias("symbol"), F.col("o_orderdate").cast("date").alias("date"))
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("id")).distinct()
     return tp.bracket_join(ev, rows, "symbol")
 
 
