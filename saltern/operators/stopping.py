@@ -12,51 +12,62 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Controller:
-    """The fitted values of exiting and of holding, and one row of ``changes`` for each iteration."""
+    """The fitted values of exiting and of holding; ``flips`` tells what share of states each iteration decided anew."""
 
     features: list[str]
     exit_model: RandomForestRegressionModel
     hold_model: RandomForestRegressionModel
-    changes: list[tuple[int, float, float, float, float]]
+    flips: list[float]
 
     def advantage(self, states: DataFrame, remaining: str = "remaining") -> DataFrame:
         """``states`` with q_exit, q_hold, advantage (null at the horizon, where nothing can be held) and hold."""
         rows = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(states)
-        rows = _predict(self.hold_model, _predict(self.exit_model, rows, "_x", "q_exit"), "_x", "q_hold").drop("_x")
+        rows = _value(self.hold_model, "_x", "q_hold", _value(self.exit_model, "_x", "q_exit", rows)).drop("_x")
         gain = F.when(F.coalesce(F.col(remaining), F.lit(0)) > 0, F.col("q_hold") - F.col("q_exit"))
         return rows.withColumn("advantage", gain).withColumn("hold", F.coalesce(gain > 0, F.lit(False)))
 
 
-def _predict(model: RandomForestRegressionModel, rows: DataFrame, x: str, name: str) -> DataFrame:
+def _value(model: RandomForestRegressionModel, x: str, name: str, rows: DataFrame) -> DataFrame:
     return model.copy().setFeaturesCol(x).setPredictionCol(name).transform(rows)
 
 
-def fitted_q(transitions: DataFrame, features: list[str], next_features: list[str], exit_value: str, has_next: str, iterations: int = 3, trees: int = 20, depth: int = 5, seed: int = 7) -> Controller:
-    """Fit the value of exiting once, and the value of holding again and again from the better of both one step on.
+def steps(transitions: DataFrame, features: list[str], next_features: list[str], exit_value: str, has_next: str) -> DataFrame:
+    """(x, ahead, exit, more): the state, the one after it, the value of exiting now, whether there is one after it.
 
-    Holding starts at the expected value of exiting. Targets stay within the 0.5 and 99.5 percent quantiles of the exit
-    values seen, so trees can't run away; a transition without a next state is worth its expected exit. The loop is over
-    iterations only, each of which is one scan and one fit; plans don't grow, as each starts from ``transitions``.
+    States with a null feature or no exit value are left out. Where no state follows, or a feature of it is null, the
+    state's own stands in.
     """
+    after = [F.when(F.col(has_next), F.coalesce(n, f)).otherwise(F.col(f)) for f, n in zip(features, next_features, strict=True)]
+    flat = transitions.select(
+        *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)],
+        *[c.cast("double").alias(f"ahead{k}") for k, c in enumerate(after)],
+        F.col(exit_value).cast("double").alias("exit"),
+        F.coalesce(F.col(has_next), F.lit(False)).alias("more"),
+    )
+    for name in ("x", "ahead"):
+        flat = VectorAssembler(inputCols=[f"{name}{k}" for k in range(len(features))], outputCol=name, handleInvalid="skip").transform(flat)
+    return flat.where("exit is not null").select("x", "ahead", "exit", "more")
+
 
-    def forest(label: str, k: int) -> RandomForestRegressor:
-        return RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed + k)
-
-    usable = transitions.where(F.col(exit_value).isNotNull())
-    following = [F.when(F.col(has_next), F.coalesce(F.col(n), F.col(f))).otherwise(F.col(f)).cast("double").alias(f"_n{k}") for k, (f, n) in enumerate(zip(features, next_features, strict=True))]
-    rows = usable.select(*[F.col(f).cast("double").alias(f) for f in features], *following, F.col(exit_value).cast("double").alias("_exit"), F.col(has_next).alias("_more")).na.drop(subset=features)
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
-    rows = VectorAssembler(inputCols=[f"_n{k}" for k in range(len(features))], outputCol="_next").transform(rows)
-    low, high = rows.agg(F.percentile_approx("_exit", [0.005, 0.995], 100_000)).first()[0]
-    exit_model = forest("_exit", 0).fit(rows)
-    rows = _predict(exit_model, _predict(exit_model, rows, "_x", "q_exit"), "_next", "q_exit_next")
-    hold, changes = forest("q_exit", 10_000).fit(rows), []
-    for k in range(1, iterations + 1):
-        ahead = _predict(hold, rows, "_next", "q_hold_next")
-        target = F.when(F.col("_more"), F.greatest("q_exit_next", "q_hold_next")).otherwise(F.col("q_exit"))
-        new = forest("target", 10_000 + k).fit(ahead.withColumn("target", F.least(F.greatest(target, F.lit(low)), F.lit(high))))
-        both = _predict(new, _predict(hold, rows, "_x", "_old"), "_x", "_new")
-        moved = F.abs(F.col("_new") - F.col("_old"))
-        changes.append((k, *both.agg(F.avg(moved), F.max(moved), F.avg("q_exit"), F.avg("_new")).first()))
-        hold = new
-    return Controller(features, exit_model, hold, changes)
+def fitted_q(transitions: DataFrame, features: list[str], next_features: list[str], exit_value: str, has_next: str, iterations: int = 3, trees: int = 20, depth: int = 5, seed: int = 7) -> Controller:
+    """The value of exiting, fitted once, and of holding, fitted again and again from the better of both one step on.
+
+    Before the first iteration, holding is worth what exiting is. Targets stay within the 0.5 and 99.5 percent quantiles
+    of the exit values seen; the last state of an episode is worth its exit. The loop is over iterations only, each one
+    fit and one scan; plans don't grow, as each starts from the same rows.
+    """
+    learner = RandomForestRegressor(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
+    rows = steps(transitions, features, next_features, exit_value, has_next)
+    bounds = rows.agg(F.percentile_approx("exit", [0.005, 0.995], 100_000).alias("q")).first()["q"]
+    clipped = lambda c: F.greatest(F.lit(bounds[0]), F.least(c, F.lit(bounds[1])))
+    leave = learner.fit(rows.withColumnRenamed("exit", "label"))
+    rows = _value(leave, "ahead", "leave_ahead", _value(leave, "x", "leave", rows))
+    hold, flips = leave, []
+    for _ in range(iterations):
+        later = F.greatest("leave_ahead", "hold_ahead")
+        label = clipped(F.when(F.col("more"), later).otherwise(F.col("leave")))
+        better = learner.fit(_value(hold, "ahead", "hold_ahead", rows).select("x", label.alias("label")))
+        judged = _value(better, "x", "after", _value(hold, "x", "before", rows))
+        flips.append(judged.agg(F.avg(((F.col("before") > F.col("leave")) != (F.col("after") > F.col("leave"))).cast("double"))).first()[0])
+        hold = better
+    return Controller(features, leave, hold, flips)

@@ -55,4 +55,4 @@ def test_holding_is_worth_more_while_values_rise(spark):
     c = fitted_q(s, ["t", "v", "remaining"], ["next_t", "next_v", "next_remaining"], "v", "has_next", iterations=6, trees=5)
     got = {r.t: r for r in c.advantage(s).where("episode = 0").collect()}
     assert all(got[float(t)].hold for t in range(5)) and not got[9.0].hold and got[9.0].advantage is None
-    assert len(c.changes) == 6 and all(r.q_hold <= 9.0 + 1e-9 for r in got.values())
+    assert len(c.flips) == 6 and c.flips[0] > 0 and all(r.q_hold <= 9.0 + 1e-9 for r in got.values())
