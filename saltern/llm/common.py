@@ -17,6 +17,8 @@ DEFAULT_SHARED = "file:///tmp/saltern-shared"
 GROUP_BYTES = 32 << 20
 #: Bytes of an Arrow batch; a worker and its JVM task hold a few copies of one.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Rows that a Parquet reader decodes at once; their texts lie in one array for each task.
+READ_KEY, READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's bound of Arrow batches to ``BATCH_BYTES``, so that runs of long texts make small batches too."""
+    """Lower the session's bounds of Arrow and Parquet batches, so that runs of long texts make small batches too."""
+    if int(spark.conf.get(READ_KEY)) > READ_ROWS:
+        spark.conf.set(READ_KEY, READ_ROWS)
     if int(spark.conf.get(BATCH_KEY).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import SPACE_PATTERN, stage
+from saltern.llm.common import SPACE_PATTERN, bound_batches, stage
 
 #: Very common words of each language. Any other language shares one reference by characters alone.
 COMMON = {
@@ -176,6 +176,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     The features are staged beside the rows they judge: a copy of the table on disk costs far less than computing them
     again, texts never shuffle, and the references read the feature columns alone.
     """
+    bound_batches(docs.sparkSession)
     rows = stage(features(docs, carry=True), "quality")
     refs = stage(final_references(rows.drop("_row")), "references")
     return judge(rows, refs).where("kept").select("_row.*")
