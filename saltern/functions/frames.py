@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,44 @@ def rolling(agg, x, size: int, least: int, key, order) -> Column:
     return F.when(F.count(col(x)).over(w) >= least, agg(col(x)).over(w))
 
 
+def pair_moments(p: DataFrame, x: str, m: str, size: int, key, order, name: str) -> DataFrame:
+    """Over the last ``size`` rows: how many have both values, and the sums of products of their deviations.
+
+    Columns ``name`` and n, xx, mm, xm of the pairs, and n_own, mm_own of all values of ``m``. Each sum is a running one
+    less that of ``size`` rows ago, so the work doesn't grow with ``size``. Values are taken from the key's first one,
+    which keeps the differences exact where their level is high; what rounding leaves of a constant's deviations counts
+    as zero. A value that is null or not finite is missing.
+    """
+    w = rows_of(key, order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+    shifted = lambda c: finite(c) - F.first(finite(c), ignorenulls=True).over(run)
+    q = p.withColumns({"_x": shifted(x), "_m": shifted(m)})
+    own, other = F.col("_x"), F.col("_m")
+    both = own.isNotNull() & other.isNotNull()
+    parts = {"n": F.lit(1.0), "x": own, "m": other, "xx": own * own, "mm": other * other, "xm": own * other}
+    parts = {k: F.when(both, c) for k, c in parts.items()}
+    parts |= {"n_own": F.when(other.isNotNull(), 1.0), "m_own": other, "mm_own": other * other}
+    q = q.withColumn("_run", F.struct(*[F.sum(F.coalesce(c, F.lit(0.0))).over(run).alias(k) for k, c in parts.items()]))
+    q = q.withColumn("_old", F.lag("_run", size).over(w))
+    # columns of their own, so that each is computed once for all its uses
+    q = q.withColumns({f"_s_{k}": F.col("_run")[k] - F.coalesce(F.col("_old")[k], F.lit(0.0)) for k in parts})
+    s = {k: F.col(f"_s_{k}") for k in parts}
+    raw = {aa: s[aa] - F.try_divide(s[a] * s[b], s[n]) for aa, n, a, b in (("xx", "n", "x", "x"), ("mm", "n", "m", "m"), ("xm", "n", "x", "m"), ("mm_own", "n_own", "m_own", "m_own"))}
+    q = q.withColumns({f"_q_{k}": c for k, c in raw.items()})
+    square = lambda k: F.when(F.col(f"_q_{k}") > 1e-13 * F.col("_run")[k], F.col(f"_q_{k}")).otherwise(0.0)
+    out = {"n": s["n"], "xx": square("xx"), "mm": square("mm"), "xm": F.col("_q_xm"), "n_own": s["n_own"], "mm_own": square("mm_own")}
+    return q.withColumns({f"{name}{k}": c for k, c in out.items()}).drop("_x", "_m", "_run", "_old", *[f"_s_{k}" for k in parts], *[f"_q_{k}" for k in raw])
+
+
+MOMENTS = ("n", "xx", "mm", "xm", "n_own", "mm_own")
+
+
+def pair_correlation(name: str) -> Column:
+    """The correlation of ``pair_moments``; null where a side is constant."""
+    return F.try_divide(F.col(f"{name}xm"), F.sqrt(F.col(f"{name}xx")) * F.sqrt(F.col(f"{name}mm")))
+
+
 def median(x) -> Column:
     """A median that can be framed, unlike the built-in of that name."""
     return F.percentile(col(x), F.lit(0.5))

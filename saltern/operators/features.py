@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltern.functions.frames import col, exact_lag, exact_lead, flag, last_rows, median, percentile_rank, ratio, rolling, rows_of
+from saltern.functions.frames import MOMENTS, col, exact_lag, exact_lead, flag, last_rows, median, pair_correlation, pair_moments, percentile_rank, ratio, rolling, rows_of
 
 KEY, ORDER = "id", "session"
 
@@ -124,14 +124,9 @@ def tendency(p: DataFrame, x: str, size: int, least: int) -> DataFrame:
 
 def beta_population(p: DataFrame, x: str, m: str, size: int, least: int) -> DataFrame:
     """Population covariance over population variance of the market, over rows that have both."""
-    both = F.col(x).isNotNull() & F.col(m).isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(m))
-    w = last_rows(KEY, ORDER, size)
-    n = F.count(a).over(w)
-    cov = F.avg(a * b).over(w) - F.avg(a).over(w) * F.avg(b).over(w)
-    var = F.greatest(F.avg(b * b).over(w) - F.avg(b).over(w) * F.avg(b).over(w), F.lit(0.0))
-    q = p.withColumns({"_cov": F.when(n >= least, cov), "_var": F.when(n >= least, var)})
-    return q.withColumn(f"beta_{size}", ratio("_cov", "_var", 1e-12)).drop("_cov", "_var")
+    q = pair_moments(p, x, m, size, KEY, ORDER, "_k_")
+    beta = F.when((F.col("_k_n") >= least) & (F.col("_k_mm") > 1e-12 * F.col("_k_n")), F.col("_k_xm") / F.col("_k_mm"))
+    return q.withColumn(f"beta_{size}", beta).drop(*[f"_k_{k}" for k in MOMENTS])
 
 
 def correlation_mixed(p: DataFrame, x: str, m: str, size: int, least: int) -> DataFrame:
@@ -146,18 +141,17 @@ def correlation_mixed(p: DataFrame, x: str, m: str, size: int, least: int) -> Da
 
 def correlation_sample(p: DataFrame, x: str, m: str, size: int, least: int) -> DataFrame:
     """Pairwise sample correlation and beta; the beta's variance is over the other column's own values."""
-    w = last_rows(KEY, ORDER, size)
-    n = F.count(F.col(x) * F.col(m)).over(w)
-    var = F.var_samp(m).over(w)
-    return p.withColumns({f"pair_corr_{size}": F.when(n >= least, F.corr(x, m).over(w)), f"pair_beta_{size}": F.when((n >= least) & (var > 1e-12), F.covar_samp(x, m).over(w) / var)})
+    enough = F.col("_k_n") >= least
+    cov, var = F.try_divide(F.col("_k_xm"), F.col("_k_n") - 1), F.try_divide(F.col("_k_mm_own"), F.col("_k_n_own") - 1)
+    q = pair_moments(p, x, m, size, KEY, ORDER, "_k_").withColumns({"_cov": cov, "_var": var})
+    out = {f"pair_corr_{size}": F.when(enough, pair_correlation("_k_")), f"pair_beta_{size}": F.when(enough & (F.col("_var") > 1e-12), F.col("_cov") / F.col("_var"))}
+    return q.withColumns(out).drop("_cov", "_var", *[f"_k_{k}" for k in MOMENTS])
 
 
 def lead_lag(p: DataFrame, x: str, m: str, lag: int, size: int, least: int) -> DataFrame:
     """Correlation with the other series some rows ago."""
-    q = p.withColumn("_m", F.lag(m, lag).over(own_rows()))
-    w = last_rows(KEY, ORDER, size)
-    n = F.count(F.col(x) * F.col("_m")).over(w)
-    return q.withColumn(f"lead_corr_{lag}", F.when(n >= least, F.corr(x, "_m").over(w))).drop("_m")
+    q = pair_moments(p.withColumn("_before", F.lag(m, lag).over(own_rows())), x, "_before", size, KEY, ORDER, "_k_")
+    return q.withColumn(f"lead_corr_{lag}", F.when(F.col("_k_n") >= least, pair_correlation("_k_"))).drop("_before", *[f"_k_{k}" for k in MOMENTS])
 
 
 def relative_strength(p: DataFrame, x: str, m: str) -> DataFrame:

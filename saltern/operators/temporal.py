@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,35 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, attrs: list[
     return found.withColumns(names).drop("_side", "_right", "_found")
 
 
+#: Rows of a dimension cut into months up to which it is broadcast; larger ones meet by a shuffle on the month.
+MOST_BROADCAST = 1 << 18
+
+
+def _month(x) -> Column:
+    return F.year(x) * 12 + F.month(x)
+
+
+def _period_join(left: DataFrame, periods: DataFrame, at: str, low: str, high: str, on: Column) -> DataFrame:
+    """Left join of each row to the period around it, by equality on months and ``on`` within one.
+
+    ``low`` and ``high`` are the periods' ends, null where open. Periods enter each month they touch, and months beyond
+    all ends count as the outermost one, so an open period is as short as the others.
+    """
+    ends = F.array(_month(low), _month(high))
+    first, last = periods.agg(F.min(F.array_min(ends)), F.max(F.array_max(ends))).first()
+    edge = lambda c, other: F.coalesce(_month(c), F.lit(other).cast("int"))
+    cut = periods.withColumn("_month", F.explode(F.sequence(edge(low, first), edge(high, last))))
+    if cut.select("_month").limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        cut = F.broadcast(cut)
+    clamped = F.greatest(F.least(_month(at), F.lit(last).cast("int")), F.lit(first).cast("int"))
+    return left.withColumn("_of", clamped).join(cut, (F.col("_of") == F.col("_month")) & on, "left").drop("_of", "_month")
+
+
 def interval_join(left: DataFrame, periods: DataFrame, at: str, start: str, until: str) -> DataFrame:
-    """The period with start <= at < until (a null until is open); periods are a dimension and must not overlap."""
+    """The period with start <= at < until (a null until is open); periods must not overlap, empty ones meet nothing."""
     on = (F.col(at) >= F.col(start)) & (F.col(until).isNull() | (F.col(at) < F.col(until)))
-    return left.join(F.broadcast(periods), on, "left")
+    sound = periods.where(F.col(start).isNotNull() & (F.col(until).isNull() | (F.col(start) < F.col(until))))
+    return _period_join(left, sound, at, start, until, on)
 
 
 def bracket_join(events: DataFrame, rows: DataFrame, symbol: str, days: int = 7) -> DataFrame:
@@ -72,7 +97,7 @@ def session_lookup(days: DataFrame, sessions: DataFrame, at: str) -> DataFrame:
     """The first session on or after each day; sessions are a dimension (date, session)."""
     ends = sessions.select(F.lag("date").over(Window.orderBy("date")).alias("_after"), F.col("date").alias("_until"), "session")
     on = (F.col(at) <= F.col("_until")) & (F.col("_after").isNull() | (F.col(at) > F.col("_after")))
-    return days.join(F.broadcast(ends), on, "left").drop("_after", "_until")
+    return _period_join(days, ends, at, "_after", "_until", on).drop("_after", "_until")
 
 
 def adjustment_factor(rows: DataFrame, events: DataFrame, key: str = "id") -> DataFrame:

@@ -12,10 +12,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def with_sessions(panel: DataFrame, date: str = "date") -> DataFrame:
-    """Number the distinct dates from 0. The dates are a dimension: one row for each session, not for each row."""
-    dates = panel.select(date).distinct().withColumn("session", (F.row_number().over(Window.orderBy(date)) - 1).cast("long"))
-    return panel.join(F.broadcast(dates), date)
+def with_sessions(panel: DataFrame, days: DataFrame) -> DataFrame:
+    """Number the distinct dates of ``days`` from 0.
+
+    ``days`` is read from the scan, so rows aren't aggregated twice. There is one row for each calendar date, some 73,000
+    in two centuries, whatever the table's size: that bounds the broadcast.
+    """
+    dates = days.distinct().withColumn("session", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
+    return panel.join(F.broadcast(dates), "date")
 
 
 def supplier_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +40,7 @@ def supplier_panel(spark: SparkSession, d: str) -> DataFrame:
         F.sum("l_quantity").alias("volume"),
         F.sum("l_extendedprice").alias("turnover"),
     )
-    return with_sessions(panel)
+    return with_sessions(panel, li.select("date"))
 
 
 SUPPLIER_PANEL = """
@@ -54,7 +58,7 @@ def user_panel(spark: SparkSession, d: str) -> DataFrame:
     """id (user), date (day), session, close (last value), volume (events), turnover (sum of values)."""
     ev = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("date").alias("date"), "ts", "value")
     panel = ev.groupBy("id", "date").agg(F.max_by("value", "ts").alias("close"), F.count("*").alias("volume"), F.sum("value").alias("turnover"))
-    return with_sessions(panel)
+    return with_sessions(panel, ev.select("date"))
 
 
 USER_PANEL = """

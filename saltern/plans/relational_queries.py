@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saltern.functions import actions as ac
+from saltern.functions.frames import pair_correlation, pair_moments
 from saltern.operators.aggregates import kurtosis, profile, rank_correlations, skewness
 from saltern.plans.panel import RETURNS, SUPPLIER_PANEL, returns, rounded, supplier_panel, table
 from saltern.plans.registry import Registry, r
@@ -151,11 +152,11 @@ def sector_onehot(spark, d):
     SELECT id, session, sector, cr AS correlation, round(cr - second, 6) + 0.0 AS margin FROM q WHERE n = 1 AND cr > 0""",
 )
 def sector_affinity(spark, d):
-    p, b = returns(spark, d), baskets(spark, d)
+    # a basket for each calendar date and sector, five at most, bounds the broadcast; rows then stay with their id throughout
+    p, b = returns(spark, d), F.broadcast(baskets(spark, d))
     m = p.join(b, "session").select("id", "session", "sector", F.col("return_1").alias("x"), F.col("basket").alias("y"))
+    c = pair_moments(m, "x", "y", 60, ["id", "sector"], "session", "k_").withColumn("c", F.when(F.col("k_n") >= 30, pair_correlation("k_"))).select("id", "session", "sector", "c")
     rows = Window.partitionBy("id", "sector").orderBy("session")
-    k = rows.rowsBetween(-59, 0)
-    c = m.withColumn("c", F.when(F.count(F.col("x") * F.col("y")).over(k) >= 30, F.corr("x", "y").over(k)))
     lagged = c.withColumn("correlation", F.round(F.lag("c").over(rows), 6) + F.lit(0.0)).where("correlation is not null")
     best = Window.partitionBy("id", "session").orderBy(F.desc("correlation"), "sector")
     q = lagged.withColumns({"n": F.row_number().over(best), "second": F.lead("correlation").over(best)})
