@@ -31,7 +31,7 @@ from saltern.llm.blocks import pack_table, unpack_table
 from saltern.llm.common import hash_words, mix, padded, stage, word_spans
 
 #: Words of the pieces that a map task reduces at a time.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 #: Memory of the count of a bucket, beyond which duckdb spills.
 COUNT_MEMORY = "256MB"
 #: Candidates of a block.
@@ -43,9 +43,6 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _IS_WORD = np.ones(256, np.bool_)
 _IS_WORD[[0x20, 0x0A]] = False
 _P, _Q = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
-_GRAMS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
-
-
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, piece (its words, parted by one space), m: how often the piece occurs."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.translate(F.col(text_col), _UPPER, _LOWER).alias("text"))
@@ -54,8 +51,17 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     return plain.where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("m"))
 
 
+def sent_schema(longest: int) -> pa.Schema:
+    """What buckets get: lang, head (the first one or two words), the words after two (null past a piece's end), f."""
+    return pa.schema([("lang", pa.string()), ("head", pa.string()), *((f"next_{k}", pa.string()) for k in range(3, longest + 1)), ("f", pa.int64())])
+
+
 def grams(lang: list[str], piece: list[str], m: list[int], longest: int):
-    """Distinct n-grams of some pieces: a table (lang, phrase, k, f) and a hash of each (lang, phrase)."""
+    """Distinct n-grams of some pieces as a table of ``sent_schema``, and a hash of each (lang, head).
+
+    Words go out alone, and from each word but a piece's last one the ``longest`` words that start there, or what the piece
+    still has of them: the counts of all n-grams in between are sums of those that they begin.
+    """
     raw = [x.encode() for x in piece]
     buf = padded([x + b"\n" for x in raw])
     at = np.cumsum([0] + [len(x) + 1 for x in raw])
@@ -71,33 +77,39 @@ def grams(lang: list[str], piece: list[str], m: list[int], longest: int):
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(flat)]).dictionary_encode()
     word = coded.indices.to_numpy().astype(np.int64)
     vocabulary = pc.binary_slice(coded.dictionary, 0, -1)
-    sizes = pc.binary_length(vocabulary).to_numpy().astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-    said = padded([x.as_py() for x in vocabulary])
-    name = hash_words(said, begin, begin + sizes)
-    seed = hash_words(*_buffer([x.encode() for x in langs])) if len(langs) else np.zeros(0, np.uint64)
-    size, key, tables, hashes = np.int64(len(vocabulary)), tongue.astype(np.int64), [], []
-    live = np.arange(len(word))
-    for k in range(1, longest + 1):
-        live = live[left[live] >= k]
-        if not len(live):
-            break
-        # (n-gram so far, next word) is one number, and becomes a smaller one by its place among the distinct
-        full = key[live] * size + word[live + k - 1]
-        distinct, first, back = np.unique(full, return_index=True, return_inverse=True)
-        key = np.zeros(len(word), np.int64)
-        key[live] = back
-        place = live[first]
+    name = hash_words(*_buffer([x.as_py() for x in vocabulary]))
+    seed = hash_words(*_buffer([x.encode() for x in langs]))
+    size = np.int64(len(vocabulary) + 1)
+
+    def made(key, place, heads):
+        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, back, weight[live])
-        words = [vocabulary.take(pa.array(word[place + j])) for j in range(k)]
-        phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()))
-        tables.append(pa.table([pa.array(langs[tongue[place]].tolist(), pa.string()), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(np.full(len(place), k), pa.int32()), pa.array(total)], schema=_GRAMS))
+        np.add.at(total, back, weight[place])
+        place = place[first]
+        said = [_text(vocabulary, word[place + j]) for j in range(heads)]
+        columns = [pa.array(langs[tongue[place]].tolist(), pa.string()), said[0] if heads == 1 else pc.binary_join_element_wise(*said, " ")]
+        for k in range(2, longest):
+            there = (left[place] > k) & (heads == 2)
+            columns.append(_text(vocabulary, np.where(there, word[np.minimum(place + k, len(word) - 1)], 0), ~there))
         h = seed[tongue[place]].copy()
-        for j in range(k):
+        for j in range(heads):
             h = mix(h * _P + name[word[place + j]] * _Q)
-        hashes.append(h)
-    return (pa.concat_tables(tables), np.concatenate(hashes)) if tables else (_GRAMS.empty_table(), np.zeros(0, np.uint64))
+        return pa.table([*columns, pa.array(total)], schema=sent_schema(longest)), h
+
+    one = tongue * size + word
+    pairs = np.flatnonzero(left > 1)
+    key = one[pairs] * size + word[pairs + 1]
+    for k in range(2, longest):
+        # (words so far, next word or none) is one number; before that, the former becomes its place among the distinct
+        key = np.unique(key, return_inverse=True)[1] * size
+        there = left[pairs] > k
+        key[there] += word[pairs[there] + k] + 1
+    parts = [made(one, np.arange(len(word)), 1), made(key, pairs, 2)]
+    return pa.concat_tables([t for t, _ in parts]), np.concatenate([h for _, h in parts])
+
+
+def _text(vocabulary: pa.Array, at: np.ndarray, mask=None) -> pa.Array:
+    return vocabulary.take(pa.array(at, mask=mask)).cast(pa.large_string()).cast(pa.string())
 
 
 def _buffer(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,17 +118,30 @@ def _buffer(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return padded(parts), end - size, end
 
 
-def count_bucket(tables, least: int):
-    """The n-grams of at least ``least`` occurrences of all ``tables``, and each language's words as a null phrase.
+def count_bucket(tables, longest: int, least: int):
+    """lang, phrase, k, f: the n-grams of at least ``least`` occurrences of all ``tables``, and each language's words.
 
-    duckdb groups in its own files, in the task's temporary folder, which goes with the task.
+    The latter have no phrase (k 0). duckdb spills to the task's own temporary folder, which goes with the task.
     """
-    with tempfile.TemporaryDirectory() as folder, duckdb.connect(f"{folder}/counts.db", config={"threads": 1, "memory_limit": COUNT_MEMORY, "temp_directory": f"{folder}/spill"}) as db:
-        reader = pa.RecordBatchReader.from_batches(_GRAMS, (b for t in tables for b in t.to_batches()))
-        db.register("sent", reader)
-        db.execute("create table counted as select lang, phrase, k, cast(sum(f) as bigint) as f from sent group by lang, phrase, k")
-        found = db.sql(f"select lang, phrase, k, f from counted where f >= {int(least)} union all select lang, null, 0, cast(sum(f) as bigint) from counted where k = 1 group by lang")
+    words: dict[str, int] = {}
+
+    def batches():
+        for t in tables:
+            alone = t.filter(pc.invert(pc.match_substring(t["head"], " "))).group_by("lang").aggregate([("f", "sum")])
+            for x, n in zip(alone["lang"].to_pylist(), alone["f_sum"].to_pylist(), strict=True):
+                words[x] = words.get(x, 0) + n
+            yield from t.to_batches()
+
+    after = [f"next_{k}" for k in range(3, longest + 1)]
+    sets = ", ".join("(" + ", ".join(["lang", "head", *after[:k]]) + ")" for k in range(len(after) + 1))
+    # a group of a longer set with a null word ended before it, and was counted among the shorter ones
+    whole = " and ".join(["true", *(f"({c} is not null or grouping({c}) = 1)" for c in after)])
+    with tempfile.TemporaryDirectory() as folder, duckdb.connect(config={"threads": 1, "memory_limit": COUNT_MEMORY, "temp_directory": f"{folder}/spill"}) as db:
+        db.register("sent", pa.RecordBatchReader.from_batches(sent_schema(longest), batches()))
+        found = f"select lang, concat_ws(' ', {', '.join(['head', *after])}) as phrase, sum(f) as f from sent group by grouping sets ({sets}) having sum(f) >= {int(least)} and {whole}"
+        found = db.sql(f"select lang, phrase, cast(length(phrase) - length(replace(phrase, ' ', '')) + 1 as integer) as k, cast(f as bigint) as f from ({found})")
         yield from found.to_arrow_reader(65536)
+    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=["lang", "phrase", "k", "f"])
 
 
 def counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
@@ -151,7 +176,7 @@ def counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
             yield from send()
 
     def counted(batches):
-        yield from count_bucket((unpack_table(x.as_py()) for b in batches for x in b["payload"]), least)
+        yield from count_bucket((unpack_table(x.as_py()) for b in batches for x in b["payload"]), longest, least)
 
     sent = pieces(docs).mapInArrow(packed, "bucket long, payload binary").repartition("bucket")
     return stage(sent.mapInArrow(counted, "lang string, phrase string, k int, f long"), "counts")

@@ -73,5 +73,5 @@ def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
 
 def test_a_bucket_adds_up_what_tasks_sent():
     one, _ = phrases.grams(["en", "en", "de"], ["a b a b", "b", "a"], [2, 5, 1], 2)
-    got = [r for b in phrases.count_bucket([one, one, one.slice(0, 0)], 1) for r in pa.Table.from_batches([b]).to_pylist()]
+    got = [r for b in phrases.count_bucket([one, one, one.slice(0, 0)], 2, 1) for r in pa.Table.from_batches([b]).to_pylist()]
     assert {(r["lang"], r["phrase"]): r["f"] for r in got} == {("en", "a"): 8, ("en", "b"): 18, ("de", "a"): 2, ("en", "a b"): 8, ("en", "b a"): 4, ("en", None): 26, ("de", None): 2}
