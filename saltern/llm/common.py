@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or DEFAULT_SHARED).rstrip("/")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's bound of Arrow batches to ``BATCH_BYTES``, so that runs of long texts make small batches too."""
-    if int(spark.conf.get(BATCH_KEY).rstrip("b")) > BATCH_BYTES:
+_UNITS = {"": 0, "b": 0, "k": 1, "kb": 1, "m": 2, "mb": 2, "g": 3, "gb": 3, "t": 4, "tb": 4, "p": 5, "pb": 5}
+
+
+def byte_size(text: str) -> int:
+    """A size as Spark's settings state it: ``64m``, ``8MB``, ``1024`` or ``1024b``; below zero where it is unbounded."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", text.lower())
+    if not found or found[2] not in _UNITS:
+        raise ValueError(f"not a size in bytes: {text!r}")
+    return int(found[1]) << (10 * _UNITS[found[2]])
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs that run inside get Arrow batches of at most ``BATCH_BYTES``; the session's own bound holds again afterwards."""
+    own = spark.conf.get(BATCH_KEY)
+    lower = not 0 < byte_size(own) <= BATCH_BYTES
+    if lower:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if lower:
+            spark.conf.set(BATCH_KEY, own)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +65,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: No more keys than this can hold more than one part in this many of all rows.
+HEAVY_SHARE = 256
+
+
+def join_heavy(rows: DataFrame, few: DataFrame, keys: list[str], held: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row that ``few`` has for each key, of whose rows ``few`` says the number (``held``).
+
+    Keys of more than ``total`` / ``HEAVY_SHARE`` rows, of which there are fewer than ``HEAVY_SHARE``, are broadcast, so
+    their rows stay where they are; all others meet by a shuffle in which no key has many.
+    """
+    heavy = F.col(held) * HEAVY_SHARE > total
+    most = F.broadcast(few.where(heavy).drop(held))
+    rest = rows.join(F.broadcast(few.where(heavy).select(keys)), keys, "left_anti")
+    return rows.join(most, keys).unionByName(rest.join(few.where(~heavy).drop(held), keys))
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with a null text as the empty text; other columns, whatever their names, are left behind."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import stage
+from saltern.llm.common import join_heavy, stage
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -38,3 +38,12 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = sums
     raise RuntimeError(f"no fixed point in {max_rounds} rounds")
+
+
+def least_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest ``first`` among the rows of ``nodes`` (node, first) that ``edges`` (a, b) connect."""
+    named = nodes.join(components(edges), "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    named = stage(named, "named")
+    least = stage(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "least")
+    total = least.agg(F.sum("members")).first()[0] or 0
+    return join_heavy(named, least, ["root"], "members", total).select("node", "component_id")

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltern.llm.common import bound_batches, stage, text_rows
-from saltern.llm.components import components
+from saltern.llm.common import join_heavy, small_batches, stage, text_rows
+from saltern.llm.components import least_members
 
 BLOCKS = 7
 TILE = 2048
@@ -50,7 +50,6 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long)."""
-    bound_batches(docs.sparkSession)
 
     def mapped(batches):
         for b in batches:
@@ -181,13 +180,12 @@ def links(distinct: DataFrame, max_bits: int = 4, tile: int = TILE) -> DataFrame
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable by links of at most ``max_bits`` differing bits."""
-    marked = stage(fingerprints(docs, width), "fingerprints")
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(member, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    with small_batches(docs.sparkSession):
+        marked = stage(fingerprints(docs, width), "fingerprints")
+    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("held")), "distinct")
+    member = least_members(distinct.select(F.col("fp").alias("node"), "first"), links(distinct.select("fp"), max_bits))
+    member = stage(distinct.select(F.col("fp").alias("node"), "held").join(member, "node").withColumnRenamed("node", "fp"), "members")
+    return join_heavy(marked, member, ["fp"], "held", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def with_hex(found: DataFrame) -> DataFrame:
