@@ -105,5 +105,17 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHE
 """
 
 
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] ELSE w END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_phrases": OP12, "op2_recompression": OP2, "op4_chat": OP4, "op6_decontamination": OP6, "op7_prefix_free": OP7, "op9_quality": OP9}
+    return {"op11_minhash": OP11, "op12_phrases": OP12, "op2_recompression": OP2, "op4_chat": OP4, "op6_decontamination": OP6, "op7_prefix_free": OP7, "op9_quality": OP9}

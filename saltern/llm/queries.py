@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saltern.llm import chat, decontamination, html, oracle, packing, phrases, pii, prefix_free, quality, recompression, simhash, token_counts
+from saltern.llm import chat, decontamination, html, minhash, oracle, packing, phrases, pii, prefix_free, quality, recompression, simhash, token_counts
 from saltern.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_kept(minhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
