@@ -18,16 +18,18 @@ without a candidate gives none; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyarrow import csv
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltern.llm.blocks import pack_table, unpack_table
 from saltern.llm.common import hash_words, mix, padded, stage, word_spans
 
 #: Words of the pieces that a map task reduces at a time.
@@ -118,6 +120,33 @@ def _buffer(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return padded(parts), end - size, end
 
 
+def packed_lines(table: pa.Table, edges: list[int]) -> list[bytes]:
+    """The rows between consecutive ``edges``, as lines: without the offsets of Arrow strings they take half the space.
+
+    Words hold no tab or line break, and languages, which may, go by their place in a list.
+    """
+    coded = table["lang"].combine_chunks().dictionary_encode()
+    cells = [coded.indices.cast(pa.string()), *(pc.fill_null(table[c].combine_chunks(), "") for c in table.column_names[1:-1]), table["f"].combine_chunks().cast(pa.string())]
+    lines = pc.binary_join_element_wise(pc.binary_join_element_wise(*cells, "\t"), "", "\n").cast(pa.large_string())
+    at = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    data = memoryview(lines.buffers()[2] or b"")
+    head = json.dumps(coded.dictionary.to_pylist()).encode() + b"\n"
+    return [zstandard.compress(head + data[at[a] : at[b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def unpacked_lines(raw: bytes, longest: int) -> pa.Table:
+    head, body = zstandard.decompress(raw).split(b"\n", 1)
+    schema = sent_schema(longest)
+    types = {f.name: f.type for f in schema} | {"lang": pa.int32()}
+    t = csv.read_csv(
+        pa.BufferReader(body),
+        csv.ReadOptions(use_threads=False, column_names=schema.names),
+        csv.ParseOptions(delimiter="\t", quote_char=False, escape_char=False),
+        csv.ConvertOptions(column_types=types, null_values=[""], strings_can_be_null=True, check_utf8=False),
+    )
+    return t.set_column(0, "lang", pa.chunked_array([pa.array(json.loads(head), pa.string()).take(c) for c in t["lang"].chunks], pa.string())).cast(schema)
+
+
 def count_bucket(tables, longest: int, least: int):
     """lang, phrase, k, f: the n-grams of at least ``least`` occurrences of all ``tables``, and each language's words.
 
@@ -158,10 +187,7 @@ def counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             table, bucket = table.take(pa.array(order)), bucket[order]
             edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-            spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-            for lo in range(0, len(spans), 64):
-                part = spans[lo : lo + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in part], pa.int64()), pa.array([pack_table(table.slice(a, b - a)) for a, b in part], pa.binary())], names=["bucket", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(packed_lines(table, edge.tolist()), pa.binary())], names=["bucket", "payload"])
 
         for batch in batches:
             for x, y, z in zip(*(batch[c].to_pylist() for c in ("lang", "piece", "m")), strict=True):
@@ -176,7 +202,7 @@ def counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
             yield from send()
 
     def counted(batches):
-        yield from count_bucket((unpack_table(x.as_py()) for b in batches for x in b["payload"]), longest, least)
+        yield from count_bucket((unpacked_lines(x.as_py(), longest) for b in batches for x in b["payload"]), longest, least)
 
     sent = pieces(docs).mapInArrow(packed, "bucket long, payload binary").repartition("bucket")
     return stage(sent.mapInArrow(counted, "lang string, phrase string, k int, f long"), "counts")

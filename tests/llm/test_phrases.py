@@ -45,7 +45,7 @@ def rows_of():
     rows = [(t, rng.choice(["en", "de", None, "und"])) for _, t in documents(80)] + [(t, None) for t in ODD]
     for _ in range(120):
         text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\t", " ", " \t", ", ", ". ", "\n", "\x0b", "\x0c", "!?"]) for _ in range(rng.randrange(60)))
-        rows.append((text, rng.choice(["en", "fr", None])))
+        rows.append((text, rng.choice(["en", "fr", "", "t\tx\n", None])))
     return rows + [("new york city, new york city", "fr")] * 9 + [("repeat me", "")] * 40
 
 
@@ -75,3 +75,9 @@ def test_a_bucket_adds_up_what_tasks_sent():
     one, _ = phrases.grams(["en", "en", "de"], ["a b a b", "b", "a"], [2, 5, 1], 2)
     got = [r for b in phrases.count_bucket([one, one, one.slice(0, 0)], 2, 1) for r in pa.Table.from_batches([b]).to_pylist()]
     assert {(r["lang"], r["phrase"]): r["f"] for r in got} == {("en", "a"): 8, ("en", "b"): 18, ("de", "a"): 2, ("en", "a b"): 8, ("en", "b a"): 4, ("en", None): 26, ("de", None): 2}
+
+
+def test_lines_come_back_as_they_went():
+    table, _ = phrases.grams(["t\tx\n", "", "de"], ['"a" b\x00 c', "b \\ d # e", "a"], [2, 5, 1], 3)
+    whole = phrases.packed_lines(table, [0, 3, table.num_rows])
+    assert pa.concat_tables([phrases.unpacked_lines(x, 3) for x in whole]).to_pylist() == table.to_pylist()
