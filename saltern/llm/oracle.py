@@ -117,5 +117,18 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 """
 
 
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), sized AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+stats AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sized),
+m AS (SELECT doc_id, 25 + (75 * n * nd) // l AS m FROM sized, stats),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM sized) GROUP BY doc_id, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS wt FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), stats),
+q AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+scored AS (SELECT item_id, doc_id, CAST(sum(r * wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_minhash": OP11, "op12_phrases": OP12, "op2_recompression": OP2, "op4_chat": OP4, "op6_decontamination": OP6, "op7_prefix_free": OP7, "op9_quality": OP9}
+    return {"op11_minhash": OP11, "op12_phrases": OP12, "op13_search": OP13, "op2_recompression": OP2, "op4_chat": OP4, "op6_decontamination": OP6, "op7_prefix_free": OP7, "op9_quality": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saltern.llm import chat, decontamination, html, minhash, oracle, packing, phrases, pii, prefix_free, quality, recompression, simhash, token_counts
+from saltern.llm import chat, decontamination, html, minhash, oracle, packing, phrases, pii, prefix_free, quality, recompression, search, simhash, token_counts
 from saltern.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
