@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from saltern.llm.common import small_batches, stage, text_rows
 from saltern.llm.decontamination import item_blocks, words_of
 
-SAMPLE, SAMPLE_TERMS = 4096, 192
+SAMPLE, SAMPLE_TERMS = 4096, 128
 #: Documents of the sample in a leaf at least, and rounds of swaps of a bisection.
 LEAF, ROUNDS = 64, 8
 SHARD_BYTES = 4 << 20
@@ -58,19 +58,24 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def bisect(start: np.ndarray, term: np.ndarray, docs: np.ndarray, n_terms: int, rounds: int = ROUNDS):
-    """Which of ``docs`` go left, and in how many documents each term is on either side.
+    """Which of ``docs`` go left, the terms that two have, and in how many documents each of these is on either side.
 
     ``term`` has the terms of document d at start[d] to start[d + 1].
     """
     size = start[docs + 1] - start[docs]
     t = term[ranges(start[docs], size)]
     own = np.repeat(np.arange(len(docs)), size)
+    every = np.bincount(t, minlength=n_terms)
+    used = np.flatnonzero(every > 1)  # a term of one document costs the same on both sides
+    own, t = own[every[t] > 1], t[every[t] > 1]
+    small = np.zeros(n_terms, np.int64)
+    small[used] = np.arange(len(used))
+    t, both = small[t], every[used]
     left = np.arange(len(docs)) < len(docs) // 2
     n_left, n_right = len(docs) // 2, len(docs) - len(docs) // 2
-    both = np.bincount(t, minlength=n_terms)
     cost = lambda a, b: a * np.log2(n_left / (a + 1)) + b * np.log2(n_right / (b + 1))
     for _ in range(rounds):
-        a = np.bincount(t[left[own]], minlength=n_terms)
+        a = np.bincount(t[left[own]], minlength=len(used))
         b = both - a
         now = cost(a, b)
         to_right, to_left = now - cost(np.maximum(a - 1, 0), b + 1), now - cost(a + 1, np.maximum(b - 1, 0))
@@ -82,8 +87,8 @@ def bisect(start: np.ndarray, term: np.ndarray, docs: np.ndarray, n_terms: int,
         if not n:
             break
         left[x[:n]], left[y[:n]] = False, True
-    a = np.bincount(t[left[own]], minlength=n_terms)
-    return left, a, both - a
+    a = np.bincount(t[left[own]], minlength=len(used))
+    return left, used, a, both - a
 
 
 def by_least_term(start: np.ndarray, term: np.ndarray) -> np.ndarray:
@@ -104,7 +109,7 @@ def reorder(start: np.ndarray, term: np.ndarray, n_terms: int, least: int = CLUS
         if len(docs) <= least:
             done.append(docs)
             continue
-        left, _, _ = bisect(start, term, docs, n_terms)
+        left, _, _, _ = bisect(start, term, docs, n_terms)
         todo += [docs[~left], docs[left]]
     return np.concatenate(done) if done else np.zeros(0, np.int64)
 
@@ -115,25 +120,27 @@ class Tree:
     def __init__(self, sample: list[np.ndarray]):
         every, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sample]), return_counts=True)
         self.terms = every[count > 1]  # a term of one document tells no side
-        place = [np.searchsorted(self.terms, x[np.isin(x, self.terms)]) for x in sample]
-        start = np.cumsum([0] + [len(x) for x in place])
-        term = np.concatenate([np.zeros(0, np.int64), *place]).astype(np.int64)
+        doc = np.repeat(np.arange(len(sample)), [len(x) for x in sample]).astype(np.int64)
+        term = _at(self.terms, np.concatenate([np.zeros(0, np.uint64), *sample]))
+        start = np.searchsorted(doc[term >= 0], np.arange(len(sample) + 1))
+        term = term[term >= 0]
         self.levels, nodes = [], [by_least_term(start, term)]
         while min(map(len, nodes)) >= 2 * LEAF:
             keys, says, below = [], [], []
             for k, docs in enumerate(nodes):
-                left, a, b = bisect(start, term, docs, len(self.terms))
-                own = np.flatnonzero(a + b)
+                left, own, a, b = bisect(start, term, docs, len(self.terms))
                 keys.append(k * len(self.terms) + own)
-                says.append(np.log2((a[own] + 1) / max(1, left.sum())) - np.log2((b[own] + 1) / max(1, (~left).sum())))
+                says.append(np.log2((a + 1) / max(1, left.sum())) - np.log2((b + 1) / max(1, (~left).sum())))
                 below += [docs[left], docs[~left]]
             self.levels.append((np.concatenate(keys), np.concatenate(says).astype(np.float32)))
             nodes = below
         self.leaves = len(nodes)
 
     def leaf(self, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """The leaf of each of ``n`` documents with (doc, term)."""
+        """The leaf of each of ``n`` documents with (doc, term), by as many of its terms as the sample has."""
         node = np.zeros(n, np.int64)
+        few = np.arange(len(doc)) - np.searchsorted(doc, doc) < SAMPLE_TERMS
+        doc, term = doc[few], term[few]
         if not self.levels or not len(self.terms):
             return node
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
@@ -141,6 +148,9 @@ class Tree:
         doc, at = doc[known], at[known]
         for keys, says in self.levels:
             want = node[doc] * len(self.terms) + at
+            if not len(keys):
+                node = 2 * node
+                continue
             k = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
             side = np.bincount(doc, np.where(keys[k] == want, says[k], 0), n)
             node = 2 * node + (side < 0)
@@ -179,18 +189,21 @@ class Index:
     total: int
 
 
-def _sample(rows: DataFrame, count: int) -> list[np.ndarray]:
+def _sample(rows: DataFrame, count: int) -> list[tuple[np.ndarray, int]]:
+    """(terms, bytes of text) of about ``SAMPLE`` documents."""
     share = min(1.0, SAMPLE / max(1, count))
 
     def chosen(batches):
         for b in _parts(batches):
-            doc, term, _, _ = term_counts(b["text"].to_pylist())
+            texts = b["text"].to_pylist()
+            doc, term, _, _ = term_counts(texts)
             edge = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([term[x : min(y, x + SAMPLE_TERMS)].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["terms"])
+            terms = [term[x : min(y, x + SAMPLE_TERMS)].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["terms", "size"])
 
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(1 << 32)) < int(share * (1 << 32)))
-    found = [np.frombuffer(r.terms, "<u8") for r in picked.select("text").mapInArrow(chosen, "terms binary").collect()]
-    return sorted((x for x in found if len(x)), key=lambda x: x.tobytes())
+    found = picked.select("text").mapInArrow(chosen, "terms binary, size long").collect()
+    return [(np.frombuffer(r.terms, "<u8"), r.size) for r in sorted(found, key=lambda r: (r.terms, r.size)) if r.terms]
 
 
 def _shard_of(ids: pa.Array, texts: list[str], n: int, total: int) -> dict[str, np.ndarray]:
@@ -240,8 +253,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with small_batches(docs.sparkSession):
         sums = rows.mapInArrow(sized, "every long, n long, total long, size long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("every", "n", "total", "size")]).first()
         sample = _sample(rows, sums["every"])
-        tree = Tree(sample)
-        share = np.bincount(tree.leaf(np.repeat(np.arange(len(sample)), [len(x) for x in sample]), np.concatenate([np.zeros(0, np.uint64), *sample]), len(sample)), minlength=tree.leaves) if sample else np.ones(1)
+        terms = [x for x, _ in sample]
+        tree = Tree(terms)
+        leaf = tree.leaf(np.repeat(np.arange(len(terms)), [len(x) for x in terms]).astype(np.int64), np.concatenate([np.zeros(0, np.uint64), *terms]), len(terms))
+        share = np.bincount(leaf, [size + 1 for _, size in sample], tree.leaves) if sample else np.ones(1)
         # a leaf's share of the sample says into how many shards it is cut
         cuts = np.maximum(1, np.ceil(share / share.sum() * sums["size"] / SHARD_BYTES)).astype(np.int64)
         first = np.cumsum(cuts) - cuts

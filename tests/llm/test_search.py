@@ -83,7 +83,7 @@ def test_bisection_parts_what_shares_no_term():
     term = np.array([x for d in range(40) for x in ([0, 1, 2] if d % 2 else [3, 4, 5])])
     start = np.arange(41) * 3
     docs = np.random.default_rng(1).permutation(40)
-    left, a, b = search.bisect(start, term, docs, 6)
+    left, _, a, b = search.bisect(start, term, docs, 6)
     assert len(set((docs % 2)[left].tolist())) == 1 and (np.minimum(a, b) == 0).all()
     order = search.reorder(start, term, 6, 5)
     assert sorted(order.tolist()) == list(range(40)) and len(set((order[:20] % 2).tolist())) == 1
