@@ -38,37 +38,50 @@ def rolling(agg, x, size: int, least: int, key, order) -> Column:
     return F.when(F.count(col(x)).over(w) >= least, agg(col(x)).over(w))
 
 
+def _moments(x: Column, m: Column, own: Column, w: WindowSpec) -> Column:
+    """Counts, means and sums of products of deviations over a frame that only grows; zero where it has no values."""
+    n, n_own = F.count(x).over(w), F.count(own).over(w)
+    parts = {"n": n, "ax": F.avg(x).over(w), "am": F.avg(m).over(w), "xx": F.var_pop(x).over(w) * n, "mm": F.var_pop(m).over(w) * n, "xm": F.covar_pop(x, m).over(w) * n}
+    parts |= {"n_own": n_own, "a_own": F.avg(own).over(w), "mm_own": F.var_pop(own).over(w) * n_own}
+    return F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in parts.items()])
+
+
 def pair_moments(p: DataFrame, x: str, m: str, size: int, key, order, name: str) -> DataFrame:
     """Over the last ``size`` rows: how many have both values, and the sums of products of their deviations.
 
-    Columns ``name`` and n, xx, mm, xm of the pairs, and n_own, mm_own of all values of ``m``. Each sum is a running one
-    less that of ``size`` rows ago, so the work doesn't grow with ``size``. Values are taken from the key's first one,
-    which keeps the differences exact where their level is high; what rounding leaves of a constant's deviations counts
-    as zero. A value that is null or not finite is missing.
+    Columns ``name`` and n, xx, mm, xm of the pairs, and n_own, mm_own of all values of ``m``. Rows are cut in chunks of
+    ``size``; a window is the end of one chunk and the beginning of the next, whose moments grow row by row and are merged,
+    so the work doesn't grow with ``size`` and a value that has left the window leaves no trace. What rounding leaves of a
+    constant's deviations counts as zero. A value that is null or not finite is missing.
     """
     w = rows_of(key, order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
-    shifted = lambda c: finite(c) - F.first(finite(c), ignorenulls=True).over(run)
-    q = p.withColumns({"_x": shifted(x), "_m": shifted(m)})
-    own, other = F.col("_x"), F.col("_m")
-    both = own.isNotNull() & other.isNotNull()
-    parts = {"n": F.lit(1.0), "x": own, "m": other, "xx": own * own, "mm": other * other, "xm": own * other}
-    parts = {k: F.when(both, c) for k, c in parts.items()}
-    parts |= {"n_own": F.when(other.isNotNull(), 1.0), "m_own": other, "mm_own": other * other}
-    q = q.withColumn("_run", F.struct(*[F.sum(F.coalesce(c, F.lit(0.0))).over(run).alias(k) for k, c in parts.items()]))
-    q = q.withColumn("_old", F.lag("_run", size).over(w))
-    # columns of their own, so that each is computed once for all its uses
-    q = q.withColumns({f"_s_{k}": F.col("_run")[k] - F.coalesce(F.col("_old")[k], F.lit(0.0)) for k in parts})
-    s = {k: F.col(f"_s_{k}") for k in parts}
-    raw = {aa: s[aa] - F.try_divide(s[a] * s[b], s[n]) for aa, n, a, b in (("xx", "n", "x", "x"), ("mm", "n", "m", "m"), ("xm", "n", "x", "m"), ("mm_own", "n_own", "m_own", "m_own"))}
-    q = q.withColumns({f"_q_{k}": c for k, c in raw.items()})
-    square = lambda k: F.when(F.col(f"_q_{k}") > 1e-13 * F.col("_run")[k], F.col(f"_q_{k}")).otherwise(0.0)
-    out = {"n": s["n"], "xx": square("xx"), "mm": square("mm"), "xm": F.col("_q_xm"), "n_own": s["n_own"], "mm_own": square("mm_own")}
-    return q.withColumns({f"{name}{k}": c for k, c in out.items()}).drop("_x", "_m", "_run", "_old", *[f"_s_{k}" for k in parts], *[f"_q_{k}" for k in raw])
+    chunk = [*([key] if isinstance(key, str) else key), "_chunk"]
+    orders = [order] if isinstance(order, str) else list(order)
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))
+    q = p.withColumns({"_chunk": F.floor((F.row_number().over(w) - 1) / size), "_x": finite(x), "_m": finite(m)})
+    both = F.col("_x").isNotNull() & F.col("_m").isNotNull()
+    values = F.when(both, F.col("_x")), F.when(both, F.col("_m")), F.col("_m")
+    grows = lambda o: Window.partitionBy(chunk).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    q = q.withColumn("_end", _moments(*values, grows([F.col(c).desc() for c in orders])))
+    q = q.withColumn("_begin", _moments(*values, grows(orders)))
+    # the window's first row, where the chunk before has it
+    old = F.when(F.lag("_chunk", size - 1).over(w) < F.col("_chunk"), F.lag("_end", size - 1).over(w))
+    q = q.withColumn("_old", old)
+    one = {k: F.coalesce(F.col("_old")[k], F.lit(0.0)) for k in _MERGED}
+    two = {k: F.col("_begin")[k] for k in _MERGED}
+    out = {}
+    for n, pairs in (("n", (("xx", "ax", "ax"), ("mm", "am", "am"), ("xm", "ax", "am"))), ("n_own", (("mm_own", "a_own", "a_own"),))):
+        out[n] = one[n] + two[n]
+        for k, a, b in pairs:
+            apart = (one[a] - two[a]) * (one[b] - two[b]) * F.when((one[n] > 0) & (two[n] > 0), one[n] * two[n] / out[n]).otherwise(0.0)
+            merged = one[k] + two[k] + apart
+            level = F.greatest(F.abs(one[a]), F.abs(two[a]))
+            out[k] = merged if a != b else F.when(merged > 1e-26 * out[n] * level * level, merged).otherwise(0.0)
+    return q.withColumns({f"{name}{k}": out[k] for k in MOMENTS}).drop("_x", "_m", "_chunk", "_begin", "_end", "_old")
 
 
 MOMENTS = ("n", "xx", "mm", "xm", "n_own", "mm_own")
+_MERGED = ("n", "ax", "am", "xx", "mm", "xm", "n_own", "a_own", "mm_own")
 
 
 def pair_correlation(name: str) -> Column:
