@@ -89,6 +89,11 @@ def pair_correlation(name: str) -> Column:
     return F.try_divide(F.col(f"{name}xm"), F.sqrt(F.col(f"{name}xx")) * F.sqrt(F.col(f"{name}mm")))
 
 
+def correlation(a, b) -> Column:
+    """An aggregate; null where a side is constant, also under ANSI rules, where the built-in fails on a division."""
+    return F.try_divide(F.covar_pop(col(a), col(b)), F.sqrt(F.var_pop(col(a))) * F.sqrt(F.var_pop(col(b))))
+
+
 def median(x) -> Column:
     """A median that can be framed, unlike the built-in of that name."""
     return F.percentile(col(x), F.lit(0.5))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saltern.functions.frames import correlation, mean_rank
 
 #: Bands of economic relevance.
 BANDS = ("A_top_80pct", "B_next_15pct", "C_tail_5pct")
@@ -56,11 +57,40 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def rank_correlations(df: DataFrame, columns: list[str], within: str) -> DataFrame:
     """Mean over groups of the rank correlation of each pair of columns, over rows with all of them."""
-    from saltern.functions.frames import mean_rank
-
     whole = df.dropna(subset=columns)
     ranked = whole.select(within, *[mean_rank(c, within).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    by = ranked.groupBy(within).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    by = ranked.groupBy(within).agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = by.select(F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}|{b}`").alias("c")) for a, b in pairs])).alias("x")).select("x.*")
     return long.groupBy("first", "second").agg(F.avg("c").alias("rank_correlation"), F.count("c").alias("n_groups"))
+
+
+def pooled_rank_correlations(df: DataFrame, columns: list[str], least: int = 100, threshold: float = 0.0, ranges: int = 64) -> DataFrame:
+    """first, second, n, rank_correlation of each pair of columns over the rows that have both; null below ``least`` of them.
+
+    Pairs below ``threshold`` in size are left out, unless it is zero. Ranks are those among a pair's own rows (ties share
+    the mean of their places). A row goes out once for each pair it has; no task ranks a whole column, as values
+    meet within ranges, cut at approximate quantiles, and a range starts from the count of those below.
+    """
+    edges = df.approxQuantile(columns, [k / ranges for k in range(1, ranges)], 0.01) if ranges > 1 else [[]] * len(columns)
+    number = lambda c: F.col(c).cast("double")
+    bucket = lambda c, cuts: F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda e: e < number(c)))
+    values = [F.when(number(c).isNotNull() & ~F.isnan(number(c)), F.struct(number(c).alias("v"), bucket(c, cuts).alias("r"))) for c, cuts in zip(columns, edges, strict=True)]
+    rows = df.select(*[v.alias(f"c{k}") for k, v in enumerate(values)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    each = F.array(*[F.when(F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull(), F.struct(F.lit(k).alias("pair"), F.col(f"c{i}").alias("a"), F.col(f"c{j}").alias("b"))) for k, (i, j) in enumerate(pairs)])
+    long = rows.select(F.explode(F.array_compact(each)).alias("x")).select("x.pair", F.col("x.a.v").alias("a"), F.col("x.a.r").alias("ra"), F.col("x.b.v").alias("b"), F.col("x.b.r").alias("rb"))
+
+    def ranked(rows: DataFrame, x: str, r: str, name: str) -> DataFrame:
+        below = long.groupBy("pair", r).agg(F.count("*").alias("_n"))  # a row for each range of a pair
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("pair").orderBy(r).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.join(F.broadcast(below.select("pair", r, before.alias("_below"))), ["pair", r])
+        place = F.rank().over(Window.partitionBy("pair", r).orderBy(x)) + (F.count("*").over(Window.partitionBy("pair", r, x)) - 1) / 2
+        return rows.withColumn(name, F.col("_below") + place).drop("_below")
+
+    both = ranked(ranked(long, "a", "ra", "_ra"), "b", "rb", "_rb")
+    found = both.groupBy("pair").agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("c"))
+    c = F.when((F.col("n") >= least) & ~F.isnan("c"), F.col("c"))
+    names = df.sparkSession.createDataFrame([(k, columns[i], columns[j]) for k, (i, j) in enumerate(pairs)], "pair int, first string, second string")
+    out = F.broadcast(names).join(found, "pair", "left").select("first", "second", F.coalesce("n", F.lit(0)).alias("n"), c.alias("rank_correlation"))
+    return out.where(F.abs("rank_correlation") >= threshold) if threshold else out

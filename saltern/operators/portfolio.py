@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltern.functions.frames import ratio
+from saltern.functions.frames import correlation, ratio
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ def curve_metrics(curve: DataFrame, key: str, at: str, x: str, per_year: float)
 def benchmark_relative(curve: DataFrame, key: str, x: str, m: str, per_year: float) -> DataFrame:
     """Beta, annual alpha, tracking error, information ratio and correlation over rows with both returns; null below three."""
     both = curve.where(F.col(x).isNotNull() & F.col(m).isNotNull())
-    s = both.groupBy(key).agg(F.count("*").alias("n"), F.covar_samp(x, m).alias("cov"), F.var_samp(m).alias("var"), F.avg(x).alias("mx"), F.avg(m).alias("mm"), F.stddev_samp(F.col(x) - F.col(m)).alias("te"), F.corr(x, m).alias("corr"))
+    s = both.groupBy(key).agg(F.count("*").alias("n"), F.covar_samp(x, m).alias("cov"), F.var_samp(m).alias("var"), F.avg(x).alias("mx"), F.avg(m).alias("mm"), F.stddev_samp(F.col(x) - F.col(m)).alias("te"), correlation(x, m).alias("corr"))
     enough = F.col("n") >= 3
     beta = F.when(enough & (F.col("var") > 1e-12), F.col("cov") / F.col("var"))
     return s.select(key, "n", beta.alias("beta"), ((F.col("mx") - beta * F.col("mm")) * per_year).alias("alpha"), F.when(enough, F.col("te") * per_year**0.5).alias("tracking_error"), F.when(enough, ratio(F.col("mx") - F.col("mm"), "te", 1e-12) * per_year**0.5).alias("information_ratio"), F.when(enough, F.col("corr")).alias("correlation"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from saltern.functions.frames import mean_rank, percentile_rank
+from saltern.functions.frames import correlation, mean_rank, percentile_rank
 from saltern.operators import features as ft
 from saltern.operators import portfolio as pf
 from saltern.plans.feature_queries import REG as _FEATURES
@@ -92,7 +92,7 @@ def momentum_rows(spark, d):
 
 def momentum_by_session(spark, d, names: int):
     """Lines to panel, sessions, returns, universe, scores, top five, targets, and each session's rank correlation."""
-    g = momentum_rows(spark, d).groupBy("session").agg(F.count("*").alias("n"), F.corr("sr", "tr").alias("ic"), F.avg(F.when(F.col("place") <= 5, F.col("target"))).alias("top_5"), F.avg("target").alias("every")).where(F.col("n") >= names)
+    g = momentum_rows(spark, d).groupBy("session").agg(F.count("*").alias("n"), correlation("sr", "tr").alias("ic"), F.avg(F.when(F.col("place") <= 5, F.col("target"))).alias("top_5"), F.avg("target").alias("every")).where(F.col("n") >= names)
     return rounded(g.select("session", "n", "ic", "top_5", (F.col("top_5") - F.col("every")).alias("excess")))
 
 
@@ -111,7 +111,7 @@ def momentum_pipeline(spark, d):
     SELECT count(*) AS n_sessions, {r("avg(c)", "mean_ic")}, {r("median(c)", "median_ic")}, {r("avg(c) / stddev_samp(c)", "icir")}, {r("avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END)", "positive_share")} FROM f""",
 )
 def ic_summary(spark, d):
-    g = momentum_rows(spark, d).groupBy("session").agg(F.count("*").alias("n"), F.round(F.corr("sr", "tr"), 9).alias("c")).where("n >= 10 and c is not null")
+    g = momentum_rows(spark, d).groupBy("session").agg(F.count("*").alias("n"), F.round(correlation("sr", "tr"), 9).alias("c")).where("n >= 10 and c is not null")
     return rounded(g.agg(F.count("*").alias("n_sessions"), F.avg("c").alias("mean_ic"), F.median("c").alias("median_ic"), (F.avg("c") / F.stddev_samp("c")).alias("icir"), F.avg((F.col("c") > 0).cast("double")).alias("positive_share")))
 
 
@@ -145,7 +145,7 @@ def top_tail(spark, d):
 def persistence(spark, d):
     x = momentum_rows(spark, d)
     after = x.select("id", (F.col("session") - 1).alias("session"), F.col("sr").alias("next"))
-    g = x.join(after, ["id", "session"]).groupBy("session").agg(F.corr("sr", "next").alias("c"), F.count("*").alias("n"))
+    g = x.join(after, ["id", "session"]).groupBy("session").agg(correlation("sr", "next").alias("c"), F.count("*").alias("n"))
     return rounded(g.select("session", "n", F.when(F.col("n") >= 10, F.col("c")).alias("rank_correlation")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from saltern.functions.frames import correlation
 from saltern.operators import features as ft
 from saltern.plans.panel import MARKET, RETURNS, SUPPLIER_PANEL, market, returns, rounded, supplier_panel, table
 from saltern.plans.portfolio_queries import MOMENTUM, momentum_rows
@@ -176,7 +177,7 @@ def model_rank_correlation(spark, d):
     from saltern.functions.frames import mean_rank
 
     y = momentum_rows(spark, d).select("session", "sr", mean_rank("turnover", "session").alias("ur"))
-    g = y.groupBy("session").agg(F.count("*").alias("n"), F.round(F.corr("sr", "ur"), 9).alias("c")).where("n >= 10 and c is not null")
+    g = y.groupBy("session").agg(F.count("*").alias("n"), F.round(correlation("sr", "ur"), 9).alias("c")).where("n >= 10 and c is not null")
     return rounded(g.agg(F.count("*").alias("n_sessions"), F.avg("c").alias("mean"), F.percentile("c", F.lit(0.25)).alias("q25"), F.percentile("c", F.lit(0.75)).alias("q75")))
 
 
