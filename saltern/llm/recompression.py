@@ -3,8 +3,8 @@
 Words are named by hashes of their bytes. Round by round, the inner part of each run of equal symbols gets one name, and
 so does each adjacent pair whose left symbol falls in the left half and whose right symbol in the right half of a split
 that the symbols' own hashes decide. A name is a hash of its parts, so it is the same in every document without a shared
-list of names. Whether a symbol forms depends on its context alone: its own words and, next to runs, a neighbour. Hence
-equal windows hold equal symbols wherever a symbol's context lies inside them.
+list of names. Whether a symbol forms depends on its context alone: its own words and, next to runs, the neighbours
+that bound the run. Hence equal windows hold equal symbols wherever a symbol's context lies inside them.
 
 A window is known by the symbol of the last round whose context it holds. Windows whose symbol occurs once are unique;
 the others are compared whole, by 96-bit fingerprints of their words and within the bucket of their symbol. The first
@@ -45,6 +45,21 @@ class Symbols:
         return Symbols(*(x[at] for x in (self.name, self.start, self.end, self.low, self.high, self.doc)))
 
 
+def sides(name: np.ndarray) -> np.ndarray:
+    """The side of a pair that a symbol may be, the same in all rounds: what it may join never depends on its far neighbour."""
+    return mix(name * _R) >> _TOP
+
+
+def _reach(low: np.ndarray, leans: np.ndarray, began: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    """How far the context reaches of a symbol and, where it ``leans``, of those before it up to one that doesn't.
+
+    ``began`` marks a document's first symbol, before which anything could be: ``outside``.
+    """
+    low = np.where(leans & began, outside, low)
+    stretch = np.cumsum(~leans | began) * (2 * int(np.abs(low).max(initial=0)) + 4)
+    return np.minimum.accumulate(low - stretch) + stretch
+
+
 def compress_runs(s: Symbols, level: int, fresh: np.ndarray) -> tuple[Symbols, np.ndarray]:
     """Runs of four or more equal symbols: all but the first and the last become one. Also, which symbols are new.
 
@@ -56,17 +71,23 @@ def compress_runs(s: Symbols, level: int, fresh: np.ndarray) -> tuple[Symbols, n
     same[1:n] = (s.name[1:] == s.name[:-1]) & (s.doc[1:] == s.doc[:-1]) & fresh[1:]
     if not same.any():
         return s, np.zeros(n, np.bool_)
-    # the ends of a run are ends only as their outer neighbours differ, so these join the context
+    # the ends of a run are ends only as their outer neighbours differ, so these join the context, as far as they
+    # could be other symbols elsewhere: one that is older and was free to join its own outer neighbour stands only as that
+    # one gave it no occasion
+    side, began, ended = sides(s.name), np.ones(n, np.bool_), np.ones(n, np.bool_)
+    began[1:] = ended[:-1] = s.doc[1:] != s.doc[:-1]
+    far_low = _reach(s.low, ~fresh & (side == 1), began, s.start - 1)
+    far_high = -_reach(-s.high[::-1], (~fresh & (side == 0))[::-1], ended[::-1], -(s.end + 1)[::-1])[::-1]
     first = np.flatnonzero(same[1:] & ~same[:-1])
     last = np.flatnonzero(same[:-1] & ~same[1:])
     low, high = s.low.copy(), s.high.copy()
     before_at, after_at = np.maximum(first - 1, 0), np.minimum(last + 1, n - 1)
     before = (first > 0) & (s.doc[before_at] == s.doc[first])
     after = (last + 1 < n) & (s.doc[after_at] == s.doc[last])
-    low[first] = np.minimum(low[first], np.where(before, s.low[before_at], s.start[first] - 1))
+    low[first] = np.minimum(low[first], np.where(before, far_low[before_at], s.start[first] - 1))
     high[first] = np.maximum(high[first], np.where(before, s.high[before_at], 0))
     low[last] = np.minimum(low[last], np.where(after, s.low[after_at], s.start[last]))
-    high[last] = np.maximum(high[last], np.where(after, s.high[after_at], s.end[last] + 1))
+    high[last] = np.maximum(high[last], np.where(after, far_high[after_at], s.end[last] + 1))
     size = last - first + 1
     # the middle of a run of three stays only as the run is no longer, so it depends on both ends
     three = first[size == 3]
@@ -90,7 +111,7 @@ def compress_runs(s: Symbols, level: int, fresh: np.ndarray) -> tuple[Symbols, n
 def compress_pairs(s: Symbols, level: int, _: np.ndarray) -> tuple[Symbols, np.ndarray]:
     """Adjacent symbols of the left and the right half of this round's split become one. Also, which symbols are new."""
     n = len(s.name)
-    side = mix(s.name * _R) >> _TOP  # the same in all rounds: what a symbol may join never depends on its far neighbour
+    side = sides(s.name)
     left = np.zeros(n, np.bool_)
     left[:-1] = (side[:-1] == 0) & (side[1:] == 1) & (s.doc[1:] == s.doc[:-1])
     at = np.flatnonzero(left)
