@@ -7,18 +7,20 @@ every pseudonym is valid in turn, and equal values get equal pseudonyms in all d
 | kind | validated by | kept |
 | --- | --- | --- |
 | card | 13 to 19 digits, unbroken or in groups of four or 4-6-5 or 4-6-4, Luhn sum | separators, length, a valid check digit |
+| iban | two letters, two digits and 11 to 30 more characters, unbroken or in groups of four, rest 1 by 97 | country, letters, groups, valid check digits |
 | phone | + with a country code and 8 to 15 digits in any groups of two to four, or ten digits in groups | code, separators |
 | ssn | no excluded area, group or serial | hyphens |
 | ip | four numbers up to 255 | a valid address |
-| date | exists, from 1900-01-01 on for 73,000 days (to 2099); the day first unless only the month can be | order of day, month, year and separators |
+| date | exists, from 1900-01-01 on for 73,000 days (to 2099); year first, or the day first unless only the month can be | order, separators, and whether one digit may do |
 | email | address form | address form |
 | secret | 32 to 64 hexadecimal digits with a digit and a letter | length and case |
 
 In a run of groups of digits the longest part of whole groups with a Luhn sum is the card, from the left, so digits beside
-a card don't hide it.
+a card don't hide it, and a date after a card is no part of it. Groups are parted by a space (also one that doesn't break), a hyphen or a dot.
 
 Edge cases: a null text stays null; texts without personal data stay as they are; repeated rows give equal rows; null ids
-stay; an empty table gives no rows. ``mask`` keeps all columns but the text as they are, whatever their names.
+stay; an empty table gives no rows. ``mask`` keeps all columns but the text as they are, and
+fails on a table that has a column ``_pii``, which it adds; ``masked_documents`` takes columns of any name.
 """
 
 from __future__ import annotations
@@ -32,15 +34,20 @@ ROUNDS = 8
 #: Days of the permuted range of dates and its two factors; the Feistel network works on their product.
 FIRST_DAY, DAY_LEFT, DAY_RIGHT = "1900-01-01", 250, 292
 
+#: What may stand between the groups of a number.
+GAP = r"[ .\u00A0\u202F-]"
+_DATE = r"(?:(?:19|20)[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9])"
 #: Patterns of each kind, tried in this order at each place. A match must pass its validation to be replaced.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
-    "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:[0-9]{2}[./](?:0[1-9]|1[0-2])|(?:0[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01]))[./](?:19|20)[0-9]{2})(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ \u00A0\u202F-][A-Z0-9]{4}){2,7}(?:[ \u00A0\u202F-][A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "date": rf"(?<![0-9/.-]){_DATE}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{7,14}(?![0-9])|(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}|[ .-]\([0-9]{2,4}\)|[ .-][0-9](?=[ .-][0-9]{2})){2,5}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    # not where a card follows the code
+    "phone": rf"(?<![0-9+])(?!\+[0-9]{{1,3}}(?:{GAP}[0-9]{{4}}){{3}}{GAP}[0-9])(?:\+[0-9]{{1,3}}{GAP}?\(?[0-9]{{3}}\)?{GAP}?[0-9]{{3}}{GAP}?[0-9]{{4}}(?![0-9])|\+[1-9][0-9]{{7,14}}(?![0-9])|\+[1-9][0-9]{{0,2}}(?:{GAP}[0-9]{{2,4}}|{GAP}\([0-9]{{2,4}}\)|{GAP}[0-9](?={GAP}[0-9]{{2}})){{2,5}}(?![0-9]))|\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])|(?<![0-9-])[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){3,99}(?:[ -][0-9]{1,3})?)(?![0-9])",
+    "card": rf"(?<![0-9])(?:[0-9]{{13,19}}|[0-9]{{4}}{GAP}[0-9]{{6}}{GAP}[0-9]{{4,5}}|[0-9]{{4}}(?:{GAP}(?!{_DATE})[0-9]{{4}}){{3,99}}(?:{GAP}(?!{_DATE})[0-9]{{1,3}})?)(?![0-9])",
 }
 #: Country codes of one and of two digits; all others have three.
 CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
@@ -63,7 +70,7 @@ def feistel(u: Column, v: Column, left: Column, right: Column, key: str, tweak:
 
 
 def permute_digits(digits: Column, key: str, tweak: str) -> Column:
-    """The digits, at least two and at most 20, keyed-permuted among all digit strings of their length."""
+    """The digits, at least two and at most 30, keyed-permuted among all digit strings of their length."""
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
     power = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
@@ -90,7 +97,7 @@ def _refill(m: Column, digits: Column) -> Column:
 
 def _groups(m: Column) -> Column:
     """The groups of digits, each with the separator before it."""
-    return F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    return F.regexp_extract_all(m, F.lit(f"{GAP}?[0-9]+"), F.lit(0))
 
 
 def _card_ends(groups: Column, i: Column) -> Column:
@@ -100,14 +107,19 @@ def _card_ends(groups: Column, i: Column) -> Column:
     return F.filter(F.sequence(F.lit(1), F.least(F.lit(5), F.size(groups) - i)), good)
 
 
+def _account(m: Column) -> Column:
+    """What looks like the country and check digits of an account number, in front of a match that is none."""
+    return F.regexp_extract(m, "^[A-Z]{2}[0-9]{2}", 0)
+
+
 def _has_card(m: Column) -> Column:
-    groups = _groups(m)
+    groups = _groups(F.substr(m, F.length(_account(m)) + 1))
     return F.exists(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.size(_card_ends(groups, i)) > 0)
 
 
 def _cards(m: Column, key: str) -> Column:
     """``m`` with its cards permuted: from the left, the longest card that starts at each group."""
-    groups = _groups(m)
+    groups = _groups(F.substr(m, F.length(_account(m)) + 1))
 
     def step(acc: Column, i: Column) -> Column:
         n = F.coalesce(F.try_element_at(_card_ends(groups, i), F.lit(-1)), F.lit(0))
@@ -115,7 +127,7 @@ def _cards(m: Column, key: str) -> Column:
         skip = i < acc["next"]
         return F.struct(F.when(skip, acc["next"]).otherwise(i + F.greatest(n, F.lit(1))).alias("next"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("next"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("next"), _account(m).alias("out"))
     return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda acc: acc["out"])
 
 
@@ -126,6 +138,29 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, F.concat(body, check.cast("string")))
 
 
+def _plain(m: Column) -> Column:
+    return F.regexp_replace(m, "[^A-Z0-9]", "")
+
+
+def rest_by_97(account: Column) -> Column:
+    """The rest by 97 of an account number (without gaps): its first four characters go last, letters count from 10."""
+    turned = F.split(F.concat(F.substr(account, F.lit(5)), F.substring(account, 1, 4)), "")
+    value = lambda c: F.when(F.ascii(c) >= 65, F.ascii(c) - 55).otherwise(F.ascii(c) - 48)
+    return F.aggregate(turned, F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(F.ascii(c) >= 65, 100).otherwise(10) + value(c)) % 97))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Digits behind the check digits are permuted in their places; letters stay."""
+    plain = _plain(m)
+    tail = F.substr(plain, F.lit(5))
+    digits = _only_digits(tail)
+    new = _refill(tail, F.when(F.length(digits) > 1, permute_digits(digits, key, "iban")).otherwise(digits))
+    check = F.lpad((98 - rest_by_97(F.concat(F.substring(plain, 1, 2), F.lit("00"), new))).cast("string"), 2, "0")
+    filled = F.split(F.concat(F.substring(plain, 1, 2), check, new), "")
+    gaps = F.split(m, "[A-Z0-9]", -1)  # what stands before, between and after the characters
+    return F.array_join(F.zip_with(gaps, filled, lambda g, c: F.concat(F.coalesce(g, F.lit("")), F.coalesce(c, F.lit("")))), "")
+
+
 def _phone(m: Column, key: str) -> Column:
     digits = _only_digits(m)
     code = F.when(F.substring(m, 1, 1) == "+", F.regexp_extract(digits, f"^(?:{CODES}|[0-9]{{3}})", 0)).otherwise("")
@@ -149,12 +184,18 @@ def _ip(m: Column, key: str) -> Column:
     return F.concat_ws(".", *[x.cast("string") for h in ("u", "v") for x in (F.floor(out[h] / 256), out[h] % 256)])
 
 
+def _date_parts(m: Column) -> tuple[Column, Column, Column]:
+    """The three numbers of a date, whether the year is first, and whether the month is before the day."""
+    parts = F.split(m, "[./-]")
+    year_first = F.length(parts[0]) == 4
+    return parts, year_first, year_first | (parts[1].cast("int") > 12)
+
+
 def _as_date(m: Column) -> Column:
     """Null if the date does not exist or lies outside the permuted range."""
-    first, second = F.substring(m, 1, 2), F.substring(m, 4, 2)
-    day_first = F.concat_ws("-", F.substring(m, 7, 4), second, first)
-    month_first = F.concat_ws("-", F.substring(m, 7, 4), first, second)
-    iso = F.when(F.substring(m, 5, 1) == "-", m).when(second > "12", month_first).otherwise(day_first)
+    parts, year_first, month_first = _date_parts(m)
+    two = lambda c: F.lpad(c, 2, "0")
+    iso = F.when(year_first, F.concat_ws("-", *[parts[k] for k in range(3)])).otherwise(F.concat_ws("-", parts[2], two(F.when(month_first, parts[0]).otherwise(parts[1])), two(F.when(month_first, parts[1]).otherwise(parts[0]))))
     day = F.try_to_date(iso, "yyyy-MM-dd")
     at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     return F.when((at >= 0) & (at < DAY_LEFT * DAY_RIGHT), day)
@@ -164,9 +205,12 @@ def _date(m: Column, key: str) -> Column:
     at = F.datediff(_as_date(m), F.lit(FIRST_DAY).cast("date"))
     out = feistel(F.floor(at / DAY_RIGHT), at % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT), key, "date")
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["u"] * DAY_RIGHT + out["v"]).cast("int"))
-    month_first = F.substring(m, 4, 2) > "12"
-    first, second = F.when(month_first, F.date_format(day, "MM")).otherwise(F.date_format(day, "dd")), F.when(month_first, F.date_format(day, "dd")).otherwise(F.date_format(day, "MM"))
-    return F.when(F.substring(m, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(first, F.substring(m, 3, 1), second, F.substring(m, 6, 1), F.date_format(day, "yyyy")))
+    parts, year_first, month_first = _date_parts(m)
+    short = (F.length(parts[0]) == 1) | (F.length(parts[1]) == 1)
+    number = lambda f: F.when(short, F.date_format(day, f)).otherwise(F.date_format(day, f * 2))
+    gap = F.regexp_extract_all(m, F.lit("[./-]"), F.lit(0))
+    first, second = F.when(month_first, number("M")).otherwise(number("d")), F.when(month_first, number("d")).otherwise(number("M"))
+    return F.when(year_first, F.concat(F.date_format(day, "yyyy"), gap[0], F.date_format(day, "MM"), gap[1], F.date_format(day, "dd"))).otherwise(F.concat(first, gap[0], second, gap[1], F.date_format(day, "yyyy")))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -190,6 +234,7 @@ def kind(m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(whole("secret") & F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Fa-f]")), "secret")
+        .when(whole("iban"), F.when(rest_by_97(_plain(m)) == 1, "iban").when(~F.regexp_like(F.substr(m, F.lit(5)), F.lit("[A-Z]")) & _has_card(m), "card"))
         .when(whole("date"), F.when(_as_date(m).isNotNull(), "date"))
         .when(whole("ip"), F.when(octets, "ip"))
         .when(whole("phone"), F.when(F.length(digits).between(8, 15), "phone"))
@@ -200,7 +245,7 @@ def kind(m: Column) -> Column:
 
 def pseudonym(m: Column, what: Column, key: str) -> Column:
     out = F.when(what == "email", _email(m, key))
-    for name, f in (("secret", _secret), ("date", _date), ("ip", _ip), ("phone", _phone), ("ssn", _ssn), ("card", _cards)):
+    for name, f in (("secret", _secret), ("iban", _iban), ("date", _date), ("ip", _ip), ("phone", _phone), ("ssn", _ssn), ("card", _cards)):
         out = out.when(what == name, f(m, key))
     return out.otherwise(m)
 
@@ -216,6 +261,8 @@ def find(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> Dat
 
 def mask(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """``docs`` with pseudonyms in the text and one more column, ``_pii`` (see ``find``)."""
+    if "_pii" in docs.columns:
+        raise ValueError("the table has a column _pii already")
     parts = F.split(F.col(text_col), ANY, -1)
     new = F.array_join(F.zip_with(parts, F.col("_pii"), lambda p, x: F.concat(p, F.coalesce(x["pseudonym"], F.lit("")))), "")
     return find(docs, text_col, key).withColumn(text_col, F.when(F.size("_pii") > 0, new).otherwise(F.col(text_col)))

@@ -127,3 +127,54 @@ def test_columns_of_any_name_stay(spark):
     rows = sorted(pii.masked_documents(df).collect(), key=lambda r: r.doc_id is None)
     assert rows[0]._pii == "mine" and rows[0].row == "r" and rows[0].n_chars == len(rows[0].text) and rows[0].text != "ip 1.2.3.4"
     assert rows[1]._pii is None and rows[1].text is None and rows[1].n_chars is None
+
+
+def rest_by_97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_cards_beside_codes_and_dates(spark):
+    c = "4539578763621486"
+    new = card(c)
+    four = lambda x, s: s.join(x[k : k + 4] for k in range(0, 16, 4))
+    got = masked(spark, [f"+1 {four(c, ' ')}", f"card {four(c, ' ')} 2025-05-12", f"card {four(c, ' ')} 12.05.1990", four(c, "."), four(c, "\u00a0"), f"AB12 {four(c, ' ')}", f"AB12 {four('4539578763621487', ' ')}"])
+    assert got[0].text == f"+1 {four(new, ' ')}" and got[3].text == four(new, ".") and got[4].text == four(new, "\u00a0")
+    day = re.fullmatch(rf"card {four(new, ' ')} (\d{{4}}-\d\d-\d\d)", got[1].text)[1]
+    other = re.fullmatch(rf"card {four(new, ' ')} (\d\d)\.(\d\d)\.(\d{{4}})", got[2].text).groups()
+    assert date.fromisoformat(day) and day != "2025-05-12" and date(int(other[2]), int(other[1]), int(other[0])) and other != ("12", "05", "1990")
+    assert got[5].text == f"AB12 {four(new, ' ')}" and got[6].text == f"AB12 {four('4539578763621487', ' ')}" and got[5].n_card == 1
+
+
+def test_account_numbers(spark):
+    one, two = "DE89370400440532013000", "GB82WEST12345698765432"
+    four = lambda x: " ".join(x[k : k + 4] for k in range(0, len(x), 4))
+    got = masked(spark, [f"to {four(one)}, {one}.", four(two), "DE88 3704 0044 0532 0130 00", "XDE89370400440532013000", "MT84MALT011000012345MTLCAST001S"])
+    a, b = re.fullmatch(r"to (.*), (.*)\.", got[0].text).groups()
+    digits = permuted(one[4:], "iban")
+    assert b[:2] == "DE" and b[4:] == digits and rest_by_97(b) == 1 and a == four(b) and got[0].n_iban == 2
+    g = got[1].text.replace(" ", "")
+    assert g[:2] == "GB" and g[4:8] == "WEST" and rest_by_97(g) == 1 and g != two and four(g) == got[1].text
+    assert got[2].text == "DE88 3704 0044 0532 0130 00" and got[3].text == "XDE89370400440532013000"
+    m = got[4].text
+    assert rest_by_97(m) == 1 and re.sub(r"\d", "", m) == re.sub(r"\d", "", "MT84MALT011000012345MTLCAST001S") and m != "MT84MALT011000012345MTLCAST001S"
+
+
+def test_dates_of_one_digit_and_of_slashes(spark):
+    cases = ["5/22/1990", "05/22/1990", "1.2.1990", "01.02.1990", "1990/05/22", "1990-05-22", "31/2/1990", "1.2.3.1990", "7/4/2150"]
+    found = masked(spark, cases)
+    got = [found[k].text for k in range(len(cases))]
+    m, d, y = map(int, got[0].split("/"))
+    assert got[1] == f"{m:02d}/{d:02d}/{y}" and got[0] == f"{m}/{d}/{y}" and got[4] == got[5].replace("-", "/") == f"{y}/{m:02d}/{d:02d}"
+    day = [int(x) for x in got[2].split(".")]
+    assert got[2] == ".".join(map(str, day)) and got[3] == f"{day[0]:02d}.{day[1]:02d}.{day[2]}" and date(*day[::-1])
+    assert got[6:] == cases[6:]
+
+
+def test_a_column_of_its_own_name_is_refused(spark):
+    df = spark.createDataFrame([(1, "ip 1.2.3.4", "mine")], "doc_id long, text string, _pii string")
+    try:
+        pii.mask(df)
+    except ValueError as e:
+        assert "_pii" in str(e)
+    else:
+        raise AssertionError
