@@ -55,8 +55,9 @@ def test_equal_brute_force(spark, monkeypatch):
     rows = odd_documents(80) + families(rng)
     rng.shuffle(rows)
     rows += [(5, "Same Id other text"), (5, "same id OTHER text"), (None, "same id other text"), (None, None), (7001, "b a"), (7002, "A"), (7003, "a\t")]
-    for star, tile in ((256, 1024), (2, 4)):
+    for star, tile, part in ((256, 1024, 1 << 18), (2, 4, 150)):
         monkeypatch.setattr(minhash, "STAR", star)
+        monkeypatch.setattr(minhash, "PART", part)
         monkeypatch.setattr(minhash.residual, "__defaults__", (tile,))
         got = minhash.with_kept(minhash.near_duplicates(frame(spark, rows))).collect()
         assert sorted(str(tuple(r)) for r in got) == brute(rows)
@@ -70,7 +71,7 @@ def test_other_widths_and_limits(spark):
     assert all(r.n_shingles == want[r.doc_id][1] and r.component_id >= want[r.doc_id][2] for r in got) and len(got) == len(rows)
 
 
-def test_a_chain_around_a_centre_is_whole(spark):
+def test_a_chain_around_a_centre_is_whole(spark, monkeypatch):
     """Members that are linked with one another, but not with their bucket's least."""
     rng = random.Random(2)
     base = [f"w{k}" for k in range(60)]
@@ -83,8 +84,10 @@ def test_a_chain_around_a_centre_is_whole(spark):
             w = rows[-1][1].split()
             w[rng.randrange(60)] = "last"
         rows.append((k + 1, " ".join(w)))
-    got = minhash.with_kept(minhash.near_duplicates(frame(spark, rows))).collect()
-    assert sorted(str(tuple(r)) for r in got) == brute(rows)
+    for part in (1 << 18, 200):
+        monkeypatch.setattr(minhash, "PART", part)
+        got = minhash.with_kept(minhash.near_duplicates(frame(spark, rows))).collect()
+        assert sorted(str(tuple(r)) for r in got) == brute(rows)
 
 
 def test_bins_agree_as_often_as_sets():
