@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from saltern.llm.decontamination import item_blocks, words_of
 SAMPLE, SAMPLE_TERMS = 4096, 128
 #: Documents of the sample in a leaf at least, and rounds of swaps of a bisection.
 LEAF, ROUNDS = 64, 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 CLUSTER = 64
 #: Text of the items of a block, and its greatest number of visits in a round.
 ITEM_BYTES, VISITS = 1 << 20, 1 << 20
@@ -170,10 +171,10 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return doc[at], h[at], np.diff(np.append(at, len(h))), size
 
 
-def _parts(batches, chunk: int = 4 << 20):
+def _parts(batches, chunk: int = 1 << 20):
     """Batches cut into parts of about ``chunk`` bytes of text."""
     for b in batches:
-        size = np.array([len(t) for t in b["text"].to_pylist()], np.int64)
+        size = pc.binary_length(b["text"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.cumsum(size) // chunk
         for rows in np.split(np.arange(len(size)), np.flatnonzero(np.diff(at)) + 1):
             if len(rows):
@@ -409,6 +410,8 @@ def search(index: Index, items: DataFrame, k: int = 10, id_col: str = "item_id",
     out = spark.createDataFrame([], "item_id string, rank int, doc_id long, score long")
     for block in item_blocks(items, id_col, text_col, item_bytes):
         names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(block)], "item long, item_id string"))
-        found = _search_block(index, [text for _, text in block], k).join(names, "item")
+        with small_batches(spark):
+            best = _search_block(index, [text for _, text in block], k)
+        found = best.join(names, "item")
         out = out.unionByName(found.select("item_id", "rank", F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "score"))
     return out.withColumn("item_id", F.col("item_id").cast(kind))
