@@ -56,19 +56,16 @@ def interval_join(left: DataFrame, periods: DataFrame, at: str, start: str, unti
 def bracket_join(events: DataFrame, rows: DataFrame, symbol: str, days: int = 7) -> DataFrame:
     """Each event's id from rows of its symbol: on its day, else where the nearest days on both sides agree.
 
-    ``events``: event, symbol, date. ``rows``: symbol, date, id. Rows meet events by symbol and bucket of days, so the join is
-    an equi-join and only near rows meet.
+    ``events``: event, symbol, date. ``rows``: symbol, date, id. The rows become one a symbol and day, which says to each
+    day around it what it has; events then meet what is known of their own day by equality, so no event meets more than one row.
+    Every event has a row of its own, also where its symbol or date is null or its number repeats.
     """
-    size = days + 1
-    bucket = lambda c: F.floor(F.unix_date(c) / size)
-    ev = events.withColumn("_b", F.explode(F.array(*[bucket(F.col("date")) + k for k in (-1, 0, 1)])))
-    near = rows.select(F.col(symbol).alias("_s"), F.col("date").alias("_d"), "id", bucket(F.col("date")).alias("_rb"))
-    offset = F.datediff("_d", "date")
-    met = ev.join(near, (F.col(symbol) == F.col("_s")) & (F.col("_b") == F.col("_rb"))).where(F.abs(offset) <= days)
-    by_day = met.groupBy("event", offset.alias("off")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    whole = rows.dropna(subset=[symbol, "date", "id"])
+    by_day = whole.groupBy(F.col(symbol).alias("_s"), F.col("date").alias("_d")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    told = by_day.select("_s", "_d", "n", "id", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("off")).withColumn("_d", F.date_sub("_d", F.col("off")))
     pick = lambda cond, f: f(F.when(cond, F.struct("off", "n", "id")))
-    sides = by_day.groupBy("event").agg(pick(F.col("off") == 0, F.max).alias("e"), pick(F.col("off") < 0, F.max).alias("l"), pick(F.col("off") > 0, F.min).alias("r"))
-    s = events.join(sides, "event", "left")
+    sides = told.groupBy("_s", "_d").agg(pick(F.col("off") == 0, F.max).alias("e"), pick(F.col("off") < 0, F.max).alias("l"), pick(F.col("off") > 0, F.min).alias("r"))
+    s = events.join(sides, (F.col(symbol) == F.col("_s")) & (F.col("date") == F.col("_d")), "left")
     e, left, right = F.col("e"), F.col("l"), F.col("r")
     # the search goes outwards, the left day before the right one, and stops where a side is ambiguous
     left_first = -left["off"] <= right["off"]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saltern.functions.frames import percentile_rank
-from saltern.operators import checked, gates, linear, rankers, resampling
+from saltern.operators import checked, gates, linear, rankers, resampling, slots
 from saltern.operators import features as ft
 from saltern.operators.aggregates import pooled_rank_correlations
 from saltern.plans.feature_queries import _target
@@ -194,3 +194,34 @@ def _pooled(a: str, b: str) -> str:
 )
 def pooled_rank_correlation(spark, d):
     return rounded(pooled_rank_correlations(model_rows(spark, d), POOLED, 100, 0.05))
+
+
+def _side_sql(side: str, w: str) -> str:
+    mean = lambda v: f"sum({w} * {v}) / sum(CASE WHEN {v} IS NOT NULL THEN {w} END)"
+    return f"""count({w}) AS {side}_holdings_count, {r(f'greatest(0, 1 - coalesce(sum({w}), 0))', f'{side}_cash_fraction')}, {r(f'least(1, coalesce(sum({w}), 0))', f'{side}_exposure')},
+    {r(mean('score_pct'), f'{side}_weighted_score_pct')}, {r(mean('rank'), f'{side}_weighted_rank')}"""
+
+
+def _slot_sql(label: str, place: str, w: str) -> str:
+    one = lambda c, k: f"max({c}) FILTER ({place} = {k + 1})"
+    return ", ".join(f"{r(f'coalesce({one(w, k)}, 0)', f'{label}{k}_weight')}, " + ", ".join(r(one(c, k), f"{label}{k}_{c}") for c in ("score_pct", "rank", "return_1")) for k in range(3))
+
+
+@REG.add(
+    "action_features",
+    f"""WITH {RETURNS}, day AS (SELECT session, id, return_1, (rank() OVER (PARTITION BY session ORDER BY return_20) + (count(*) OVER (PARTITION BY session, return_20) - 1) / 2.0) / count(*) OVER (PARTITION BY session) AS score_pct, row_number() OVER (PARTITION BY session ORDER BY return_20 DESC, id) AS rank FROM returns WHERE return_20 IS NOT NULL),
+    held AS (SELECT session, id, k AS sk, CAST(0.06 * (6 - k) AS DOUBLE) AS sw FROM (SELECT session, id, row_number() OVER (PARTITION BY session ORDER BY return_5 DESC, id) AS k FROM returns WHERE return_5 IS NOT NULL) WHERE k <= 5),
+    target AS (SELECT session, id, rank AS tk, CAST(0.01 + 0.06 * (6 - rank) AS DOUBLE) AS tw FROM day WHERE rank <= 5),
+    x AS (SELECT session, id, sk, sw, tk, tw, score_pct, CAST(rank AS DOUBLE) AS rank, return_1 FROM held FULL JOIN target USING (session, id) LEFT JOIN day USING (session, id)),
+    g AS (SELECT session, {_side_sql('state', 'sw')}, {_side_sql('target', 'tw')}, 0.5 * sum(abs(coalesce(tw, 0) - coalesce(sw, 0))) AS moved, {_slot_sql('source', 'sk', 'sw')}, {_slot_sql('target', 'tk', 'tw')} FROM x GROUP BY session)
+    SELECT * EXCLUDE (moved), {r('target_weighted_score_pct - state_weighted_score_pct', 'delta_score_pct', 5)}, {r('target_weighted_rank - state_weighted_rank', 'delta_rank', 5)}, {r('moved + 0.5 * abs(target_cash_fraction - state_cash_fraction)', 'turnover_fraction')} FROM g""",
+)
+def action_features(spark, d):
+    """The step from the leaders of five sessions to those of twenty, by session."""
+    p = returns(spark, d)
+    place = lambda c: F.row_number().over(Window.partitionBy("session").orderBy(F.desc(c), "id"))
+    day = p.where("return_20 is not null").select("session", "id", "return_1", percentile_rank("return_20", "session").alias("score_pct"), place("return_20").alias("rank"))
+    held = p.where("return_5 is not null").withColumn("k", place("return_5")).where("k <= 5").select("session", "id", (0.06 * (6 - F.col("k"))).alias("weight"))
+    target = day.where("rank <= 5").select("session", "id", (0.01 + 0.06 * (6 - F.col("rank"))).alias("weight"))
+    out = slots.action_features(held, target, day, ["session"], 3, ("return_1",))
+    return rounded(out).withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("delta_score_pct", "delta_rank")})

@@ -81,13 +81,14 @@ def cross_membership(spark, d):
 
 @REG.add(
     "union_dedupe",
-    """WITH u AS (SELECT o_custkey AS id, o_orderkey AS k, o_totalprice AS v, 1 AS src FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice + 1, 2 FROM orders WHERE o_orderkey % 3 = 0)
+    """WITH u AS (SELECT o_custkey AS id, o_orderkey AS k, o_totalprice AS v, 1 AS src FROM orders UNION ALL SELECT l_suppkey, l_orderkey, sum(l_extendedprice), 2 FROM lineitem GROUP BY 1, 2)
     SELECT id, k, round(v, 6) + 0.0 AS v FROM (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY src DESC, v) AS n FROM u) WHERE n = 1""",
 )
 def union_dedupe(spark, d):
-    o = table(spark, d, "orders")
-    row = lambda c, v, s: o.where(c).select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("k"), v.alias("v"), F.lit(s).alias("src"))
-    u = row("o_orderkey % 2 = 0", F.col("o_totalprice"), 1).unionByName(row("o_orderkey % 3 = 0", F.col("o_totalprice") + 1, 2))
+    """Customers' orders and suppliers' shares of orders under one key; where both have it, the later source counts."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit(1).alias("src"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v"))
+    u = o.unionByName(li.withColumn("src", F.lit(2)))
     w = Window.partitionBy("id", "k").orderBy(F.desc("src"), "v")
     return rounded(u.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "k", "v"))
 
@@ -206,10 +207,11 @@ def ratio_parse(spark, d):
     return rounded(purposes(spark, d).select("p_partkey", ac.share_multiplier("purpose").alias("multiplier")))
 
 
-@REG.add("dividend_sum", "SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 2 THEN p_size + 1.5 ELSE 0 END AS DOUBLE) AS dividend FROM part WHERE p_size % 5 IN (2, 3)")
+@REG.add("dividend_sum", "SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 2 THEN p_size + 1.5 ELSE 0 END AS DOUBLE) AS dividend FROM part")
 def dividend_sum(spark, d):
-    p = table(spark, d, "part").where("p_size % 5 in (2, 3)").selectExpr("p_partkey", PURPOSE_SQL + " as purpose")
-    return rounded(p.select("p_partkey", ac.dividend_total("purpose").alias("dividend")))
+    """Amounts count in texts of dividends alone: a face value is none."""
+    amount = F.when(ac.action_kind("purpose") == "dividend", ac.dividend_total("purpose")).otherwise(0.0)
+    return rounded(purposes(spark, d).select("p_partkey", amount.alias("dividend")))
 
 
 @REG.add("stable_lineage_id", "SELECT o_orderkey, 'NSELINEAGE:' || substr(sha1(o_custkey || '|' || o_orderstatus || '|' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR)), 1, 16) AS lineage FROM orders")
