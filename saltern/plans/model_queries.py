@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saltern.functions.frames import percentile_rank
-from saltern.operators import checked, gates, linear, rankers, resampling, slots
+from saltern.operators import checked, gates, linear, performance, rankers, resampling, slots
 from saltern.operators import features as ft
 from saltern.operators.aggregates import pooled_rank_correlations
 from saltern.plans.feature_queries import _target
-from saltern.plans.panel import MARKET, RETURNS, market, returns, rounded
+from saltern.plans.panel import RETURNS, SUPPLIER_PANEL, market, returns, rounded, supplier_panel, table
 from saltern.plans.registry import Registry, r
-from saltern.plans.relational_queries import REGION_OF, baskets, regions
+from saltern.plans.relational_queries import REGION_OF, regions
 
 REG = Registry()
 FEATURES = ["return_1", "return_5", "return_20"]
@@ -99,7 +99,8 @@ def importance_stability(spark, d):
 
 
 REPS, BLOCK, SEED = 200, 20, 8675309
-SERIES = f"""{MARKET}, {REGION_OF}, series AS (SELECT session, sector AS series, greatest(least(avg(return_1), 0.05), -0.05) AS r FROM returns JOIN own USING (id) WHERE return_1 IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT session, 'market', greatest(least(market_return, 0.05), -0.05) FROM market),
+SERIES = f"""{RETURNS}, {REGION_OF}, logs AS (SELECT id, session, ln(1 + return_1) AS g FROM returns WHERE return_1 > -1),
+series AS (SELECT session, sector AS series, greatest(least(avg(g), 0.05), -0.05) AS r FROM logs JOIN own USING (id) GROUP BY 1, 2 UNION ALL SELECT session, 'market', greatest(least(avg(g), 0.05), -0.05) FROM logs GROUP BY 1),
 places AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS place FROM series GROUP BY session HAVING count(*) = (SELECT count(DISTINCT series) FROM series)), n AS (SELECT count(*) AS n FROM places),
 held AS (SELECT place, series, r FROM series JOIN places USING (session))"""
 
@@ -110,10 +111,11 @@ def _draw(stream: str, values: str) -> str:
 
 
 def _series(spark, d):
-    """Weekly returns of regions and market, cut at 5 %, as those of the test tables would compound beyond all measure."""
-    cut = lambda c: F.greatest(F.least(F.col(c), F.lit(0.05)), F.lit(-0.05)).alias("r")
-    own = baskets(spark, d).select("session", F.col("sector").alias("series"), cut("basket"))
-    return own.unionByName(market(spark, d).select("session", F.lit("market").alias("series"), cut("market_return")))
+    """Weekly mean log returns of regions and of all, cut at 5 %, as those of the test tables would compound beyond all measure."""
+    cut = F.greatest(F.least(F.avg("g"), F.lit(0.05)), F.lit(-0.05)).alias("r")
+    logs = returns(spark, d).where("return_1 > -1").select("id", "session", F.log1p("return_1").alias("g"))
+    own = logs.join(regions(spark, d), "id").groupBy("session", F.col("sector").alias("series")).agg(cut)
+    return own.unionByName(logs.groupBy("session", F.lit("market").alias("series")).agg(cut))
 
 
 @REG.add(
@@ -225,3 +227,62 @@ def action_features(spark, d):
     target = day.where("rank <= 5").select("session", "id", (0.01 + 0.06 * (6 - F.col("rank"))).alias("weight"))
     out = slots.action_features(held, target, day, ["session"], 3, ("return_1",))
     return rounded(out).withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("delta_score_pct", "delta_rank")})
+
+
+def _daily_sql(source: str) -> str:
+    """CTEs of ``performance.daily`` over (key, date, value, invested)."""
+    return f"""d0 AS (SELECT *, CASE WHEN lag(value) OVER (PARTITION BY key ORDER BY date) > 0 THEN value / lag(value) OVER (PARTITION BY key ORDER BY date) - 1 END AS ret, max(value) OVER (PARTITION BY key ORDER BY date) AS peak FROM {source}),
+    d1 AS (SELECT *, value < peak * (1 - 1e-12) AS u, sum(CASE WHEN value < peak * (1 - 1e-12) THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY date) AS g FROM d0),
+    daily AS (SELECT *, value / peak - 1 AS drawdown, CASE WHEN u THEN row_number() OVER (PARTITION BY key, g ORDER BY date) - 1 ELSE 0 END AS under, CASE WHEN u THEN date_diff('day', first(date) OVER (PARTITION BY key, g ORDER BY date), date) ELSE 0 END AS under_days FROM d1)"""
+
+
+INITIAL, RISK_FREE = 1000.0, 0.065
+_RF = f"(pow({1 + RISK_FREE}, 1.0 / 52) - 1)"
+_COLUMNS = {
+    "net_profit": f"l - {INITIAL}", "total_return": f"l / {INITIAL} - 1", "cagr": "cagr", "annualized_arithmetic_return": "coalesce(m * 52, 0)", "annualized_volatility": "CASE WHEN k >= 2 AND s > 0 THEN s * sqrt(52) ELSE 0 END",
+    "sharpe": f"CASE WHEN k >= 2 AND s > 0 THEN (m - {_RF}) / s * sqrt(52) ELSE 0 END", "downside_deviation": "coalesce(dn * sqrt(52), 0)", "sortino": f"CASE WHEN dn > 0 THEN (m - {_RF}) * sqrt(52) / dn END", "max_drawdown": "mdd",
+    "high_water_mark": "hw", "calmar": "CASE WHEN mdd < 0 THEN cagr / abs(mdd) END", "recovery_factor": f"CASE WHEN fall > 0 THEN (l - {INITIAL}) / fall END", "var_95": "v", "cvar_95": "list_avg([x FOR x IN rets IF x <= v])",
+    "skewness": "CASE WHEN k >= 3 THEN sk END", "excess_kurtosis": "CASE WHEN k >= 4 THEN ku END", "best_day_return": "best", "worst_day_return": "worst", "positive_day_fraction": "pos", "average_exposure": "ex", "max_exposure": "mx",
+    "win_rate": "win_rate", "average_win": "average_win", "average_loss": "average_loss", "expectancy_per_trade": "expectancy", "average_trade_return": "average_trade_return", "payoff_ratio": "average_win / abs(average_loss)", "profit_factor": "won / abs(lost)",
+    "total_fees": "coalesce(fees, 0)", "turnover": "coalesce(turned, 0)", "fees_pct_initial_capital": f"coalesce(fees, 0) / {INITIAL}", "turnover_multiple": f"coalesce(turned, 0) / {INITIAL}", "annualized_turnover_multiple": f"coalesce(turned, 0) / {INITIAL} / years",
+}
+
+
+def _places(column: str) -> int:
+    """Sums of money and what is divided by small ones are compared to fewer places."""
+    return 2 if column in ("turnover", "total_fees", "expectancy_per_trade", "average_win", "average_loss", "turnover_multiple", "annualized_turnover_multiple", "net_profit") else 4
+
+
+@REG.add(
+    "performance_report",
+    f"""WITH {SUPPLIER_PANEL}, src AS (SELECT id AS key, date, close AS value, least(open, close) AS invested FROM panel), {_daily_sql("src")},
+    a AS (SELECT key, arg_max(value, date) AS l, greatest(date_diff('day', min(date), max(date)) / 365.25, 1 / 365.25) AS years, count(ret) AS k, avg(ret) AS m, stddev_samp(ret) AS s, sqrt(avg(pow(least(ret - {_RF}, 0), 2)) FILTER (ret IS NOT NULL)) AS dn, quantile_cont(ret, 0.05) AS v, list(ret) FILTER (ret IS NOT NULL) AS rets,
+        skewness(ret) AS sk, kurtosis(ret) AS ku, max(ret) AS best, min(ret) AS worst, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END) AS pos, min(drawdown) AS mdd, max(under) AS us, max(under_days) AS ud, max(value) AS hw, max(peak - value) AS fall, avg(invested / value) AS ex, max(invested / value) AS mx FROM daily GROUP BY key),
+    b AS (SELECT *, pow(l / {INITIAL}, 1 / years) - 1 AS cagr FROM a),
+    t AS (SELECT l_suppkey AS key, count(*) AS trades, avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(p) FILTER (p > 0) AS average_win, avg(p) FILTER (p < 0) AS average_loss, avg(p) AS expectancy, coalesce(sum(p) FILTER (p > 0), 0) AS won, sum(p) FILTER (p < 0) AS lost, avg(0.05 - l_discount) AS average_trade_return, sum(l_extendedprice * l_tax) AS fees, sum(l_extendedprice + l_extendedprice * (1 - l_discount)) AS turned
+        FROM (SELECT *, l_extendedprice * (0.05 - l_discount) AS p FROM lineitem) GROUP BY l_suppkey)
+    SELECT key AS id, CAST({INITIAL} AS DOUBLE) AS starting_capital, round(l, 6) + 0.0 AS ending_equity, CAST(us AS BIGINT) AS max_drawdown_duration_sessions, CAST(ud AS BIGINT) AS max_drawdown_duration_days, coalesce(trades, 0) AS trades, {", ".join(r(f"CAST({x} AS DOUBLE)", c, _places(c)) for c, x in _COLUMNS.items())} FROM b LEFT JOIN t USING (key)""",
+)
+def performance_report(spark, d):
+    """Each supplier's price as a curve, its line items as trades."""
+    p = supplier_panel(spark, d).withColumn("invested", F.least("open", "close"))
+    li = table(spark, d, "lineitem")
+    edge = F.lit(0.05) - F.col("l_discount")
+    trades = li.select(F.col("l_suppkey").alias("id"), (F.col("l_extendedprice") * edge).alias("net_pnl"), edge.alias("net_return"), (F.col("l_extendedprice") * F.col("l_tax")).alias("total_fees"), F.col("l_extendedprice").alias("entry_trade_value"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("exit_trade_value"))
+    found = performance.performance(performance.daily(p, "id", "session", "date", "close", "invested"), trades, "id", INITIAL, 52.0, RISK_FREE)
+    return found.withColumns({c: F.round(c, _places(c)) + F.lit(0.0) for c in _COLUMNS} | {"ending_equity": F.round("ending_equity", 6) + F.lit(0.0)})
+
+
+@REG.add(
+    "curve_pairs",
+    f"""WITH {SERIES}, src AS (SELECT series AS key, session AS date, exp(sum(ln(1 + r)) OVER (PARTITION BY series ORDER BY session)) AS value, 0 AS invested FROM series), {_daily_sql("src").replace("date_diff('day', first(date) OVER (PARTITION BY key, g ORDER BY date), date)", "0")},
+    p AS (SELECT a.key AS strategy_a, b.key AS strategy_b, a.ret AS x, b.ret AS y, a.drawdown AS da, b.drawdown AS db FROM daily a JOIN daily b ON a.date = b.date AND a.key < b.key WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)
+    SELECT strategy_a, strategy_b, count(*) AS aligned_days, {r("CASE WHEN count(*) >= 3 AND isfinite(corr(x, y)) THEN corr(x, y) END", "daily_return_corr")}, {", ".join(r(f"avg(CASE WHEN round(da, 9) <= -{k} / 100.0 {op} round(db, 9) <= -{k} / 100.0 THEN 1.0 ELSE 0.0 END)", f"{w}_under_{k}pct_fraction") for k in (10, 20) for op, w in (("AND", "both"), ("OR", "either")))} FROM p GROUP BY 1, 2""",
+)
+def curve_pairs(spark, d):
+    """Regions and market as curves of their weekly returns."""
+    w = Window.partitionBy("series").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.lit("1990-01-01").cast("date")
+    c = _series(spark, d).select("series", "session", F.date_add(start, F.col("session").cast("int")).alias("date"), F.exp(F.sum(F.log1p("r")).over(w)).alias("value"))
+    rows = performance.daily(c, "series", "session", "date", "value").withColumn("drawdown", F.round("drawdown", 9))
+    return rounded(performance.pair_diagnostics(rows))
