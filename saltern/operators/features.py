@@ -117,6 +117,35 @@ def streak_history(p: DataFrame, streak: str, x: str, least: int = 3) -> DataFra
     return after.withColumns({"history_n": n, "history_mean": mean, "history_win": won}).drop("_next")
 
 
+def conditional_streak_history(p: DataFrame, state: str, x: str, name: str, least: int = 5, most: int = 5) -> DataFrame:
+    """What ``x`` was after earlier rows of the state that this row is in: columns ``name`` and _mean, _up_prob and _count.
+
+    States are cut to 0 to ``most``, null counts as 0, and rows in state 0 have no history (count 0). A value belongs to the
+    state of the row before it, so that of this row is known when the row is. Mean and share above zero are null below
+    ``least`` values; a null or NaN value counts nowhere.
+    """
+    w = own_rows()
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    cut = lambda c: F.greatest(F.least(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(float(most))), F.lit(0.0)).cast("int")
+    value = F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
+    q = p.withColumns({"_now": cut(F.col(state)), "_before": F.coalesce(F.lag(cut(F.col(state))).over(w), F.lit(0)), "_x": value})
+    matched = lambda b, c: F.when((F.col("_before") == b) & F.col("_x").isNotNull(), c)
+    sums = {}
+    for b in range(1, most + 1):
+        sums |= {f"_n{b}": F.count(matched(b, F.col("_x"))).over(run), f"_s{b}": F.sum(matched(b, F.col("_x"))).over(run), f"_u{b}": F.count(matched(b, F.when(F.col("_x") > 0, 1))).over(run)}
+    q = q.withColumns(sums)
+
+    def own(letter: str) -> Column:
+        c = F.lit(None)
+        for b in range(1, most + 1):
+            c = F.when(F.col("_now") == b, F.col(f"_{letter}{b}")).otherwise(c)
+        return c
+
+    n = F.coalesce(own("n"), F.lit(0))
+    out = {f"{name}_mean": F.when(n >= least, own("s") / n), f"{name}_up_prob": F.when(n >= least, own("u") / n), f"{name}_count": n.cast("long")}
+    return q.withColumns(out).drop("_now", "_before", "_x", *sums)
+
+
 def tendency(p: DataFrame, x: str, size: int, least: int) -> DataFrame:
     up = F.when(F.col(x).isNotNull(), (F.col(x) > 0).cast("double"))
     return p.withColumn(f"up_share_{size}", rolling(F.avg, up, size, least, KEY, ORDER))

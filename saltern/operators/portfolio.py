@@ -171,26 +171,13 @@ def benchmark_relative(curve: DataFrame, key: str, x: str, m: str, per_year: flo
 
 
 def block_bootstrap(returns: DataFrame, x: str, order: str, reps: int, block: int, seed: int) -> DataFrame:
-    """Mean and Sharpe of each replicate of a moving-block bootstrap of one short series, replicates spread over tasks."""
-    import numpy as np
-
-    values = np.array([r[0] for r in returns.where(F.col(x).isNotNull()).orderBy(order).select(x).collect()])  # one value a session: a dimension
-
-    def draw(batches):
-        for pdf in batches:
-            out = []
-            for rep in pdf["id"]:
-                n = len(values)
-                rng = np.random.default_rng([seed, int(rep)])
-                if n < block:
-                    continue
-                starts = rng.integers(0, n - block + 1, -(-n // block))
-                sample = values[(starts[:, None] + np.arange(block)).ravel()[:n]]
-                dev = sample.std(ddof=1)
-                out.append((int(rep), float(sample.mean()), float(sample.mean() / dev) if dev > 0 else None))
-            yield pd.DataFrame(out, columns=["rep", "mean", "sharpe"])
-
-    return returns.sparkSession.range(reps).mapInPandas(draw, "rep long, mean double, sharpe double")
+    """rep, mean and sharpe (by row) of each replicate of a moving-block bootstrap of one series, drawn as in ``resampling``."""
+    from saltern.operators.resampling import aligned, resampled
+
+    places = aligned(returns.select(order, F.lit("own").alias("series"), F.col(x).alias("r")), order, "series", "r")
+    n = places.count()
+    rows = resampled(places, n, reps, block, seed, "own") if n else places.select(F.lit(0).cast("long").alias("rep"), F.lit(0.0).alias("r"))
+    return rows.groupBy("rep").agg(F.avg("r").alias("mean"), F.try_divide(F.avg("r"), F.stddev_samp("r")).alias("sharpe"))
 
 
 def persistent_backtest(panel: DataFrame, configs: DataFrame, score: str, widest: int | None = None) -> DataFrame:

@@ -201,6 +201,30 @@ def streak_history(spark, d):
     return rounded(ft.streak_history(p, "streak", "return_1").select("id", "session", "history_n", "history_mean", "history_win"))
 
 
+def _conditional(name: str, sign: str) -> tuple[str, str, str]:
+    """Of one direction: the state, its cumulative counts, and the columns of the row's own state."""
+    state = f"CAST(greatest(least({sign} streak, 5), 0) AS INTEGER) AS {name}_now"
+    sums = ", ".join(f"count(CASE WHEN {name}_before = {k} THEN return_1 END) OVER w AS {name}_n{k}, sum(CASE WHEN {name}_before = {k} THEN return_1 END) OVER w AS {name}_s{k}, count(CASE WHEN {name}_before = {k} AND return_1 > 0 THEN 1 END) OVER w AS {name}_u{k}" for k in range(1, 6))
+    own = lambda x: "CASE " + name + "_now " + " ".join(f"WHEN {k} THEN {name}_{x}{k}" for k in range(1, 6)) + " END"
+    enough = lambda x: f"CASE WHEN {own('n')} >= 5 THEN {own(x)} / CAST({own('n')} AS DOUBLE) END"
+    return state, sums, f"coalesce({own('n')}, 0) AS {name}_count, {r(enough('s'), f'{name}_mean')}, {r(enough('u'), f'{name}_up_prob')}"
+
+
+_UP, _DOWN = _conditional("after_up", ""), _conditional("after_down", "-")
+
+
+@REG.add(
+    "conditional_streak_history",
+    f"""WITH {STREAKS}, a AS (SELECT id, session, return_1, {_UP[0]}, {_DOWN[0]} FROM streaks), b AS (SELECT *, coalesce(lag(after_up_now) OVER w, 0) AS after_up_before, coalesce(lag(after_down_now) OVER w, 0) AS after_down_before FROM a {W}),
+    c AS (SELECT *, {_UP[1]}, {_DOWN[1]} FROM b {W}) SELECT id, session, {_UP[2]}, {_DOWN[2]} FROM c""",
+)
+def conditional_streak_history(spark, d):
+    """Returns after earlier streaks of the length that today's has, up and down, from five of them on."""
+    p = ft.signed_streak(returns(spark, d), "return_1", "streak").withColumn("fall", -F.col("streak"))
+    p = ft.conditional_streak_history(ft.conditional_streak_history(p, "streak", "return_1", "after_up"), "fall", "return_1", "after_down")
+    return rounded(p.select("id", "session", *[f"after_{w}_{c}" for w in ("up", "down") for c in ("count", "mean", "up_prob")]))
+
+
 @REG.add("tendencies", f"WITH {RETURNS}, u AS (SELECT id, session, CASE WHEN return_1 > 0 THEN 1.0 WHEN return_1 <= 0 THEN 0.0 END AS up FROM returns) SELECT id, session, {r(guarded('avg(up)', 'up', 20, 10), 'up_share_20')} FROM u")
 def tendencies(spark, d):
     return rounded(ft.tendency(returns(spark, d), "return_1", 20, 10).select("id", "session", "up_share_20"))

@@ -353,7 +353,13 @@ def cohort_backtest(spark, d):
     return rounded(pf.cohort_backtest(p, _configs(spark), "return_20"))
 
 
-@REG.add("block_bootstrap")
+@REG.add(
+    "block_bootstrap",
+    f"""WITH {MARKET}, places AS (SELECT market_return AS r, row_number() OVER (ORDER BY session) - 1 AS place FROM market WHERE market_return IS NOT NULL), n AS (SELECT count(*) AS n FROM places),
+    draw AS (SELECT rep, b, CAST('0x' || substr(md5('8675309|own|' || rep || '|' || b), 1, 8) AS BIGINT) % (n - least(20, n) + 1) AS start FROM (SELECT *, unnest(range(0, CAST(ceil(n / 20) AS BIGINT))) AS b FROM range(200) t(rep), n)),
+    drawn AS (SELECT rep, r FROM (SELECT rep, start + s AS place FROM draw, range(20) u(s), n WHERE b * 20 + s < n) JOIN places USING (place))
+    SELECT rep, {r("avg(r)", "mean")}, {r("CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) END", "sharpe")} FROM drawn GROUP BY rep""",
+)
 def block_bootstrap(spark, d):
     return rounded(pf.block_bootstrap(market(spark, d), "market_return", "session", 200, 20, 8675309))
 

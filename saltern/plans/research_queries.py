@@ -146,8 +146,14 @@ def ever_member(spark, d):
     """WITH t AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier) SELECT s_suppkey, n AS place, CASE WHEN n <= 10 THEN 'large' WHEN n <= 25 THEN 'mid' ELSE 'small' END AS bucket FROM t""",
 )
 def size_bucket(spark, d):
-    # suppliers are a dimension: one ordered task holds them
-    s = table(spark, d, "supplier").withColumn("place", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).cast("long"))
+    """Places over the whole table by ranges of the balance: each range starts from the count of those above it."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    edges = s.approxQuantile("s_acctbal", [k / 32 for k in range(1, 32)], 0.01)
+    ranged = s.withColumn("at", sum((F.when(F.col("s_acctbal") < e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0)))
+    sizes = ranged.groupBy("at").agg(F.count("*").alias("n"))  # one row for each range
+    above = sizes.select("at", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("above"))
+    own = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("s_acctbal"), "s_suppkey"))
+    s = ranged.join(F.broadcast(above), "at").withColumn("place", (F.col("above") + own).cast("long"))
     return s.select("s_suppkey", "place", F.when(F.col("place") <= 10, "large").when(F.col("place") <= 25, "mid").otherwise("small").alias("bucket"))
 
 

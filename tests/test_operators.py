@@ -156,3 +156,27 @@ def test_ridge_equals_the_closed_form(spark):
         beta = np.linalg.solve(z[t].T @ z[t] + 10.0 * np.eye(2), z[t].T @ (y[t] - y[t].mean()))
         for k in range(first, first + 60):
             assert got[k] == pytest.approx(y[t].mean() + z[k] @ beta, abs=1e-6)
+
+
+def test_conditional_streaks_equal_plain_python(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, s, rng.choice([None, -2, 0, 1, 2, 3, 9]), rng.choice([None, float("nan"), -0.1, 0.0, 0.2])) for k in "ab" for s in range(80)]
+    df = spark.createDataFrame(rows, "id string, session long, state long, x double")
+    got = {(r.id, r.session): r for r in ft.conditional_streak_history(df, "state", "x", "h", 3).collect()}
+    for key in "ab":
+        held, before = {}, 0
+        for k, s, state, x in rows:
+            if k != key:
+                continue
+            if x is not None and x == x:
+                held.setdefault(before, []).append(x)
+            before = max(0, min(5, state or 0))
+            known = held.get(before, []) if before else []
+            r = got[key, s]
+            assert r.h_count == len(known)
+            if len(known) < 3:
+                assert r.h_mean is None and r.h_up_prob is None
+            else:
+                assert abs(r.h_mean - sum(known) / len(known)) < 1e-9 and abs(r.h_up_prob - sum(v > 0 for v in known) / len(known)) < 1e-9
