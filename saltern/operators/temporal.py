@@ -140,3 +140,55 @@ def identity_fill(rows: DataFrame, key: list[str], date: str, anchor: str) -> Da
         .otherwise("between")
     )
     return q.withColumns({"filled": filled, "method": how}).drop("_l", "_r", "_n")
+
+
+#: How a row got its identity, and how sure that is.
+CONFIDENCE = {
+    "exact_isin": 1.0,
+    "bridge_single_isin_episode": 0.99,
+    "backward_single_isin_episode": 0.98,
+    "forward_single_isin_episode": 0.98,
+    "bridge_matching_anchors_multi_isin_episode": 0.95,
+    "backward_first_anchor_multi_isin_episode": 0.85,
+    "forward_last_anchor_multi_isin_episode": 0.85,
+    "unresolved_between_isin_change": 0.0,
+    "unresolved_no_anchor": 0.0,
+}
+
+
+def identity_resolution(rows: DataFrame, key: list[str], date: str, anchor: str) -> DataFrame:
+    """``rows`` with resolved, method, confidence, the dates of the nearest anchors and of the episode's ends.
+
+    An episode (``key``) with one identity gives it to all its rows; with several, a row takes its nearest anchors' where
+    both agree, or the only one's at an end, and stays unresolved in a change. Columns added: resolved, method, confidence,
+    anchor_before, anchor_after (dates, the row's own included), episode_start, episode_end. Rows of a date in an episode
+    are taken in no order of their own; both neighbours come from running windows, one each way.
+    """
+    whole = Window.partitionBy(*key)
+    run = lambda order: whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.when(F.col(anchor).isNotNull(), F.struct(F.col(anchor).alias("a"), F.col(date).alias("d")))
+    q = rows.withColumn("_r", F.last(place, ignorenulls=True).over(run(F.col(date).desc())))
+    q = q.withColumn("_l", F.last(place, ignorenulls=True).over(run(F.col(date).asc())))
+    q = q.withColumns({"_least": F.min(anchor).over(whole), "_most": F.max(anchor).over(whole), "episode_start": F.min(date).over(whole), "episode_end": F.max(date).over(whole)})
+    left, right, one = F.col("_l"), F.col("_r"), F.col("_least") == F.col("_most")
+    single = lambda a, b: F.when(one, a).otherwise(b)
+    method = (
+        F.when(F.col(anchor).isNotNull(), "exact_isin")
+        .when(F.col("_least").isNull(), "unresolved_no_anchor")
+        .when(left.isNull(), single("backward_single_isin_episode", "backward_first_anchor_multi_isin_episode"))
+        .when(right.isNull(), single("forward_single_isin_episode", "forward_last_anchor_multi_isin_episode"))
+        .when(left["a"] == right["a"], single("bridge_single_isin_episode", "bridge_matching_anchors_multi_isin_episode"))
+        .otherwise("unresolved_between_isin_change")
+    )
+    sure = F.lit(0.0)
+    for name, share in CONFIDENCE.items():
+        sure = F.when(F.col("method") == name, share).otherwise(sure)
+    q = q.withColumn("method", method).withColumn("confidence", sure)
+    found = F.when(F.col("confidence") > 0, F.coalesce(F.col(anchor), left["a"], right["a"]))
+    return q.withColumns({"resolved": found, "anchor_before": left["d"], "anchor_after": right["d"]}).drop("_l", "_r", "_least", "_most")
+
+
+def unambiguous(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of the keys that have one value alone; rows with a null in either don't count."""
+    one = rows.dropna(subset=[key, value]).groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("_most"))
+    return one.where(F.col(value) == F.col("_most")).drop("_most")

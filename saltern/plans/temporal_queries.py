@@ -148,6 +148,35 @@ def identity_fill(spark, d):
     return out.select("id", "date", "episode", "filled", "method")
 
 
+_METHOD = """CASE WHEN anchor IS NOT NULL THEN 'exact_isin' WHEN n = 0 THEN 'unresolved_no_anchor' WHEN l IS NULL THEN CASE WHEN n = 1 THEN 'backward_single_isin_episode' ELSE 'backward_first_anchor_multi_isin_episode' END
+    WHEN q IS NULL THEN CASE WHEN n = 1 THEN 'forward_single_isin_episode' ELSE 'forward_last_anchor_multi_isin_episode' END WHEN l = q THEN CASE WHEN n = 1 THEN 'bridge_single_isin_episode' ELSE 'bridge_matching_anchors_multi_isin_episode' END ELSE 'unresolved_between_isin_change' END"""
+_OWN = "(PARTITION BY id, episode ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_AFTER = "(PARTITION BY id, episode ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@REG.add(
+    "identity_resolution",
+    f"""WITH {EPISODES}, a AS (SELECT *, CASE WHEN volume % 4 = 1 THEN 'ISIN' || CAST((id + session // 9) % 3 AS VARCHAR) END AS anchor FROM episodes), p AS (SELECT *, CASE WHEN anchor IS NOT NULL THEN date END AS anchored FROM a),
+    b AS (SELECT *, last_value(anchor IGNORE NULLS) OVER {_OWN} AS l, first_value(anchor IGNORE NULLS) OVER {_AFTER} AS q, last_value(anchored IGNORE NULLS) OVER {_OWN} AS anchor_before, first_value(anchored IGNORE NULLS) OVER {_AFTER} AS anchor_after,
+        count(DISTINCT anchor) OVER (PARTITION BY id, episode) AS n, min(date) OVER (PARTITION BY id, episode) AS episode_start, max(date) OVER (PARTITION BY id, episode) AS episode_end FROM p),
+    c AS (SELECT *, {_METHOD} AS method FROM b), s AS (SELECT *, CAST(CASE method {" ".join(f"WHEN '{k}' THEN {v}" for k, v in tp.CONFIDENCE.items())} END AS DOUBLE) AS confidence FROM c)
+    SELECT id, date, episode, CASE WHEN confidence > 0 THEN coalesce(anchor, l, q) END AS resolved, method, confidence, anchor_before, anchor_after, episode_start, episode_end FROM s""",
+)
+def identity_resolution(spark, d):
+    anchor = F.when(F.col("volume") % 4 == 1, F.concat(F.lit("ISIN"), ((F.col("id") + F.floor(F.col("session") / 9)) % 3).cast("string")))
+    out = tp.identity_resolution(user_episodes(spark, d).withColumn("anchor", anchor), ["id", "episode"], "date", "anchor")
+    return out.select("id", "date", "episode", "resolved", "method", "confidence", "anchor_before", "anchor_after", "episode_start", "episode_end")
+
+
+@REG.add(
+    "unambiguous_map",
+    "SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1",
+)
+def unambiguous_map(spark, d):
+    """Parts whose large deliveries all come from one supplier."""
+    return tp.unambiguous(table(spark, d, "lineitem").where("l_quantity > 45"), "l_partkey", "l_suppkey")
+
+
 @REG.add(
     "pareto_bands",
     f"""WITH {USER_PANEL}, t AS (SELECT id, sum(turnover) AS total FROM panel GROUP BY id), s AS (SELECT id, sum(total) OVER (ORDER BY total DESC, id ROWS UNBOUNDED PRECEDING) / sum(total) OVER () AS share, total / sum(total) OVER () AS own FROM t)

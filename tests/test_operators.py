@@ -180,3 +180,20 @@ def test_conditional_streaks_equal_plain_python(spark):
                 assert r.h_mean is None and r.h_up_prob is None
             else:
                 assert abs(r.h_mean - sum(known) / len(known)) < 1e-9 and abs(r.h_up_prob - sum(v > 0 for v in known) / len(known)) < 1e-9
+
+
+def test_identities_and_how_sure_they_are(spark):
+    day = lambda k: dt.date(2021, 3, 1) + dt.timedelta(k)
+    says = {"one": [None, "A", None, "A", None], "two": [None, "A", None, "A", None, "B", None], "none": [None, None]}
+    rows = [(e, day(k), a) for e, anchors in says.items() for k, a in enumerate(anchors)]
+    got = tp.identity_resolution(spark.createDataFrame(rows, "e string, d date, isin string"), ["e"], "d", "isin").orderBy("e", "d").collect()
+    assert [(r.resolved, r.confidence) for r in got if r.e == "one"] == [("A", 0.98), ("A", 1.0), ("A", 0.99), ("A", 1.0), ("A", 0.98)]
+    assert [(r.resolved, r.confidence) for r in got if r.e == "two"] == [("A", 0.85), ("A", 1.0), ("A", 0.95), ("A", 1.0), (None, 0.0), ("B", 1.0), ("B", 0.85)]
+    assert [(r.resolved, r.method, r.anchor_before) for r in got if r.e == "none"] == [(None, "unresolved_no_anchor", None)] * 2
+    r = next(r for r in got if r.e == "two" and r.d == day(4))
+    assert (r.method, r.anchor_before, r.anchor_after, r.episode_start, r.episode_end) == ("unresolved_between_isin_change", day(3), day(5), day(0), day(6))
+
+
+def test_ambiguous_keys_fall_away(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 1), ("y", 1), ("y", 2), (None, 3), ("z", None), ("w", 4), ("w", None)], "k string, v int")
+    assert sorted(map(tuple, tp.unambiguous(df, "k", "v").collect())) == [("w", 4), ("x", 1)]
