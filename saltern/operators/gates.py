@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +32,20 @@ def fit_gate(daily: DataFrame, features: list[str], label: str, c: float = 1.0,
     return Pipeline(stages=stages).fit(rows.withColumn("_weight", weight))
 
 
+def probability(model: PipelineModel, features: list[str]) -> Column:
+    """The chance of the label as an expression of the features, from the fitted numbers alone.
+
+    A fitted classifier keeps its session, which can't be sent to tasks once something in it observes a plan.
+    """
+    imputer, _, scaler, logistic = model.stages
+    fill = imputer.surrogateDF.first()
+    z = F.lit(float(logistic.intercept))
+    for f, mean, dev, c in zip(features, scaler.mean, scaler.std, logistic.coefficients, strict=True):
+        x = F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(float(fill[f])))
+        z = z + ((x - float(mean)) / float(dev) * float(c) if dev > 0 else F.lit(0.0))
+    return 1 / (1 + F.exp(-z))
+
+
 def gate_by_year(daily: DataFrame, features: list[str], label: str, purge: int, first_years: int = 2, c: float = 1.0, least: int = 100) -> DataFrame:
     """session, year, probability: each year judged by the gate of all sessions that end ``purge`` before it.
 
@@ -46,7 +59,7 @@ def gate_by_year(daily: DataFrame, features: list[str], label: str, purge: int,
             model = fit_gate(daily.where(F.col("session") < r["first"] - purge), features, label, c, least)
         except ValueError:
             continue
-        judged = model.transform(daily.where(F.col("year") == r["year"])).select("session", "year", vector_to_array("probability")[1].alias("probability"))
+        judged = daily.where(F.col("year") == r["year"]).select("session", "year", probability(model, features).alias("probability"))
         out = judged if out is None else out.unionByName(judged)
     return daily.select("session", "year").where("false").withColumn("probability", F.lit(0.0)) if out is None else out
 

@@ -218,7 +218,8 @@ def test_the_gate_is_a_balanced_logistic_regression(spark):
     x = rng.normal(size=(300, 2)) * [1, 20] + [0, 50]
     y = (x[:, 0] + rng.normal(size=300) > 0.9).astype(float)
     df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "label": y}))
-    model = gates.fit_gate(df, ["a", "b"], "label", c=1.0).stages[-1]
+    fitted = gates.fit_gate(df, ["a", "b"], "label", c=1.0)
+    model = fitted.stages[-1]
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     w = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum())))
     wide, beta = np.column_stack([np.ones(300), z]), np.zeros(3)
@@ -227,6 +228,10 @@ def test_the_gate_is_a_balanced_logistic_regression(spark):
         p = 1 / (1 + np.exp(-wide @ beta))
         beta -= np.linalg.solve((wide * (w * p * (1 - p))[:, None]).T @ wide + ridge, wide.T @ (w * (p - y)) + ridge @ beta)
     assert np.allclose([model.intercept, *model.coefficients], beta, atol=1e-4)
+    own = [r.p for r in df.select(gates.probability(fitted, ["a", "b"]).alias("p")).collect()]
+    assert np.allclose(own, 1 / (1 + np.exp(-wide @ beta)), atol=1e-4)
+    gap = spark.createDataFrame([(None, 50.0), (float("nan"), 50.0)], "a double, b double").select(gates.probability(fitted, ["a", "b"]).alias("p")).collect()
+    assert gap[0].p == gap[1].p and 0 < gap[0].p < 1
     for bad in (df.limit(20), df.where("label = 1")):
         with pytest.raises(ValueError):
             gates.fit_gate(bad, ["a", "b"], "label")
