@@ -47,37 +47,54 @@ def _moments(x: Column, m: Column, own: Column, w: WindowSpec) -> Column:
 
 
 def pair_moments(p: DataFrame, x: str, m: str, size: int, key, order, name: str) -> DataFrame:
-    """Over the last ``size`` rows: how many have both values, and the sums of products of their deviations.
+    """``many_pair_moments`` of one pair."""
+    return many_pair_moments(p, {name: (x, m)}, size, key, order)
 
-    Columns ``name`` and n, xx, mm, xm of the pairs, and n_own, mm_own of all values of ``m``. Rows are cut in chunks of
-    ``size``; a window is the end of one chunk and the beginning of the next, whose moments grow row by row and are merged,
-    so the work doesn't grow with ``size`` and a value that has left the window leaves no trace. What rounding leaves of a
-    constant's deviations counts as zero. A value that is null or not finite is missing.
+
+def many_pair_moments(p: DataFrame, pairs: dict[str, tuple[str, str]], size: int, key, order) -> DataFrame:
+    """Over the last ``size`` rows: how many have both values of a pair, and the sums of products of their deviations.
+
+    For each pair (x, m) columns of its name and n, xx, mm, xm of the rows with both, and n_own, mm_own of all values of m.
+    Rows are cut in chunks of ``size``; a window is the end of one chunk and the beginning of the next, whose moments grow row
+    by row and are merged, so the work doesn't grow with ``size`` and a value that has left the window leaves no trace. All
+    pairs share the orderings. What rounding leaves of a constant's deviations counts as zero. A value that is null or
+    not finite is missing.
     """
     w = rows_of(key, order)
     chunk = [*([key] if isinstance(key, str) else key), "_chunk"]
     orders = [order] if isinstance(order, str) else list(order)
     finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))
-    q = p.withColumns({"_chunk": F.floor((F.row_number().over(w) - 1) / size), "_x": finite(x), "_m": finite(m)})
-    both = F.col("_x").isNotNull() & F.col("_m").isNotNull()
-    values = F.when(both, F.col("_x")), F.when(both, F.col("_m")), F.col("_m")
+    own = {c: f"_v{i}" for i, c in enumerate(dict.fromkeys(c for pair in pairs.values() for c in pair))}
+    q = p.withColumns({"_chunk": F.floor((F.row_number().over(w) - 1) / size)} | {v: finite(c) for c, v in own.items()})
     grows = lambda o: Window.partitionBy(chunk).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    q = q.withColumn("_end", _moments(*values, grows([F.col(c).desc() for c in orders])))
-    q = q.withColumn("_begin", _moments(*values, grows(orders)))
-    # the window's first row, where the chunk before has it
-    old = F.when(F.lag("_chunk", size - 1).over(w) < F.col("_chunk"), F.lag("_end", size - 1).over(w))
-    q = q.withColumn("_old", old)
-    one = {k: F.coalesce(F.col("_old")[k], F.lit(0.0)) for k in _MERGED}
-    two = {k: F.col("_begin")[k] for k in _MERGED}
+    values = {}
+    for name, (x, m) in pairs.items():
+        a, b = F.col(own[x]), F.col(own[m])
+        both = a.isNotNull() & b.isNotNull()
+        values[name] = F.when(both, a), F.when(both, b), b
+    q = q.withColumns({f"_end_{name}": _moments(*v, grows([F.col(c).desc() for c in orders])) for name, v in values.items()})
+    q = q.withColumns({f"_begin_{name}": _moments(*v, grows(orders)) for name, v in values.items()})
+    # the window's first row, where the chunk before has it; chunks follow the rows' order, so this is the order they already have
+    ordered = rows_of(key, ["_chunk", *orders])
+    before = F.lag("_chunk", size - 1).over(ordered) < F.col("_chunk")
+    q = q.withColumns({f"_old_{name}": F.when(before, F.lag(f"_end_{name}", size - 1).over(ordered)) for name in pairs})
+    merged = {f"{name}{k}": c for name in pairs for k, c in _merge(F.col(f"_old_{name}"), F.col(f"_begin_{name}")).items()}
+    return q.withColumns(merged).drop("_chunk", *own.values(), *[f"{part}{name}" for part in ("_end_", "_begin_", "_old_") for name in pairs])
+
+
+def _merge(old: Column, begin: Column) -> dict[str, Column]:
+    """The moments of two chunks' parts together; ``old`` may be null."""
+    one = {k: F.coalesce(old[k], F.lit(0.0)) for k in _MERGED}
+    two = {k: begin[k] for k in _MERGED}
     out = {}
-    for n, pairs in (("n", (("xx", "ax", "ax"), ("mm", "am", "am"), ("xm", "ax", "am"))), ("n_own", (("mm_own", "a_own", "a_own"),))):
+    for n, sums in (("n", (("xx", "ax", "ax"), ("mm", "am", "am"), ("xm", "ax", "am"))), ("n_own", (("mm_own", "a_own", "a_own"),))):
         out[n] = one[n] + two[n]
-        for k, a, b in pairs:
+        for k, a, b in sums:
             apart = (one[a] - two[a]) * (one[b] - two[b]) * F.when((one[n] > 0) & (two[n] > 0), one[n] * two[n] / out[n]).otherwise(0.0)
             merged = one[k] + two[k] + apart
             level = F.greatest(F.abs(one[a]), F.abs(two[a]))
             out[k] = merged if a != b else F.when(merged > 1e-26 * out[n] * level * level, merged).otherwise(0.0)
-    return q.withColumns({f"{name}{k}": out[k] for k in MOMENTS}).drop("_x", "_m", "_chunk", "_begin", "_end", "_old")
+    return {k: out[k] for k in MOMENTS}
 
 
 MOMENTS = ("n", "xx", "mm", "xm", "n_own", "mm_own")

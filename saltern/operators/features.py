@@ -106,6 +106,41 @@ def true_streak(p: DataFrame, condition: Column, name: str) -> DataFrame:
     return q.withColumn(name, F.when(F.col("_c") == 1, F.sum("_c").over(rows_of([KEY, "_g"], ORDER))).otherwise(0).cast("long")).drop("_c", "_g")
 
 
+def streak_lengths(p: DataFrame, signed: dict[str, Column], true: dict[str, Column]) -> DataFrame:
+    """Many streaks from one ordering of each security's rows: what ``signed_streak`` and ``true_streak`` give one by one.
+
+    ``signed`` maps names to values whose sign runs, ``true`` maps names to conditions. A run begins where the sign changes
+    or after the last row that fails, so its length is a difference of row numbers. Null, NaN and tiny values have sign 0;
+    a condition fails where it is null, and sees NaN as Spark does, above all numbers.
+    """
+    w = own_rows()
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    sign = lambda x: F.when(x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) <= 1e-15), 0).otherwise(F.signum(x)).cast("int")
+    q = p.withColumns({"_at": F.row_number().over(w)} | {f"_s_{n}": sign(x) for n, x in signed.items()} | {f"_c_{n}": flag(c) for n, c in true.items()})
+    q = q.withColumns({f"_p_{n}": F.coalesce(F.lag(f"_s_{n}").over(w), F.lit(9)) for n in signed} | {"_0": F.lit(0)})
+    begun = {f"_b_{n}": F.max(F.when(F.col(f"_s_{n}") != F.col(f"_p_{n}"), F.col("_at"))).over(run) for n in signed}
+    failed = {f"_f_{n}": F.max(F.when(~F.col(f"_c_{n}"), F.col("_at"))).over(run) for n in true}
+    q = q.withColumns(begun | failed)
+    out = {n: (F.col(f"_s_{n}") * (F.col("_at") - F.col(f"_b_{n}") + 1)).cast("long") for n in signed}
+    out |= {n: (F.col("_at") - F.coalesce(F.col(f"_f_{n}"), F.col("_0"))).cast("long") for n in true}
+    return q.withColumns(out).drop("_at", "_0", *[f"_{k}_{n}" for n in signed for k in "spb"], *[f"_{k}_{n}" for n in true for k in "cf"])
+
+
+def price_streaks(p: DataFrame) -> DataFrame:
+    """The five signed and six consecutive streaks of a bar panel, against the row before whatever session it is of.
+
+    A price that is null or NaN has no sign and meets no condition.
+    """
+    names = ("open", "high", "low", "close")
+    q = p.withColumns({f"_now_{c}": F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in names})
+    q = q.withColumns({f"_before_{c}": F.lag(f"_now_{c}").over(own_rows()) for c in names[1:]})
+    (o, h, l, c), (ph, pl, pc) = [F.col(f"_now_{n}") for n in names], [F.col(f"_before_{n}") for n in names[1:]]
+    change, intraday = ratio(c, pc) - 1, F.when(o > 0, c / o - 1)
+    up = {"close_streak": change, "intraday_streak": intraday, "high_streak": h - ph, "low_streak": l - pl, "gap_streak": ratio(o, pc) - 1}
+    runs = {"up_close": change > 0, "down_close": change < 0, "bullish": intraday > 0, "bearish": intraday < 0, "higher_high": h > ph, "lower_low": l < pl}
+    return streak_lengths(q, up, {f"{n}_run": x for n, x in runs.items()}).drop(*[f"_now_{n}" for n in names], *[f"_before_{n}" for n in names[1:]])
+
+
 def streak_history(p: DataFrame, streak: str, x: str, least: int = 3) -> DataFrame:
     """How the next return went after earlier rows of the same streak: mean and share above zero, known before this row."""
     after = p.withColumn("_next", exact_lead(x, 1, ORDER, own_rows()))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from saltern.plans import feature_queries, model_queries, portfolio_queries, relational_queries, research_queries, search_queries, temporal_queries
+from saltern.plans import context_queries, feature_queries, model_queries, portfolio_queries, relational_queries, research_queries, search_queries, temporal_queries
 
-_PARTS = (feature_queries, temporal_queries, relational_queries, portfolio_queries, research_queries, search_queries, model_queries)
+_PARTS = (feature_queries, context_queries, temporal_queries, relational_queries, portfolio_queries, research_queries, search_queries, model_queries)
 
 
 def queries() -> dict:
