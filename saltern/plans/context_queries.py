@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltern.operators import context
+from saltern.operators import context, diagnostics
 from saltern.operators import features as ft
+from saltern.operators.aggregates import BANDS, pareto
 from saltern.plans.feature_queries import W, rows
-from saltern.plans.panel import RETURNS, SUPPLIER_PANEL, returns, rounded, sql_return, supplier_panel, with_return
+from saltern.plans.panel import RETURNS, SUPPLIER_PANEL, USER_PANEL, returns, rounded, sql_return, supplier_panel, user_panel, with_return
+from saltern.plans.portfolio_queries import MOMENTUM, momentum_rows
 from saltern.plans.registry import Registry, r
 from saltern.plans.relational_queries import REGION_OF, SECTORS, regions
 
@@ -123,3 +125,42 @@ def sector_context(spark, d):
     baskets = returns(spark, d).join(regions(spark, d), "id").groupBy("session", "sector").agg(*means)
     q = context.sector_context(p, baskets, SECTORS, HORIZONS, SHORT, LONG, LAGS)
     return rounded(q.withColumnRenamed("distinct", "distinct_sector"))
+
+
+SPREADS = f"""{MOMENTUM}, z AS (SELECT session, target, sr, tr, count(*) OVER (PARTITION BY session) AS n FROM x),
+spreads AS (SELECT session, count(*) AS n, corr(sr, tr) AS c, avg(target) FILTER (sr / n >= 0.9 - 1e-12) AS top, avg(target) FILTER (sr / n <= 0.1 + 1e-12) AS bottom, avg(target) AS universe FROM z WHERE n >= 10 GROUP BY session),
+ic AS (SELECT *, CASE WHEN isfinite(c) THEN c END AS ic FROM spreads)"""
+
+
+def spreads(spark, d) -> DataFrame:
+    return diagnostics.decile_spread(momentum_rows(spark, d), "score", "target", 10)
+
+
+@REG.add("decile_spread", f"WITH {SPREADS} SELECT session, n, {r('ic', 'ic')}, {r('top', 'top')}, {r('bottom', 'bottom')}, {r('universe', 'universe')}, {r('top - universe', 'top_excess')}, {r('top - bottom', 'top_minus_bottom')} FROM ic")
+def decile_spread(spark, d):
+    return rounded(spreads(spark, d))
+
+
+@REG.add(
+    "spread_summary",
+    f"""WITH {SPREADS} SELECT count(*) AS n_sessions, {r('avg(ic)', 'mean_ic')}, {r('median(ic)', 'median_ic')}, {r('stddev_samp(ic)', 'ic_deviation')}, {r('CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END', 'icir')},
+    {r('avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic <= 0 THEN 0.0 END)', 'positive_share')}, {r('avg(top - universe)', 'mean_top_excess')}, {r('avg(top - bottom)', 'mean_top_minus_bottom')} FROM ic""",
+)
+def spread_summary(spark, d):
+    return rounded(diagnostics.spread_summary(spreads(spark, d)))
+
+
+@REG.add(
+    "review_priorities",
+    f"""WITH {USER_PANEL}, t AS (SELECT id, sum(turnover) AS total FROM panel GROUP BY id), k AS (SELECT user_id AS id, count(DISTINCT event_type) > 4 AS unclear FROM events GROUP BY 1),
+    s AS (SELECT id, sum(total) OVER (ORDER BY total DESC, id ROWS UNBOUNDED PRECEDING) / sum(total) OVER () - total / sum(total) OVER () AS earlier FROM t),
+    b AS (SELECT id, CASE WHEN earlier < 0.8 THEN 1 WHEN earlier < 0.95 THEN 2 ELSE 3 END AS band, coalesce(unclear, false) AS ambiguous FROM s LEFT JOIN k USING (id))
+    SELECT id, CASE band WHEN 1 THEN 'A_top_80pct' WHEN 2 THEN 'B_next_15pct' ELSE 'C_tail_5pct' END AS band, ambiguous,
+    CASE WHEN band = 1 AND ambiguous THEN 'P0_economic_and_identity_risk' WHEN ambiguous THEN 'P1_identity_risk' WHEN band = 1 THEN 'P1_economic_relevance' WHEN band = 2 THEN 'P2' ELSE 'P3' END AS priority FROM b""",
+)
+def review_priorities(spark, d):
+    """Users by their band of the whole turnover, those with more than four kinds of events being ambiguous."""
+    bands = pareto(user_panel(spark, d).groupBy("id").agg(F.sum("turnover").alias("total")), "id", "total").select("id", "band")
+    kinds = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("id")).agg((F.count_distinct("event_type") > 4).alias("unclear"))
+    q = bands.join(kinds, "id", "left").withColumn("ambiguous", F.coalesce("unclear", F.lit(False)))
+    return q.select("id", "band", "ambiguous", diagnostics.review_priority(F.col("band"), F.col("ambiguous"), BANDS).alias("priority"))
