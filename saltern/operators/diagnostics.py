@@ -11,7 +11,7 @@ from saltern.functions.frames import correlation, mean_rank
 def decile_spread(p: DataFrame, score: str, target: str, least: int = 20, within: str = "session") -> DataFrame:
     """For each session with ``least`` rows that have both: n, ic, top, bottom, universe, top_excess, top_minus_bottom.
 
-    ``ic`` is the rank correlation; top and bottom are the means of ``target`` over the rows whose mean-rank share is from 0.9 on
+    ``ic`` is the rank correlation to nine places, so that what rounding leaves of zero has no sign; top and bottom are the means of ``target`` over the rows whose mean-rank share is from 0.9 on
     and up to 0.1, null where there are none. Null and NaN rows don't count; ties share their places.
     """
     both = p.where(F.col(score).isNotNull() & F.col(target).isNotNull() & ~F.isnan(F.col(score).cast("double")) & ~F.isnan(F.col(target).cast("double")))
@@ -19,7 +19,7 @@ def decile_spread(p: DataFrame, score: str, target: str, least: int = 20, within
     share = F.col("_sr") / F.col("_n")
     part = lambda c: F.avg(F.when(c, F.col("_t")))
     # shares are quotients of halves and counts; the edges themselves belong to both parts
-    g = q.groupBy(within).agg(F.count("*").alias("n"), correlation("_sr", "_tr").alias("ic"), part(share >= 0.9 - 1e-12).alias("top"), part(share <= 0.1 + 1e-12).alias("bottom"), F.avg("_t").alias("universe"))
+    g = q.groupBy(within).agg(F.count("*").alias("n"), F.round(correlation("_sr", "_tr"), 9).alias("ic"), part(share >= 0.9 - 1e-12).alias("top"), part(share <= 0.1 + 1e-12).alias("bottom"), F.avg("_t").alias("universe"))
     return g.withColumns({"top_excess": F.col("top") - F.col("universe"), "top_minus_bottom": F.col("top") - F.col("bottom")})
 
 

@@ -129,7 +129,7 @@ def sector_context(spark, d):
 
 SPREADS = f"""{MOMENTUM}, z AS (SELECT session, target, sr, tr, count(*) OVER (PARTITION BY session) AS n FROM x),
 spreads AS (SELECT session, count(*) AS n, corr(sr, tr) AS c, avg(target) FILTER (sr / n >= 0.9 - 1e-12) AS top, avg(target) FILTER (sr / n <= 0.1 + 1e-12) AS bottom, avg(target) AS universe FROM z WHERE n >= 10 GROUP BY session),
-ic AS (SELECT *, CASE WHEN isfinite(c) THEN c END AS ic FROM spreads)"""
+ic AS (SELECT *, CASE WHEN isfinite(c) THEN round(c, 9) END AS ic FROM spreads)"""
 
 
 def spreads(spark, d) -> DataFrame:
