@@ -10,6 +10,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed now and once: in ``spark.checkpoint.dir`` if there is one, else in the executors' own stores."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def rows_of(key: str | list[str], order: str | list[str]) -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 

@@ -8,6 +8,8 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saltern.functions.frames import settled
+
 
 def fit_gate(daily: DataFrame, features: list[str], label: str, c: float = 1.0, least: int = 100) -> PipelineModel:
     """Median imputation, scaling, and a logistic regression whose classes weigh the same in sum.
@@ -49,9 +51,11 @@ def probability(model: PipelineModel, features: list[str]) -> Column:
 def gate_by_year(daily: DataFrame, features: list[str], label: str, purge: int, first_years: int = 2, c: float = 1.0, least: int = 100) -> DataFrame:
     """session, year, probability: each year judged by the gate of all sessions that end ``purge`` before it.
 
-    ``daily`` has a row for each session (session, year, features, label), so the loop is over years of a small table. A
-    year whose training rows are too few has no gate and no rows.
+    ``daily`` has a row for each session (session, year, features, label), so the loop is over years of a small table, which
+    is computed once, not again by every pass of every year's fit. A year whose training rows are too few has no gate and
+    no rows.
     """
+    daily = settled(daily.select("session", "year", *features, label))
     bounds = daily.groupBy("year").agg(F.min("session").alias("first")).orderBy("year").collect()
     out = None
     for r in bounds[first_years:]:

@@ -247,6 +247,14 @@ def test_a_gate_closes_sessions(spark):
     assert gates.gate_by_year(daily, ["a"], "label", 1, 2, least=10**6).collect() == []
 
 
+def test_a_gate_computes_its_sessions_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "double").asNondeterministic()
+    daily = spark.createDataFrame([(s, 2000 + s // 60, float(s % 7), float(s % 7 > 3)) for s in range(240)], "session long, year int, a double, label double")
+    assert gates.gate_by_year(daily.withColumn("a", counted("a")), ["a"], "label", 1, 2, least=50).count() == 120
+    assert seen.value <= 2 * 240  # many passes of two fits would see them again and again
+
+
 # --- resampling ---------------------------------------------------------------------------------------
 
 
