@@ -48,11 +48,20 @@ class Costs:
         return (1 + self.slippage) * (1 + self.tax_buy + self.stamp_buy + (self.exchange + self.regulator) * (1 + self.gst))
 
     def affordable(self, price: float, cash: float) -> int:
-        """The most whole shares that ``cash`` buys."""
-        q = int((cash - self.brokerage * (1 + self.gst)) / (price * self.unit_cost()) + 1e-12) if price > 0 else 0
-        while q > 0 and self.buy(price, q)[1] > cash + 1e-9:
-            q -= 1
-        return max(q, 0)
+        """The most whole shares that ``cash`` buys, at most those of the closed form."""
+        fits = lambda n: n == 0 or self.buy(price, n)[1] <= cash + 1e-9
+        q = max(int((cash - self.brokerage * (1 + self.gst)) / (price * self.unit_cost()) + 1e-12), 0) if price > 0 else 0
+        if fits(q):
+            return q
+        # rounding costs a number of shares that grows with the sum: steps double, then the last is halved
+        step = 1
+        while not fits(max(q - step, 0)):
+            step *= 2
+        low, high = max(q - step, 0), q
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if fits(middle) else (low, middle)
+        return low
 
     def affordable_column(self, price: Column, cash: Column) -> Column:
         """The closed form and one step down, which rounding can need."""

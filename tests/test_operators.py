@@ -1,6 +1,7 @@
 """Invariants: no look ahead, whole shares, cash, sources that round-trip, streams that equal their batch."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -197,3 +198,18 @@ def test_identities_and_how_sure_they_are(spark):
 def test_ambiguous_keys_fall_away(spark):
     df = spark.createDataFrame([("x", 1), ("x", 1), ("y", 1), ("y", 2), (None, 3), ("z", None), ("w", 4), ("w", None)], "k string, v int")
     assert sorted(map(tuple, tp.unambiguous(df, "k", "v").collect())) == [("w", 4), ("x", 1)]
+
+
+def test_shares_of_any_sum_are_found_at_once():
+    costs = pf.Costs()
+    for cash in (0.0, 17.0, 1234.5, 5e4, 1e12):
+        for price in (0.0, 3.7, 1021.9):
+            q = max(int((cash - 17.7) / (price * costs.unit_cost()) + 1e-12), 0) if price else 0
+            while q and costs.buy(price, q)[1] > cash + 1e-9:
+                q -= 1
+            assert costs.affordable(price, cash) == q
+    rng = random.Random(5)
+    for _ in range(200):  # rounding of such sums is worth up to 1e80 shares, which were given back one by one
+        price, cash = rng.uniform(900, 2100), 10 ** rng.uniform(17, 100)
+        q = costs.affordable(price, cash)
+        assert costs.buy(price, q)[1] <= cash < costs.buy(price, int(q * (1 + 1e-12)))[1]
