@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -43,12 +45,7 @@ def rolling(agg, x, size: int, least: int, key, order) -> Column:
     return F.when(F.count(col(x)).over(w) >= least, agg(col(x)).over(w))
 
 
-def _moments(x: Column, m: Column, own: Column, w: WindowSpec) -> Column:
-    """Counts, means and sums of products of deviations over a frame that only grows; zero where it has no values."""
-    n, n_own = F.count(x).over(w), F.count(own).over(w)
-    parts = {"n": n, "ax": F.avg(x).over(w), "am": F.avg(m).over(w), "xx": F.var_pop(x).over(w) * n, "mm": F.var_pop(m).over(w) * n, "xm": F.covar_pop(x, m).over(w) * n}
-    parts |= {"n_own": n_own, "a_own": F.avg(own).over(w), "mm_own": F.var_pop(own).over(w) * n_own}
-    return F.struct(*[F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in parts.items()])
+MOMENTS = ("n", "xx", "mm", "xm", "n_own", "mm_own", "ax", "am")
 
 
 def pair_moments(p: DataFrame, x: str, m: str, size: int, key, order, name: str) -> DataFrame:
@@ -56,54 +53,82 @@ def pair_moments(p: DataFrame, x: str, m: str, size: int, key, order, name: str)
     return many_pair_moments(p, {name: (x, m)}, size, key, order)
 
 
-def many_pair_moments(p: DataFrame, pairs: dict[str, tuple[str, str]], size: int, key, order) -> DataFrame:
+def many_pair_moments(p: DataFrame, pairs: dict[str, tuple], size: int, key, order) -> DataFrame:
     """Over the last ``size`` rows: how many have both values of a pair, and the sums of products of their deviations.
 
-    For each pair (x, m) columns of its name and n, xx, mm, xm of the rows with both, and n_own, mm_own of all values of m.
-    Rows are cut in chunks of ``size``; a window is the end of one chunk and the beginning of the next, whose moments grow row
-    by row and are merged, so the work doesn't grow with ``size`` and a value that has left the window leaves no trace. All
-    pairs share the orderings. What rounding leaves of a constant's deviations counts as zero. A value that is null or
-    not finite is missing.
+    For each pair (x, m), or (x, m, its own size), columns of its name and n, xx, mm, xm, ax, am (means) of the rows with both,
+    and n_own, mm_own of all values of m. One ordering serves all pairs; each task then goes through its rows in Arrow batches
+    and keeps the last rows of the batch before. Moments of 1, 2, 4, ... rows are merged with those as many rows earlier, so
+    a row costs the logarithm of the window and a value that has left it leaves no trace. What rounding leaves of a
+    constant's deviations counts as zero. A value that is null or not finite is missing.
     """
-    w = rows_of(key, order)
-    chunk = [*([key] if isinstance(key, str) else key), "_chunk"]
-    orders = [order] if isinstance(order, str) else list(order)
-    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double"))
-    own = {c: f"_v{i}" for i, c in enumerate(dict.fromkeys(c for pair in pairs.values() for c in pair))}
-    q = p.withColumns({"_chunk": F.floor((F.row_number().over(w) - 1) / size)} | {v: finite(c) for c, v in own.items()})
-    grows = lambda o: Window.partitionBy(chunk).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    values = {}
-    for name, (x, m) in pairs.items():
-        a, b = F.col(own[x]), F.col(own[m])
-        both = a.isNotNull() & b.isNotNull()
-        values[name] = F.when(both, a), F.when(both, b), b
-    q = q.withColumns({f"_end_{name}": _moments(*v, grows([F.col(c).desc() for c in orders])) for name, v in values.items()})
-    q = q.withColumns({f"_begin_{name}": _moments(*v, grows(orders)) for name, v in values.items()})
-    # the window's first row, where the chunk before has it; chunks follow the rows' order, so this is the order they already have
-    ordered = rows_of(key, ["_chunk", *orders])
-    before = F.lag("_chunk", size - 1).over(ordered) < F.col("_chunk")
-    q = q.withColumns({f"_old_{name}": F.when(before, F.lag(f"_end_{name}", size - 1).over(ordered)) for name in pairs})
-    merged = {f"{name}{k}": c for name in pairs for k, c in _merge(F.col(f"_old_{name}"), F.col(f"_begin_{name}")).items()}
-    return q.withColumns(merged).drop("_chunk", *own.values(), *[f"{part}{name}" for part in ("_end_", "_begin_", "_old_") for name in pairs])
-
-
-def _merge(old: Column, begin: Column) -> dict[str, Column]:
-    """The moments of two chunks' parts together; ``old`` may be null."""
-    one = {k: F.coalesce(old[k], F.lit(0.0)) for k in _MERGED}
-    two = {k: begin[k] for k in _MERGED}
-    out = {}
-    for n, sums in (("n", (("xx", "ax", "ax"), ("mm", "am", "am"), ("xm", "ax", "am"))), ("n_own", (("mm_own", "a_own", "a_own"),))):
-        out[n] = one[n] + two[n]
+    spans = {n: v[2] if len(v) > 2 else size for n, v in pairs.items()}
+    used = list(dict.fromkeys(c for v in pairs.values() for c in v[:2]))
+    place = {c: k for k, c in enumerate(used)}
+    groups = [(s, [n for n in pairs if spans[n] == s]) for s in dict.fromkeys(spans.values())]
+    sides = {s: ([place[pairs[n][0]] for n in names], [place[pairs[n][1]] for n in names]) for s, names in groups}
+    columns, kept = p.columns, max(spans.values()) - 1
+    q = p.withColumns({f"_v{k}": F.col(c).cast("double") for k, c in enumerate(used)} | {"_at": F.row_number().over(rows_of(key, order))})
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema), *(f"`{n}{k}` double" for _, names in groups for n in names for k in MOMENTS)])
+
+    def moments(batches):
+        old, old_at = np.empty((len(used), 0)), np.empty(0, np.int64)
+        for b in batches:
+            at = np.concatenate([old_at, b["_at"].to_numpy().astype(np.int64)])
+            if np.any((at[1:] != at[:-1] + 1) & (at[1:] != 1)) or (not len(old_at) and np.any(at[:1] != 1)):
+                raise ValueError("rows don't come in their order")
+            now = np.array([b[f"_v{k}"].to_numpy(zero_copy_only=False) for k in range(len(used))], float)
+            values = np.concatenate([old, now], axis=1)
+            new = len(old_at)
+            out = [b[c] for c in columns]
+            for s, names in groups:
+                found = _trailing(values[sides[s][0]], values[sides[s][1]], at, s)
+                out += [pa.array(found[k][i, new:]) for i in range(len(names)) for k in MOMENTS]
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, *(f"{n}{k}" for _, names in groups for n in names for k in MOMENTS)])
+            old, old_at = values[:, max(values.shape[1] - kept, 0) :], at[max(len(at) - kept, 0) :]
+
+    return q.mapInArrow(moments, schema)
+
+
+def _trailing(x: np.ndarray, m: np.ndarray, at: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """The moments of the last ``size`` rows of each pair (a line of ``x`` and ``m``); ``at`` numbers a key's rows from 1."""
+    with np.errstate(all="ignore"):
+        own = np.isfinite(m)
+        both = own & np.isfinite(x)
+        zero = np.zeros_like(x)
+        some = {"n": both * 1.0, "ax": np.where(both, x, 0.0), "am": np.where(both, m, 0.0), "xx": zero, "mm": zero, "xm": zero, "n_own": own * 1.0, "a_own": np.where(own, m, 0.0), "mm_own": zero}
+        found, length, done = None, 1, 0
+        while True:
+            if size & length:
+                found = some if found is None else _merged(found, some, at, done)
+                done += length
+            if done == size:
+                break
+            some = _merged(some, some, at, length)
+            length *= 2
+        for k, n, a in (("xx", "n", "ax"), ("mm", "n", "am"), ("mm_own", "n_own", "a_own")):
+            found[k] = np.where(found[k] > 1e-26 * found[n] * found[a] * found[a], found[k], 0.0)
+    return found
+
+
+def _merged(late: dict[str, np.ndarray], early: dict[str, np.ndarray], at: np.ndarray, back: int) -> dict[str, np.ndarray]:
+    """``late`` together with what ``early`` is ``back`` rows before, where the key has such a row."""
+    there = at[back:] > back
+    if not there.any():
+        return dict(late)
+    one = {k: v[:, back:] for k, v in late.items()}
+    two = {k: np.where(there, v[:, : v.shape[1] - back], 0.0) for k, v in early.items()}
+    out = {k: v.copy() for k, v in late.items()}
+    for n, means, sums in (("n", ("ax", "am"), (("xx", "ax", "ax"), ("mm", "am", "am"), ("xm", "ax", "am"))), ("n_own", ("a_own",), (("mm_own", "a_own", "a_own"),))):
+        total = one[n] + two[n]
+        share = np.where(total > 0, two[n] / total, 0.0)
+        apart = {a: np.where((one[n] > 0) & (two[n] > 0), two[a] - one[a], 0.0) for a in means}
+        for a in means:
+            out[a][:, back:] = np.where(one[n] > 0, one[a], two[a]) + apart[a] * share
         for k, a, b in sums:
-            apart = (one[a] - two[a]) * (one[b] - two[b]) * F.when((one[n] > 0) & (two[n] > 0), one[n] * two[n] / out[n]).otherwise(0.0)
-            merged = one[k] + two[k] + apart
-            level = F.greatest(F.abs(one[a]), F.abs(two[a]))
-            out[k] = merged if a != b else F.when(merged > 1e-26 * out[n] * level * level, merged).otherwise(0.0)
-    return {k: out[k] for k in MOMENTS}
-
-
-MOMENTS = ("n", "xx", "mm", "xm", "n_own", "mm_own")
-_MERGED = ("n", "ax", "am", "xx", "mm", "xm", "n_own", "a_own", "mm_own")
+            out[k][:, back:] = one[k] + two[k] + apart[a] * apart[b] * (one[n] * share)
+        out[n][:, back:] = total
+    return out
 
 
 def pair_correlation(name: str) -> Column:

@@ -19,10 +19,11 @@ def _beta(name: str, floor: float) -> Column:
     return F.when(variance > floor, F.try_divide(F.col(f"{name}xm"), F.col(f"{name}n") - 1) / variance)
 
 
-def _pair_columns(p: DataFrame, pairs: dict[str, tuple[str, str]], size: int, least: int, key, floor: float = 1e-15) -> DataFrame:
-    """For each pair ``corr_`` and ``beta_`` of its name, null below ``least`` rows with both values."""
+def _pair_columns(p: DataFrame, pairs: dict[str, tuple], size: int, least: int | dict[str, int], key, floor: float = 1e-15) -> DataFrame:
+    """For each pair ``corr_`` and ``beta_`` of its name, null below ``least`` rows (of all pairs, or by name) with both values."""
+    least = least if isinstance(least, dict) else dict.fromkeys(pairs, least)
     q = many_pair_moments(p, {f"_k_{n}_": v for n, v in pairs.items()}, size, key, ORDER)
-    enough = {n: F.col(f"_k_{n}_n") >= least for n in pairs}
+    enough = {n: F.col(f"_k_{n}_n") >= least[n] for n in pairs}
     out = {f"corr_{n}": F.when(enough[n], pair_correlation(f"_k_{n}_")) for n in pairs} | {f"beta_{n}": F.when(enough[n], _beta(f"_k_{n}_", floor)) for n in pairs}
     return q.withColumns(out).drop(*[f"_k_{n}_{k}" for n in pairs for k in MOMENTS])
 
@@ -73,8 +74,8 @@ def sector_context(
     ``distinct``, ``lead_corr_k`` (with the basket k rows ago), ``gap_short``, ``gap_long`` (return beyond the beta's share), and for each
     horizon ``sector_return_h``, ``over_sector_h``, ``strength_h`` (mean-rank share among the session's baskets), ``sector_over_market_h``.
 
-    Only rows of ``baskets`` in ``sectors`` are broadcast: at most one for each of them and calendar date. A row of ``p`` goes out once
-    for each sector, beside its id, so everything after the panel's own shuffle by id stays where it is.
+    Only rows of ``baskets`` in ``sectors`` are broadcast: at most one for each of them and calendar date. A row of ``p`` holds all
+    sectors side by side, and all windows come from one ordering by id, so after the panel's own shuffle by id nothing moves.
     """
     names = sorted(sectors)
     ranks = {f"_strength_{h}": percentile_rank(f"return_{h}", ORDER) for h in horizons}
@@ -82,21 +83,23 @@ def sector_context(
     dimension = asked.select(ORDER, F.col("sector").alias("_sector"), *[F.col(f"return_{h}").alias(f"_basket_{h}") for h in horizons], *ranks)
     kept = [f"return_{h}" for h in horizons] + ([f"{market}_{h}" for h in horizons] if market else [])
     x, y = f"return_{horizons[0]}", f"_basket_{horizons[0]}"
-    rows = p.select(KEY, ORDER, *kept, F.explode(F.array(*[F.lit(n) for n in names])).alias("_sector"))
-    rows = rows.join(F.broadcast(dimension.select(ORDER, "_sector", y)), [ORDER, "_sector"], "left")
-
-    own = [KEY, "_sector"]
-    w = rows_of(own, ORDER)
-    q = rows.withColumns({f"_y{k}": F.lag(y, k).over(w) for k in lags})
-    q = _pair_columns(q, {"long": (x, y)}, long[0], long[1], own)
-    q = _pair_columns(q, {"short": (x, y)} | {f"lead_{k}": (x, f"_y{k}") for k in lags}, short[0], short[1], own)
-    known = {"_corr_short": "corr_short", "_corr_long": "corr_long", "_beta_short": "beta_short", "_beta_long": "beta_long"} | {f"_lead_{k}": f"corr_lead_{k}" for k in lags}
-    q = q.withColumns({new: F.lag(old).over(w) for new, old in known.items()})
-
-    # at most one entry for each sector, best first
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_sector"))
-    entry = F.struct(F.round("_corr_long", 9).alias("order"), (-place).alias("place"), F.col("_sector").alias("sector"), *known)
-    found = q.groupBy(KEY, ORDER).agg(*[F.any_value(c).alias(c) for c in kept], F.sort_array(F.collect_list(F.when(F.col("_corr_long").isNotNull(), entry)), asc=False).alias("_all"))
+    side = dimension.groupBy(ORDER).agg(*[F.max(F.when(F.col("_sector") == s, F.col(y))).alias(f"_y{k}") for k, s in enumerate(names)])
+    rows = p.select(KEY, ORDER, *kept).join(F.broadcast(side), ORDER, "left")
+
+    # the windows end at the row before, so what they are of is shifted by a row
+    w = rows_of(KEY, ORDER)
+    numbers = range(len(names))
+    shifted = {"_x": F.lag(x).over(w)} | {f"_y{k}_{j}": F.lag(f"_y{k}", j + 1).over(w) for k in numbers for j in (0, *lags)}
+    pairs = {f"long_{k}": ("_x", f"_y{k}_0", long[0]) for k in numbers} | {f"short_{k}": ("_x", f"_y{k}_0", short[0]) for k in numbers}
+    pairs |= {f"lead_{j}_{k}": ("_x", f"_y{k}_{j}", short[0]) for k in numbers for j in lags}
+    least = {n: long[1] if n.startswith("long") else short[1] for n in pairs}
+    q = _pair_columns(rows.withColumns(shifted).drop(*[f"_y{k}" for k in numbers]), pairs, short[0], least, KEY)
+    known = {"_corr_short": "corr_short", "_corr_long": "corr_long", "_beta_short": "beta_short", "_beta_long": "beta_long"} | {f"_lead_{j}": f"corr_lead_{j}" for j in lags}
+
+    # an entry for each sector, best first
+    entry = lambda k: F.struct(F.round(f"corr_long_{k}", 9).alias("order"), F.lit(-k).alias("place"), F.lit(names[k]).alias("sector"), *[F.col(f"{old}_{k}").alias(new) for new, old in known.items()])
+    entries = F.array_compact(F.array(*[F.when(F.col(f"corr_long_{k}").isNotNull(), entry(k)) for k in numbers]))
+    found = q.select(KEY, ORDER, *kept, F.sort_array(entries, asc=False).alias("_all"))
     best, second = F.try_element_at("_all", F.lit(1)), F.try_element_at("_all", F.lit(2))
     found = found.withColumns({"_best": F.when(best["_corr_long"] > 0, best), "_second": second["_corr_long"]}).withColumn("_sector", F.col("_best.sector"))
     found = found.join(F.broadcast(dimension), [ORDER, "_sector"], "left")

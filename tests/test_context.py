@@ -106,6 +106,14 @@ def test_equal_baskets_take_the_first_name(spark):
     assert all(r.strength_1 == pytest.approx(2 / 3) for r in got)
 
 
+def test_rows_are_not_multiplied_by_sectors(spark):
+    p = spark.createDataFrame([(1, s, 0.01 * (s % 5)) for s in range(9)], "id long, session long, return_1 double")
+    baskets = spark.createDataFrame([(s, k, 0.01 * (s % 3)) for s in range(9) for k in ("a", "b")], "session long, sector string, return_1 double")
+    q = context.sector_context(p, baskets, ["a", "b"], (1,), (4, 2), (6, 3), (1,), market=None)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and q.count() == 9
+
+
 def test_one_shuffle_for_the_rows(spark):
     """Rows meet by id once; what follows stays beside it."""
     rows, base = fixture(sessions=20)

@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from saltern.functions import frames
 from saltern.operators import features
 
 
@@ -46,3 +47,42 @@ def test_a_constant_has_no_correlation(spark):
     df = spark.createDataFrame([("a", s, 0.1, 0.3 if s < 100 else s * 0.1) for s in range(200)], "id string, session long, x double, m double")
     got = features.correlation_sample(df, "x", "m", 60, 30).collect()
     assert all(r.pair_corr_60 is None for r in got) and all((r.pair_beta_60 is None) == (r.session < 100) or r.session < 30 for r in got)
+
+
+def test_one_ordering_serves_all_pairs_and_sizes(spark):
+    """Small batches carry the rows before; rows aren't multiplied and are sorted once."""
+    df = spark.createDataFrame(series({}), "id string, session long, x double, m double")
+    pairs = {"a": ("x", "m", 5), "b": ("m", "x", 60), "c": ("x", "x", 1)}
+    q = frames.many_pair_moments(df, pairs, 9, "id", "session")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+    want = q.orderBy("id", "session").collect()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        assert frames.many_pair_moments(df, pairs, 9, "id", "session").orderBy("id", "session").collect() == want
+    finally:
+        spark.conf.set(name, before)
+    assert max(r.an for r in want) == 5 and max(r.bn for r in want) == 60 and {r.cn for r in want} == {0, 1}
+
+
+def test_mixed_correlation_forgets_and_has_no_frames(spark):
+    rows = series({("a", 3, "x"): 1e9})
+    q = features.correlation_mixed(spark.createDataFrame(rows, "id string, session long, x double, m double"), "x", "m", 60, 30)
+    assert "stddev" not in q._jdf.queryExecution().executedPlan().toString()
+    t = pd.DataFrame(rows, columns=["id", "session", "x", "m"])  # noqa: F841
+    want = duckdb.sql("SELECT id, session, (avg(x * m) OVER k - avg(x) OVER k * avg(m) OVER k) / (stddev_samp(x) OVER k * stddev_samp(m) OVER k) AS c FROM (SELECT id, session, nullif(x, 'nan') AS x, m FROM t WHERE NOT (id = 'a' AND session = 3)) WINDOW k AS (PARTITION BY id ORDER BY session ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) ORDER BY id, session").fetchall()
+    got = {(r.id, r.session): r.corr_60 for r in q.collect()}
+    for k, s, c in want:
+        if k == "b" and s > 60 or s > 63:
+            assert abs(got[k, s] - c) < 1e-9
+
+
+def test_lags_share_an_ordering(spark):
+    df = spark.createDataFrame(series({}), "id string, session long, x double, m double")
+    q = features.lead_lag(df, "x", "m", (1, 2), 60, 30)
+    assert q._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    for k in (1, 2):
+        one = {(r.id, r.session): r[f"lead_corr_{k}"] for r in features.lead_lag(df, "x", "m", k, 60, 30).collect()}
+        assert one == {(r.id, r.session): r[f"lead_corr_{k}"] for r in q.collect()}
