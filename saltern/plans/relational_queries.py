@@ -153,14 +153,15 @@ def sector_onehot(spark, d):
     SELECT id, session, sector, cr AS correlation, round(cr - second, 6) + 0.0 AS margin FROM q WHERE n = 1 AND cr > 0""",
 )
 def sector_affinity(spark, d):
-    # a basket for each calendar date and sector, five at most, bounds the broadcast; rows then stay with their id throughout
-    p, b = returns(spark, d), F.broadcast(baskets(spark, d))
-    m = p.join(b, "session").select("id", "session", "sector", F.col("return_1").alias("x"), F.col("basket").alias("y"))
-    c = pair_moments(m, "x", "y", 60, ["id", "sector"], "session", "k_").withColumn("c", F.when(F.col("k_n") >= 30, pair_correlation("k_"))).select("id", "session", "sector", "c")
-    rows = Window.partitionBy("id", "sector").orderBy("session")
-    lagged = c.withColumn("correlation", F.round(F.lag("c").over(rows), 6) + F.lit(0.0)).where("correlation is not null")
+    # a basket for each calendar date and sector, five at most, bounds the broadcast; rows stay with their id up to the choice
+    p, b = returns(spark, d).select("id", "session", "return_1"), F.broadcast(baskets(spark, d))
+    # the window ends at the row before, so what it is of is shifted by a row
+    before = lambda c: F.lag(c).over(Window.partitionBy("id", "sector").orderBy("session"))
+    m = p.join(b, "session").select("id", "session", "sector", before("return_1").alias("x"), before("basket").alias("y"))
+    c = pair_moments(m, "x", "y", 60, ["id", "sector"], "session", "k_")
+    known = c.withColumn("correlation", F.round(F.when(F.col("k_n") >= 30, pair_correlation("k_")), 6) + F.lit(0.0)).where("correlation is not null")
     best = Window.partitionBy("id", "session").orderBy(F.desc("correlation"), "sector")
-    q = lagged.withColumns({"n": F.row_number().over(best), "second": F.lead("correlation").over(best)})
+    q = known.select("id", "session", "sector", "correlation").withColumns({"n": F.row_number().over(best), "second": F.lead("correlation").over(best)})
     return rounded(q.where("n = 1 and correlation > 0").select("id", "session", "sector", "correlation", (F.col("correlation") - F.col("second")).alias("margin")))
 
 
