@@ -74,7 +74,7 @@ def _related(x: str, y: str, name: str) -> str:
 )
 def lead_lag_relations(spark, d):
     """Both directions over 120 rows: the market some rows ago with the return, and past returns with the market."""
-    q = context.lead_lag_relations(indexed(spark, d), "return_1", "market_return_1", _LEADS, _FOLLOWS, 120, 60)
+    q = context.lead_lag_relations(indexed(spark, d).select("id", "session", "return_1", "market_return_1"), "return_1", "market_return_1", _LEADS, _FOLLOWS, 120, 60)
     return rounded(q.select("id", "session", *[f"{s}_market_leads_{k}" for k in _LEADS for s in ("corr", "beta")], *[f"{s}_stock_leads_{k}" for k in _FOLLOWS for s in ("corr", "beta")]))
 
 
@@ -88,7 +88,7 @@ def lead_lag_relations(spark, d):
 def market_response(spark, d):
     """What a return has beyond its share of the market's by the beta known a row earlier, over one and twenty sessions."""
     spans = {str(h): (f"return_{h}", f"market_return_{h}") for h in (1, 20)}
-    q = context.market_response(indexed(spark, d), "return_1", "market_return_1", spans, 60, 30)
+    q = context.market_response(indexed(spark, d).select("id", "session", *[f"{k}_{h}" for h in (1, 20) for k in ("return", "market_return")]), "return_1", "market_return_1", spans, 60, 30)
     return rounded(q.select("id", "session", "market_beta", "response_gap_1", "response_gap_20"))
 
 
