@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltern.functions.frames import MOMENTS, col, exact_lag, exact_lead, flag, last_rows, median, pair_correlation, pair_moments, percentile_rank, ratio, rolling, rows_of
+from saltern.functions.frames import MOMENTS, col, exact_lag, exact_lead, flag, last_rows, many_pair_moments, median, pair_correlation, pair_moments, percentile_rank, ratio, rolling, rows_of
 
 KEY, ORDER = "id", "session"
 
@@ -194,13 +194,17 @@ def beta_population(p: DataFrame, x: str, m: str, size: int, least: int) -> Data
 
 
 def correlation_mixed(p: DataFrame, x: str, m: str, size: int, least: int) -> DataFrame:
-    """Population covariance over the product of sample deviations, means over each column's own values, within one."""
-    w = last_rows(KEY, ORDER, size)
-    n = F.count(F.col(x) * F.col(m)).over(w)
-    cov = F.avg(F.col(x) * F.col(m)).over(w) - F.avg(x).over(w) * F.avg(m).over(w)
-    dev = F.stddev_samp(x).over(w) * F.stddev_samp(m).over(w)
-    raw = F.when((n >= least) & (dev > 1e-12), cov / dev)
-    return p.withColumn(f"corr_{size}", F.when(raw > 1, 1.0).when(raw < -1, -1.0).otherwise(raw))
+    """Population covariance over the product of sample deviations, means over each column's own values, within one.
+
+    The moments of both and of each column alone come from one ordering, so the work doesn't grow with the window. A value
+    that is not finite is missing.
+    """
+    q = many_pair_moments(p, {"_k_": (x, m), "_x_": (x, x), "_m_": (m, m)}, size, KEY, ORDER)
+    cov = F.try_divide(F.col("_k_xm"), F.col("_k_n")) + F.col("_k_ax") * F.col("_k_am") - F.col("_x_ax") * F.col("_m_ax")
+    dev = F.sqrt(F.try_divide(F.col("_x_xx"), F.col("_x_n") - 1)) * F.sqrt(F.try_divide(F.col("_m_xx"), F.col("_m_n") - 1))
+    raw = F.when((F.col("_k_n") >= least) & (dev > 1e-12), F.try_divide(cov, dev))
+    q = q.withColumn("_raw", raw).withColumn(f"corr_{size}", F.when(F.col("_raw") > 1, 1.0).when(F.col("_raw") < -1, -1.0).otherwise(F.col("_raw")))
+    return q.drop("_raw", *[f"{k}{c}" for k in ("_k_", "_x_", "_m_") for c in MOMENTS])
 
 
 def correlation_sample(p: DataFrame, x: str, m: str, size: int, least: int) -> DataFrame:
@@ -212,10 +216,13 @@ def correlation_sample(p: DataFrame, x: str, m: str, size: int, least: int) -> D
     return q.withColumns(out).drop("_cov", "_var", *[f"_k_{k}" for k in MOMENTS])
 
 
-def lead_lag(p: DataFrame, x: str, m: str, lag: int, size: int, least: int) -> DataFrame:
-    """Correlation with the other series some rows ago."""
-    q = pair_moments(p.withColumn("_before", F.lag(m, lag).over(own_rows())), x, "_before", size, KEY, ORDER, "_k_")
-    return q.withColumn(f"lead_corr_{lag}", F.when(F.col("_k_n") >= least, pair_correlation("_k_"))).drop("_before", *[f"_k_{k}" for k in MOMENTS])
+def lead_lag(p: DataFrame, x: str, m: str, lag: int | tuple[int, ...], size: int, least: int) -> DataFrame:
+    """Correlation with the other series some rows ago; several lags share one ordering."""
+    lags = (lag,) if isinstance(lag, int) else tuple(lag)
+    before = {f"_before_{k}": F.lag(m, k).over(own_rows()) for k in lags}
+    q = many_pair_moments(p.withColumns(before), {f"_k_{k}_": (x, f"_before_{k}") for k in lags}, size, KEY, ORDER)
+    out = {f"lead_corr_{k}": F.when(F.col(f"_k_{k}_n") >= least, pair_correlation(f"_k_{k}_")) for k in lags}
+    return q.withColumns(out).drop(*before, *[f"_k_{k}_{c}" for k in lags for c in MOMENTS])
 
 
 def relative_strength(p: DataFrame, x: str, m: str) -> DataFrame:

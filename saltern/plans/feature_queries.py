@@ -244,7 +244,7 @@ JOINED = f"{MARKET}, j AS (SELECT returns.*, market_return AS m FROM returns LEF
     SELECT id, session, {r("CASE WHEN abs(vr) > 1e-12 THEN cv / vr END", "beta_60")} FROM c""",
 )
 def beta_population(spark, d):
-    return rounded(ft.beta_population(with_market(spark, d), "return_1", "market_return", 60, 30).select("id", "session", "beta_60"))
+    return rounded(ft.beta_population(with_market(spark, d).select("id", "session", "return_1", "market_return"), "return_1", "market_return", 60, 30).select("id", "session", "beta_60"))
 
 
 @REG.add(
@@ -253,7 +253,7 @@ def beta_population(spark, d):
     e AS (SELECT id, session, CASE WHEN n >= 30 AND dv > 1e-12 THEN cv / dv END AS q FROM c) SELECT id, session, {r("CASE WHEN q > 1 THEN 1 WHEN q < -1 THEN -1 ELSE q END", "corr_60")} FROM e""",
 )
 def corr_mixed(spark, d):
-    return rounded(ft.correlation_mixed(with_market(spark, d), "return_1", "market_return", 60, 30).select("id", "session", "corr_60"))
+    return rounded(ft.correlation_mixed(with_market(spark, d).select("id", "session", "return_1", "market_return"), "return_1", "market_return", 60, 30).select("id", "session", "corr_60"))
 
 
 @REG.add(
@@ -262,7 +262,7 @@ def corr_mixed(spark, d):
     {r("CASE WHEN count(return_1 * m) OVER k >= 30 AND var_samp(m) OVER k > 1e-12 THEN covar_samp(return_1, m) OVER k / var_samp(m) OVER k END", "pair_beta_60")} FROM j WINDOW k AS {rows(60)}""",
 )
 def corr_sample(spark, d):
-    return rounded(ft.correlation_sample(with_market(spark, d), "return_1", "market_return", 60, 30).select("id", "session", "pair_corr_60", "pair_beta_60"))
+    return rounded(ft.correlation_sample(with_market(spark, d).select("id", "session", "return_1", "market_return"), "return_1", "market_return", 60, 30).select("id", "session", "pair_corr_60", "pair_beta_60"))
 
 
 @REG.add(
@@ -271,10 +271,8 @@ def corr_sample(spark, d):
     SELECT id, session, {r("CASE WHEN count(x * y) OVER k >= 30 THEN corr(x, y) OVER k END", "lead_corr_1")}, {r("CASE WHEN count(x * z) OVER k >= 30 THEN corr(x, z) OVER k END", "lead_corr_2")} FROM l WINDOW k AS {rows(60)}""",
 )
 def lead_lag(spark, d):
-    p = with_market(spark, d)
-    for k in (1, 2):
-        p = ft.lead_lag(p, "return_1", "market_return", k, 60, 30)
-    return rounded(p.select("id", "session", "lead_corr_1", "lead_corr_2"))
+    p = with_market(spark, d).select("id", "session", "return_1", "market_return")
+    return rounded(ft.lead_lag(p, "return_1", "market_return", (1, 2), 60, 30).select("id", "session", "lead_corr_1", "lead_corr_2"))
 
 
 @REG.add("relative_strength", f"WITH {JOINED} SELECT id, session, {r('return_1 - m', 'return_1_relative')} FROM j")
