@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltern.functions.frames import correlation, mean_rank
+from saltern.functions.frames import correlation, mean_rank, settled
 
 #: Bands of economic relevance.
 BANDS = ("A_top_80pct", "B_next_15pct", "C_tail_5pct")
@@ -35,6 +37,35 @@ def pareto(df: DataFrame, key: str, x: str, cuts: tuple[float, float] = (0.8, 0.
     return out.withColumn("band", F.when(earlier < cuts[0], BANDS[0]).when(earlier < cuts[1], BANDS[1]).otherwise(BANDS[2])).drop("_own")
 
 
+def exact_quantiles(df: DataFrame, x: str, shares: list[float], ranges: int = 64) -> list[float | None]:
+    """The interpolated quantiles of the values of ``x`` that are not null, as the built-in ``percentile`` has them.
+
+    That one holds all distinct values in one task. Here equal values are counted, the counts of ranges, cut at approximate
+    quantiles, tell which ranges hold the wanted places, and only these are ordered, each in a task of its own.
+    """
+    counts = settled(df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    edges = counts.approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.001) if ranges > 1 else []
+    ranged = counts.withColumn("r", sum((F.when(F.col("v") > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0)))
+    below, held = 0, {}
+    for r in ranged.groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect():  # a row for each range
+        held[r.r] = below, below + r.n
+        below += r.n
+    if not below:
+        return [None] * len(shares)
+    at = [share * (below - 1) for share in shares]
+    places = sorted({k for h in at for k in (floor(h), ceil(h))})
+    asked = [(r, first) for r, (first, end) in held.items() if any(first <= k < end for k in places)]
+    start = sum((F.when(F.col("r") == r, first).otherwise(0) for r, first in asked), F.lit(0))
+    end = start + F.sum("n").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.where(F.col("r").isin([r for r, _ in asked])).select("v", "n", end.alias("end"))
+    hit = F.lit(False)
+    for k in places:
+        hit = hit | ((F.col("end") > k) & (F.col("end") - F.col("n") <= k))
+    rows = found.where(hit).collect()  # one for each place at most
+    value = {k: r.v for k in places for r in rows if r.end - r.n <= k < r.end}
+    return [value[floor(h)] if floor(h) == h else value[floor(h)] * (ceil(h) - h) + value[ceil(h)] * (h - floor(h)) for h in at]
+
+
 def skewness(x: str | Column) -> Column:
     """Bias-corrected, null below three values or without spread."""
     n = F.count(x).cast("double")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from saltern.functions.frames import correlation
+from saltern.functions.frames import correlation, settled
 from saltern.operators import features as ft
+from saltern.operators.aggregates import exact_quantiles
 from saltern.plans.panel import MARKET, RETURNS, SUPPLIER_PANEL, market, returns, rounded, supplier_panel, table
 from saltern.plans.portfolio_queries import MOMENTUM, momentum_rows
 from saltern.plans.registry import Registry, r
@@ -214,8 +215,10 @@ def hash_sample(spark, d):
     f"""WITH {RETURNS} SELECT count(return_1) AS n, count(DISTINCT round(return_1, 6)) AS n_distinct, {r("quantile_cont(return_1, 0.01)", "q01")}, {r("median(return_1)", "median")}, {r("quantile_cont(return_1, 0.99)", "q99")}, stddev_samp(return_1) < 1e-12 AS near_constant FROM returns""",
 )
 def numeric_profile(spark, d):
-    q = lambda p: F.percentile("return_1", F.lit(p))
-    return rounded(returns(spark, d).agg(F.count("return_1").alias("n"), F.count_distinct(F.round("return_1", 6)).alias("n_distinct"), q(0.01).alias("q01"), q(0.5).alias("median"), q(0.99).alias("q99"), (F.stddev_samp("return_1") < 1e-12).alias("near_constant")))
+    x = settled(returns(spark, d).select("return_1"))
+    q = [F.lit(v).cast("double").alias(n) for n, v in zip(("q01", "median", "q99"), exact_quantiles(x, "return_1", [0.01, 0.5, 0.99]), strict=True)]
+    found = x.agg(F.count("return_1").alias("n"), F.count_distinct(F.round("return_1", 6)).alias("n_distinct"), (F.stddev_samp("return_1") < 1e-12).alias("near_constant"))
+    return rounded(found.select("n", "n_distinct", *q, "near_constant"))
 
 
 @REG.add("value_counts", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")

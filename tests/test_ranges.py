@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from saltern.operators.aggregates import exact_quantiles
 from saltern.operators import features as ft
 from saltern.operators import temporal as tp
 
@@ -62,3 +63,21 @@ def test_pair_features(spark):
         assert r["beta_10"] == pytest.approx(c[0, 1] / c[1, 1], abs=1e-7)
     empty = ft.lead_lag(p.where(F.lit(False)), "x", "m", 1, 10, 4)
     assert empty.collect() == []
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_exact_quantiles_equal_numpy(spark, ranges):
+    rng = np.random.default_rng(4)
+    values = [*rng.normal(size=301).tolist(), *[0.5] * 400, *np.round(rng.normal(size=200), 1).tolist()]
+    shares = [0.0, 0.01, 0.5, 0.77, 0.99, 1.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 30, "x double")
+    assert np.allclose(exact_quantiles(df, "x", shares, ranges), np.quantile(values, shares), rtol=0, atol=1e-12)
+    assert exact_quantiles(df.where("x is null"), "x", shares, ranges) == [None] * 6
+    assert exact_quantiles(df.where("x = 0.5"), "x", shares, ranges) == [0.5] * 6
+
+
+def test_a_profile_holds_no_column_in_one_task(spark):
+    from saltern.plans.research_queries import numeric_profile
+
+    plan = numeric_profile(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
