@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saltern.functions.frames import correlation, mean_rank
+from saltern.functions.frames import correlation, mean_rank, settled
 
 GRAM = "segment int, a int, b int, value double"
 
@@ -191,10 +191,11 @@ def select_and_refit(panel: DataFrame, sets: dict[str, list[str]], target: str,
     """Train before the validation years, select there, train anew on all before the test years, and score these.
 
     Candidates are compared by their mean daily rank correlation, then by the excess of the best tenth, then by name. Both
-    trainings leave out the ``purge`` sessions ahead of what they are judged on.
+    trainings leave out the ``purge`` sessions ahead of what they are judged on. The panel's columns are computed once.
     """
-    folds = Folds.of(panel, purge)
     every = sorted({f for fs in sets.values() for f in fs})
+    panel = settled(panel.select("id", "session", "year", target, *every))
+    folds = Folds.of(panel, purge)
     sums = Sums(gram(panel, every, target, folds.cuts), every)
 
     def fitted(judged: list[int], names=None):

@@ -255,6 +255,21 @@ def test_a_gate_computes_its_sessions_once(spark):
     assert seen.value <= 2 * 240  # many passes of two fits would see them again and again
 
 
+def counted(spark, df, column):
+    """``df``, and how many rows of it were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+    f = F.udf(lambda x: seen.add(1) or x, "double").asNondeterministic()
+    return df.withColumn(column, f(column)), seen
+
+
+def test_a_selection_computes_its_panel_once(spark):
+    rng = random.Random(3)
+    rows = [(i, s, 2000 + s // 20, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for s in range(100) for i in range(6)]
+    p, seen = counted(spark, spark.createDataFrame(rows, "id long, session long, year int, a double, b double, y double"), "a")
+    found = linear.select_and_refit(p, {"a": ["a"], "ab": ["a", "b"]}, "y", 2, [2002, 2003], [2004])
+    assert found.test_scores.count() == 120 and seen.value <= 2 * len(rows)
+
+
 # --- resampling ---------------------------------------------------------------------------------------
 
 
