@@ -101,8 +101,10 @@ def pooled_rank_correlations(df: DataFrame, columns: list[str], least: int = 100
 
     Pairs below ``threshold`` in size are left out, unless it is zero. Ranks are those among a pair's own rows (ties share
     the mean of their places). A row goes out once for each pair it has; no task ranks a whole column, as values
-    meet within ranges, cut at approximate quantiles, and a range starts from the count of those below.
+    meet within ranges, cut at approximate quantiles, and a range starts from the count of those below. The columns are computed
+    once, for the quantiles, the counts and the ranks.
     """
+    df = settled(df.select(*columns))
     edges = df.approxQuantile(columns, [k / ranges for k in range(1, ranges)], 0.01) if ranges > 1 else [[]] * len(columns)
     number = lambda c: F.col(c).cast("double")
     bucket = lambda c, cuts: F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda e: e < number(c)))

@@ -270,6 +270,12 @@ def test_a_selection_computes_its_panel_once(spark):
     assert found.test_scores.count() == 120 and seen.value <= 2 * len(rows)
 
 
+def test_pooled_correlations_compute_their_columns_once(spark):
+    rng = random.Random(3)
+    p, seen = counted(spark, spark.createDataFrame([(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(300)], "a double, b double"), "a")
+    assert pooled_rank_correlations(p, ["a", "b"]).count() == 1 and seen.value <= 600
+
+
 # --- resampling ---------------------------------------------------------------------------------------
 
 
