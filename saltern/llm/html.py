@@ -5,12 +5,16 @@ menu and in the article are different tokens. Per host, a token's occurrence vec
 Tokens with one vector form an equivalence class; the vectors are folded into order-free sums, so Spark adds them up
 before its shuffle and no host is ever held whole. A class is valid if at least ``SUPPORT`` of the host's pages have it;
 valid classes nest by the elements around their tokens and make the template, whose places between tokens are the slots.
+A class that nearly all its pages have once is part of the page's frame; one they have in varying numbers is a list.
 
-A slot is main text if it lies in the article (``article`` or ``main``, or failing both the page's valid slot with most
-text outside links, by its mean over the host) and neither its elements nor their classes name a menu, header, footer, sidebar, notice, advert, form or
-reader comments. All other text of an article stays, also what pages share. On pages without one, a slot inside the
-chosen one whose text is the same on nearly all pages (three at least) of a host whose pages differ belongs to the
-template and goes. Hosts without a valid class (a single page, say) follow the names alone.
+The template decides on every page which of its slots are main. First come places of the frame that are an ``article`` or
+``main``; articles of a list beside them (comments, teasers) go if they are shorter on average, and an article that the
+template doesn't know stays. Where the frame has no article on the page, a place of the frame whose text varies wins over other articles if it has more text
+outside links than one of these, by means over the host; without any article it is the page's slot with most such text.
+Slots whose elements, or their classes, name a menu, header, footer, sidebar, notice, advert, form or reader comments are
+never main. All other text of an article stays, also what pages share. On pages without one, a slot inside the chosen one
+whose text is the same on nearly all pages (three at least) of a host whose pages differ belongs to the template and goes.
+Hosts without a valid class (a single page, say) follow the names alone.
 
 Blocks are the texts between block tags; white space inside becomes one space, character references are decoded.
 
@@ -23,8 +27,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -51,14 +57,18 @@ BOXES = re.compile(r"(?:area|articles|bar|block|body|bottom|box|button|buttons|c
 STATES = re.compile(r"(?:has|have|hide|is|no|non|show|with|without)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?>[^>\"'=]++|=\s*+(?>\"[^\"]*\"|'[^']*'|[^>\s\"'][^>\s]*+)?|[\"'])*+>|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_DIGITS = re.compile(r"\d+")
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
-STATS = "host string, path string, pages long, tokens long, vector long, chars long, linked long, low long, high long"
+STATS = "host string, path string, pages long, tokens long, vector long, single long, chars long, linked long, low long, high long"
 
 
 def slots(html: str) -> tuple[list[tuple[str, str, bool]], Counter]:
-    """The texts as (path, text, in a link), with a None path for each block edge; and how often each token occurs."""
+    """The texts as (path, text, in a link), with a None path for each block edge; and how often each token occurs.
+
+    The token of an element that makes a place is its path and ``>``; numbers in class names and ids count as one.
+    """
     texts: list[tuple[str, str, bool]] = []
     tokens: Counter = Counter()
     stack: list[tuple[str, str]] = []
@@ -82,7 +92,8 @@ def slots(html: str) -> tuple[list[tuple[str, str, bool]], Counter]:
                 at = done.end() if done else end
             tokens[f"{path}>{tag}"] += 1
             continue
-        tokens[f"{path}>{close}{tag}"] += 1
+        if close or tag not in STRUCTURE or piece.endswith("/>"):
+            tokens[f"{path}>{close}{tag}"] += 1
         if tag == "a":
             links = 0 if close else 1
         if tag not in INLINE:
@@ -108,8 +119,10 @@ def slots(html: str) -> tuple[list[tuple[str, str, bool]], Counter]:
                         break
             elif not piece.endswith("/>"):
                 marks = marks or " ".join(v for x in _MARK.finditer(piece) if (v := x[2] or x[3] or x[4]))
-                stack.append((tag, marks))
+                stack.append((tag, _DIGITS.sub("0", marks)))
             path = "/".join(f"{a}[{b}]" if b else a for a, b in stack)
+            if tag in STRUCTURE and not close and not piece.endswith("/>"):
+                tokens[f"{path}>"] += 1
             links = 0
     return texts, tokens
 
@@ -158,7 +171,7 @@ def _signed(x: int) -> int:
 
 
 def token_statistics(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages that have it, occurrences, the folded vector; per slot, its texts' size and sameness."""
+    """Per host and token: pages that have it, occurrences, the folded vector, pages that have it once; per slot, its texts' size and sameness."""
 
     def stats(batches):
         for b in batches:
@@ -175,83 +188,137 @@ def token_statistics(pages: DataFrame) -> DataFrame:
                         s[1] += n * linked
                         s[2].append(text)
                 for token, n in tokens.items():
-                    r = rows.setdefault((h, token), [0, 0, 0, 0, 0, None, None])
+                    r = rows.setdefault((h, token), [0, 0, 0, 0, 0, 0, None, None])
                     r[0] += 1
                     r[1] += n
                     r[2] += _hash(page, n) >> 32  # sums of 32 bits hold two billion pages of a host
-                r = rows.setdefault((h, ""), [0, 0, 0, 0, 0, None, None])
+                    r[3] += n == 1
+                r = rows.setdefault((h, ""), [0, 0, 0, 0, 0, 0, None, None])
                 r[0] += 1
                 for path, (n, linked, parts) in said.items():
-                    r = rows.setdefault((h, f"{path}#"), [0, 0, 0, 0, 0, None, None])
+                    r = rows.setdefault((h, f"{path}#"), [0, 0, 0, 0, 0, 0, None, None])
                     r[0] += 1
-                    r[3] += n
-                    r[4] += linked
+                    r[4] += n
+                    r[5] += linked
                     same = _signed(_hash(" ".join("".join(parts).split())))
-                    r[5] = same if r[5] is None else min(r[5], same)
-                    r[6] = same if r[6] is None else max(r[6], same)
+                    r[6] = same if r[6] is None else min(r[6], same)
+                    r[7] = same if r[7] is None else max(r[7], same)
             keys = list(rows)
             values = [rows[k] for k in keys]
             cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])]
-            cols += [pa.array([v[k] for v in values], pa.int64()) for k in range(7)]
-            yield pa.RecordBatch.from_arrays(cols, names=["host", "path", "pages", "tokens", "vector", "chars", "linked", "low", "high"])
+            cols += [pa.array([v[k] for v in values], pa.int64()) for k in range(8)]
+            yield pa.RecordBatch.from_arrays(cols, names=["host", "path", "pages", "tokens", "vector", "single", "chars", "linked", "low", "high"])
 
     parts = pages.mapInArrow(stats, STATS)
-    add = [F.sum(c).alias(c) for c in ("pages", "tokens", "vector", "chars", "linked")]
+    add = [F.sum(c).alias(c) for c in ("pages", "tokens", "vector", "single", "chars", "linked")]
     return parts.groupBy("host", "path").agg(*add, F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def templates(stats: DataFrame) -> DataFrame:
-    """(host, slots): each host's main slots, deduced from its valid classes."""
+    """(host, own, places): each host's slots, and the places of its valid classes with how often its pages have them."""
     pages = stats.where("path = ''").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
     t = stats.where("path <> ''").join(pages, F.col("host") == F.col("h")).drop("h")
     # a class: the tokens of a host with one vector; it is valid if enough pages have it
     token = t.where(~F.col("path").endswith("#"))
-    classes = token.groupBy("host", "vector", "tokens", "pages", "host_pages").agg(F.collect_set("path").alias("members"))
+    classes = token.groupBy("host", "vector", "tokens", "pages", "host_pages", "single").agg(F.collect_set("path").alias("members"))
     valid = classes.where((F.col("pages") >= 2) & (F.col("pages") >= SUPPORT * F.col("host_pages")))
-    opened = valid.select("host", F.explode("members").alias("token")).where(~F.col("token").contains(">/"))
-    places = opened.select("host", F.regexp_replace("token", ">", "/").alias("place")).groupBy("host").agg(F.collect_set("place").alias("places"))
+    opened = valid.select("host", "tokens", (F.col("single") >= NEARLY_ALL * F.col("pages")).alias("once"), F.explode("members").alias("token")).where(F.col("token").endswith(">"))
+    place = F.struct(F.expr("substring(token, 1, length(token) - 1)").alias("place"), "tokens", "once")
+    places = opened.groupBy("host").agg(F.collect_list(place).alias("places"))
     slot = t.where(F.col("path").endswith("#")).select("host", F.expr("substring(path, 1, length(path) - 1)").alias("slot"), "pages", "chars", "linked", (F.col("low") == F.col("high")).alias("constant"))
     own = slot.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "chars", "linked", "constant")).alias("own"))
     return own.join(places, "host", "left")
 
 
-def main_slots(own: list, places: list[str] | None) -> dict[str, bool | tuple[bool, bool, float]]:
-    """Whether each slot of a host is main text, given the template's places; (varies, placed, size) if its page has to choose."""
+class Slot(NamedTuple):
+    """A slot that may be main: its text's size, and what the template says of it.
+
+    ``article``: its outermost article, if any, of which ``size`` tells what one has on average. ``frame``: its place (the
+    article's, for one in an article) is one that nearly all pages of its class have once; ``listed``: they have it in varying numbers.
+    """
+
+    article: str
+    frame: bool
+    listed: bool
+    varies: bool
+    placed: bool
+    size: float
+
+
+def nesting(places: Iterable[str]) -> dict[str, str]:
+    """The template: each place with the nearest of the others around it, or nothing."""
+    known = set(places)
+    out = {}
+    for p in known:
+        up = p.rpartition("/")[0]
+        while up and up not in known:
+            up = up.rpartition("/")[0]
+        out[p] = up
+    return out
+
+
+def main_slots(own: list, places: list | None) -> dict[str, Slot | None]:
+    """What the template says of each of a host's slots; None for those that are named as no main text."""
     bare = lambda p: re.sub(r"\[[^\]]*\]", "", p).strip("/")
-    nested = {bare(p) for p in places or ()}
+    of = {p["place"]: p for p in places or ()}
+    template = nesting(of)
+    layout = {bare(p) for p in template}
+    # a place is of the frame if it and all places around it are
+    frame: dict[str, bool] = {}
+    for p in sorted(template, key=len):
+        frame[p] = of[p]["once"] and frame.get(template[p], True)
     free = [s for s in own if not named_out(s["slot"])]
-    out = {s["slot"]: False for s in own}
+    out: dict[str, Slot | None] = {s["slot"]: None for s in own}
     # the same on nearly all pages of a host whose pages differ; the most frequent slot stands for the host's pages
     all_pages, differ = max((s["pages"] for s in own), default=0), any(not s["constant"] for s in own)
     same = {s["slot"] for s in own if differ and s["constant"] and s["pages"] >= max(3, NEARLY_ALL * all_pages)}
+    inside: dict[str, list] = {}
+    for s in free:
+        if a := article_of(s["slot"]):
+            held = inside.setdefault(a, [0, 0])
+            held[0] += s["chars"] - s["linked"]
+            held[1] = max(held[1], s["pages"])
     for s in free:
-        if article_of(s["slot"]):  # all of an article is main text, even if pages share it
-            out[s["slot"]] = True
-        else:  # of pages without an article of their own: the mean size of the text that isn't linked decides
-            placed = not nested or bare(s["slot"]) in nested
-            out[s["slot"]] = (s["slot"] not in same, placed, (s["chars"] - s["linked"]) / s["pages"])
+        p = s["slot"]
+        if a := article_of(p):
+            times = of[a]["tokens"] if a in of else inside[a][1]
+            out[p] = Slot(a, frame.get(a, False), not frame.get(a, True), p not in same, a in of, inside[a][0] / times)
+        else:  # the mean size of the text that isn't linked decides
+            out[p] = Slot("", frame.get(p, False), not frame.get(p, True), p not in same, not layout or bare(p) in layout, (s["chars"] - s["linked"]) / s["pages"])
     return out
 
 
-def page_text(html: str, main: dict[str, bool | tuple[bool, bool, float]] | None) -> str:
-    """The blocks of the main slots, in page order."""
+def chosen(shown: set[str], main: dict[str, Slot | None]) -> tuple[set[str], str | None]:
+    """Of a page's slots the main ones in articles, or none and the best of the others."""
+    own = {p: s for p in shown if (s := main.get(p))}
+    articles = {p for p in shown if article_of(p) and not named_out(p)}
+    if framed := [s.size for s in own.values() if s.article and s.frame]:
+        return {p for p in articles if p not in own or not own[p].listed or own[p].size > max(framed)}, None
+    others = {p: s for p, s in own.items() if not s.article}
+    if articles:
+        rivals = {p: s for p, s in others.items() if s.frame and s.varies}
+        best = max(rivals, key=lambda p: (rivals[p].size, p), default=None)
+        most = max((own[p].size if p in own else float("inf") for p in articles), default=0.0)
+        return (set(), best) if best is not None and rivals[best].size > most else (articles, None)
+    return set(), max(others, key=lambda p: (others[p].varies, others[p].placed, others[p].size, p), default=None)
+
+
+def page_text(html: str, main: dict[str, Slot | None] | None) -> str:
+    """The blocks of the main slots, in page order; a page chooses among its own slots, so a host can have any number of layouts."""
     texts, _ = slots(html)
-    articles = any(article_of(p) and not named_out(p) for p, text, _ in texts if p is not None and text.strip())
+    shown = {p for p, text, _ in texts if p is not None and text.strip()}
+    articles, best = chosen(shown, main or {})
     out: list[str] = []
-    best = None
-    if not articles and main:  # each page chooses among its own slots, so a host can have any number of layouts
-        own = {p for p, text, _ in texts if p is not None and text.strip() and isinstance(main.get(p), tuple)}
-        best = max(own, key=lambda p: (main[p], p), default=None)
     for path, text, _ in texts:
         if path is None:
             out.append(" ")
             continue
-        verdict = main.get(path) if main else None
-        if articles:  # the page's own article decides
-            verdict = bool(article_of(path)) and not named_out(path)
-        elif isinstance(verdict, tuple):
-            verdict = path == best or (best is not None and path.startswith(best + "/") and verdict[0])
-        elif verdict is None:
+        if articles:
+            verdict = path in articles
+        elif main and path in main:
+            s = main[path]
+            verdict = s is not None and (path == best or (best is not None and path.startswith(best + "/") and s.varies))
+        else:
             verdict = not named_out(path) and (best is None or path.startswith(best))
         if verdict:
             out.append(unescape(text))

@@ -111,3 +111,37 @@ def test_names_count_on_articles_and_paragraphs():
     }
     for html, want in cases.items():
         assert page_text(html, None) == want, html
+
+
+def test_the_template_decides_on_pages_with_articles(spark):
+    words = lambda k, n, w: " ".join(f"{w}{k}x{j}" for j in range(n))
+    rows, want = [], {}
+    for k in range(12):
+        # comments in articles without a telling name: a list, as their number varies; the story is in the host's frame
+        list_of = "".join(f"<article class='c{j}'><p>{words(k, 4, 'reply')}</p></article>" for j in range(k % 4))
+        rows.append((k, "https://a.example/x", f"<body><div class='col'><article class='s{k}'><h1>T{k}</h1><p>{words(k, 40, 'w')}</p></article></div><div class='below'>{list_of}</div></body>"))
+        want[k] = f"T{k} {words(k, 40, 'w')}"
+        # the story is no article, but a box of the frame
+        rows.append((100 + k, "https://b.example/x", f"<body><div class='story'><h1>T{k}</h1><p>{words(k, 40, 'w')}</p></div><div class='below'>{list_of}</div></body>"))
+        want[100 + k] = want[k]
+        # one page embeds an article that the template doesn't know; longer ones of a list stay beside a short one of the frame
+        stray = f"<div class='card'><article><p>{words(k, 4, 'stray')}</p></article></div>" if k == 5 else ""
+        rows.append((200 + k, "https://c.example/x", f"<body><div class='story'><p>{words(k, 40, 'w')}</p></div>{stray}</body>"))
+        want[200 + k] = words(k, 40, "w")
+        parts = [f"<article><p>{words(k, 30, f'part{j}y')}</p></article>" for j in range(1 + k % 3)]
+        rows.append((300 + k, "https://d.example/x", f"<body><div class='lead'><article><p>{words(k, 5, 'lead')}</p></article></div><div class='parts'>{''.join(parts)}</div></body>"))
+        want[300 + k] = " ".join([words(k, 5, "lead"), *(words(k, 30, f"part{j}y") for j in range(1 + k % 3))])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (html.BROADCAST_BYTES, 0):
+        assert {r.page_id: r.text for r in html.extract(df, size).collect()} == want
+
+
+def test_template_nests():
+    assert html.nesting(["body", "body/div[a]", "body/div[a]/ul[x]/article"]) == {"body": "", "body/div[a]": "body", "body/div[a]/ul[x]/article": "body/div[a]"}
+    own = [{"slot": f"body/section/{p}", "pages": 10, "chars": 100, "linked": 0, "constant": False} for p in ("article", "div")]
+    once = lambda p, n=10: {"place": p, "tokens": n, "once": n == 10}
+    # what stands in a list is of no frame
+    got = html.main_slots(own, [once("body"), once("body/section", 30), once("body/section/article"), once("body/section/div")])
+    assert not any(s.frame for s in got.values()) and all(s.listed for s in got.values())
+    got = html.main_slots(own, [once("body"), once("body/section"), once("body/section/article")])
+    assert got["body/section/article"].frame and not got["body/section/div"].frame
