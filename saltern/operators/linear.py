@@ -114,18 +114,37 @@ class Folds:
         return cls({r.year: r.first for r in bounds}, purge)
 
 
+def _finite(c: str) -> Column:
+    return F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+
+
+def _predicted(x, coefficients, fill, intercept) -> Column:
+    filled = F.zip_with(x, fill, lambda v, f: F.coalesce(v, f))
+    return F.aggregate(F.zip_with(filled, coefficients, lambda v, c: v * c), intercept, lambda a, v: a + v)
+
+
 def scores(panel: DataFrame, models: list[tuple[str, int, dict]], keep: list[str]) -> DataFrame:
     """``keep``, model, score: each row of a model's year scored by it. Models are (name, year, fit), a handful for each year."""
     spark = panel.sparkSession
     features = sorted({f for _, _, m in models for f in m["coefficients"]})
     table = [(name, year, m["intercept"], [m["coefficients"].get(f, 0.0) for f in features], [m["fill"].get(f, 0.0) for f in features]) for name, year, m in models]
     table = spark.createDataFrame(table, "model string, year int, intercept double, coefficients array<double>, fill array<double>")
-    finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
-    x = F.array(*map(finite, features)) if features else F.array().cast("array<double>")
+    x = F.array(*map(_finite, features)) if features else F.array().cast("array<double>")
     rows = panel.select(*keep, *([] if "year" in keep else ["year"]), x.alias("_x")).join(F.broadcast(table), "year")
-    filled = F.zip_with("_x", "fill", lambda v, f: F.coalesce(v, f))
-    score = F.aggregate(F.zip_with(filled, "coefficients", lambda v, c: v * c), F.col("intercept"), lambda a, v: a + v)
-    return rows.select(*keep, "model", score.alias("score"))
+    return rows.select(*keep, "model", _predicted("_x", "coefficients", "fill", F.col("intercept")).alias("score"))
+
+
+def scored_side_by_side(panel: DataFrame, models: list[tuple[str, int, dict]], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """``keep`` and a column s0, s1, ... for each model's score, null in years without a fit; and the models' names."""
+    names = sorted({name for name, _, _ in models})
+    features = sorted({f for _, _, m in models for f in m["coefficients"]})
+    by_year: dict[int, dict] = {}
+    for name, year, m in models:
+        by_year.setdefault(year, {})[name] = (m["intercept"], [m["coefficients"].get(f, 0.0) for f in features], [m["fill"].get(f, 0.0) for f in features])
+    table = panel.sparkSession.createDataFrame([(y, *(of.get(n) for n in names)) for y, of in by_year.items()], ", ".join(["year int", *(f"m{k} struct<intercept double, coefficients array<double>, fill array<double>>" for k in range(len(names)))]))
+    x = F.array(*map(_finite, features)) if features else F.array().cast("array<double>")
+    rows = panel.select(*keep, *([] if "year" in keep else ["year"]), x.alias("_x")).join(F.broadcast(table), "year")
+    return rows.select(*keep, *[_predicted("_x", f"m{k}.coefficients", f"m{k}.fill", F.col(f"m{k}.intercept")).alias(f"s{k}") for k in range(len(names))]), names
 
 
 def diagnostics(scored: DataFrame, target: str, session: str = "session", least: int = 2) -> DataFrame:
@@ -139,10 +158,53 @@ def diagnostics(scored: DataFrame, target: str, session: str = "session", least:
     ranked = rows.select(*group, target, mean_rank("score", group).alias("_s"), mean_rank(target, group).alias("_t"), mean_rank("score", group, descending=True).alias("_d"))
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
     daily = ranked.join(sizes, group).groupBy(*group).agg(F.max("_n").alias("n"), correlation("_s", "_t").alias("ic"), (F.avg(F.when(F.col("_d") <= F.greatest(F.lit(1.0), F.col("_n") / 10), F.col(target))) - F.avg(target)).alias("excess"))
-    daily = daily.where((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
+    return _over_sessions(daily, least)
+
+
+def _over_sessions(daily: DataFrame, least: int) -> DataFrame:
+    # a correlation of zero isn't positive by what rounding leaves
+    daily = daily.where((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic")).withColumn("ic", F.round("ic", 12))
     return daily.groupBy("model").agg(F.count("*").alias("n_sessions"), F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_ic"), F.avg("excess").alias("decile_excess"))
 
 
+def _mean_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties sharing the mean of their places; NaN is the largest value."""
+    order = np.argsort(v, kind="stable")
+    w = v[order]
+    first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) & ~(np.isnan(w[1:]) & np.isnan(w[:-1]))))
+    size = np.diff(np.append(first, len(v)))
+    out = np.empty(len(v))
+    out[order] = np.repeat(first + (size + 1) / 2, size)
+    return out
+
+
+def judged(panel: DataFrame, models: list[tuple[str, int, dict]], target: str, session: str = "session", least: int = 2) -> DataFrame:
+    """The ``diagnostics`` of ``scores``, with the models side by side: rows aren't multiplied and go once to their session.
+
+    A task holds one session at a time, eight bytes for each of its names and models.
+    """
+    rows, names = scored_side_by_side(panel.where(F.col(target).isNotNull()), models, [session, target])
+
+    def daily(group: pa.Table) -> pa.Table:
+        y = group.column(1).to_numpy().astype(float)
+        whole = _mean_ranks(y)
+        found = []
+        for name, column in zip(names, group.columns[2:], strict=True):
+            there = column.is_valid().to_numpy()
+            if not there.any():  # the year has no fit
+                continue
+            x, gain = column.to_numpy()[there].astype(float), y[there]
+            n, place = len(x), _mean_ranks(x)
+            a, b = place - (n + 1) / 2, (whole if n == len(y) else _mean_ranks(gain)) - (n + 1) / 2
+            spread = np.sqrt(a @ a) * np.sqrt(b @ b)
+            best = n + 1 - place <= max(1.0, n / 10)
+            found.append((name, n, float(a @ b / spread) if spread > 0 else None, float(gain[best].mean() - gain.mean()) if best.any() else None))
+        columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["model", "n", "ic", "excess"])
+
+    return _over_sessions(rows.groupBy(session).applyInArrow(daily, "model string, n long, ic double, excess double"), least)
+
+
 def families(base: list[tuple[str, list[str]]], branches: list[tuple[str, list[str]]] = (), core: int | None = None) -> dict[str, list[str]]:
     """Feature sets of an ablation: each base family on top of all before it, and each branch beside the first ``core`` families."""
     out, held = {}, []
@@ -175,7 +237,7 @@ def ablation(panel: DataFrame, sets: dict[str, list[str]], target: str, purge: i
     every = sorted({f for fs in sets.values() for f in fs})
     sums = Sums(gram(panel, every, target, folds.cuts), every)
     models = walk_forward_models(sums, folds, sets, list(alphas), sorted(folds.first)[first_years:])
-    return diagnostics(scores(panel, models, ["id", "session", "year", target]), target)
+    return judged(panel, models, target)
 
 
 @dataclass
@@ -208,7 +270,7 @@ def select_and_refit(panel: DataFrame, sets: dict[str, list[str]], target: str,
                     out += [(label, year, fit) for year in judged]
         return out
 
-    comparison = diagnostics(scores(panel, fitted(validation), ["id", "session", "year", target]), target)
+    comparison = judged(panel, fitted(validation), target)
     best = comparison.orderBy(F.desc("mean_ic"), F.desc("decile_excess"), "model").first()
     if best is None:
         raise ValueError("no candidate has a validation result")

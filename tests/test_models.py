@@ -103,6 +103,22 @@ def test_diagnostics_equal_brute_force(spark):
     assert abs(got.decile_excess - np.nanmean(excess)) < 1e-9
 
 
+def test_models_are_judged_side_by_side(spark):
+    p = panel(spark, gaps=True)
+    fit = lambda *b: {"intercept": 0.1, "coefficients": dict(zip(FEATURES, b)), "fill": dict.fromkeys(FEATURES, 0.5)}  # noqa: E731, B905
+    # a model of ties alone, and one that has no fit in a year
+    models = [(m, y, fit(*b)) for m, b in (("a", (1.0, 0.0, -2.0)), ("b", (0.0, 0.5, 1.0)), ("flat", (0.0, 0.0, 0.0))) for y in (2001, 2002) if (m, y) != ("b", 2002)]
+    want = linear.diagnostics(linear.scores(p, models, ["id", "session", "year", "y"]), "y")
+    found = linear.judged(p, models, "y")
+    w, g = ({r.model: r for r in x.collect()} for x in (want, found))
+    assert sorted(w) == sorted(g) == ["a", "b"] and g["a"].n_sessions == 2 * g["b"].n_sessions
+    assert all(np.allclose(w[m][1:], g[m][1:]) for m in w)
+    # rows aren't multiplied by model, nor ordered by each score
+    plan = linear.ablation(p, {"A": ["f1"], "B": ["f2"]}, "y", 7, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan and "Generate" not in plan
+    assert linear._mean_ranks(np.array([2.0, np.nan, 0.0, 2.0, -0.0, np.nan])).tolist() == [3.5, 5.5, 1.5, 3.5, 1.5, 5.5]
+
+
 def test_a_permutation_keeps_each_groups_values(spark):
     p = panel(spark).where("y is not null")
     got = linear.permute(p, ["f1", "f2"], ["year", "session"], ["id"]).collect()
