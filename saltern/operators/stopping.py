@@ -9,6 +9,8 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saltern.functions.frames import settled
+
 
 @dataclass
 class Controller:
@@ -54,20 +56,27 @@ def fitted_q(transitions: DataFrame, features: list[str], next_features: list[st
 
     Before the first iteration, holding is worth what exiting is. Targets stay within the 0.5 and 99.5 percent quantiles
     of the exit values seen; the last state of an episode is worth its exit. The loop is over iterations only, each one
-    fit and one scan; plans don't grow, as each starts from the same rows.
+    fit and one scan; plans don't grow, as each starts from the same rows. A fit reads its input several times, so the
+    states, with what exiting is worth on them, and each iteration's targets are computed once.
     """
     learner = RandomForestRegressor(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    rows = steps(transitions, features, next_features, exit_value, has_next)
+    rows = settled(steps(transitions, features, next_features, exit_value, has_next))
     bounds = rows.agg(F.percentile_approx("exit", [0.005, 0.995], 100_000).alias("q")).first()["q"]
     clipped = lambda c: F.greatest(F.lit(bounds[0]), F.least(c, F.lit(bounds[1])))
     leave = learner.fit(rows.withColumnRenamed("exit", "label"))
-    rows = _value(leave, "ahead", "leave_ahead", _value(leave, "x", "leave", rows))
+    rows = _value(leave, "ahead", "leave_ahead", _value(leave, "x", "leave", rows)).select("x", "ahead", "more", "leave", "leave_ahead")
+    rows = settled(rows.withColumns({"hold": F.col("leave"), "hold_ahead": F.col("leave_ahead")}))
     hold, flips = leave, []
-    for _ in range(iterations):
+    for k in range(iterations):
         later = F.greatest("leave_ahead", "hold_ahead")
         label = clipped(F.when(F.col("more"), later).otherwise(F.col("leave")))
-        better = learner.fit(_value(hold, "ahead", "hold_ahead", rows).select("x", label.alias("label")))
-        judged = _value(better, "x", "after", _value(hold, "x", "before", rows))
-        flips.append(judged.agg(F.avg(((F.col("before") > F.col("leave")) != (F.col("after") > F.col("leave"))).cast("double"))).first()[0])
-        hold = better
+        hold = learner.fit(rows.select("x", label.alias("label")))
+        rows = _value(hold, "x", "after", rows)
+        changed = F.avg(((F.col("hold") > F.col("leave")) != (F.col("after") > F.col("leave"))).cast("double"))
+        if k + 1 < iterations:
+            rows = settled(_value(hold, "ahead", "later", rows.drop("hold_ahead")))
+            flips.append(rows.agg(changed).first()[0])
+            rows = rows.drop("hold").withColumnsRenamed({"after": "hold", "later": "hold_ahead"})
+        else:
+            flips.append(rows.agg(changed).first()[0])
     return Controller(features, leave, hold, flips)

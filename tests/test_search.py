@@ -56,3 +56,17 @@ def test_holding_is_worth_more_while_values_rise(spark):
     got = {r.t: r for r in c.advantage(s).where("episode = 0").collect()}
     assert all(got[float(t)].hold for t in range(5)) and not got[9.0].hold and got[9.0].advantage is None
     assert len(c.flips) == 6 and c.flips[0] > 0 and all(r.q_hold <= 9.0 + 1e-9 for r in got.values())
+
+
+def test_states_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(float(t), math.sin(e + t), (e + t) % 3 > 0) for e in range(30) for t in range(10)]
+    s = spark.createDataFrame(rows, "t double, v double, has_next boolean").withColumns({"next_t": F.col("t") + 1, "next_v": F.col("v") / 2})
+    c = fitted_q(s.mapInArrow(counted, s.schema), ["t", "v"], ["next_t", "next_v"], "v", "has_next", iterations=2, trees=3)
+    assert seen.value == len(rows) and len(c.flips) == 2
